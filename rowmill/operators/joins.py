@@ -126,5 +126,6 @@ def assign_ranges(df: DataFrame, value: str, ranges: DataFrame, low: str, high:
     rows = F.array_sort(F.collect_list(F.struct(F.col(low).alias("low"), F.col(high).alias("high"),
                                                 F.col(label).alias("label"))))
     table = ranges.agg(rows.alias("ranges")).scalar()
-    within = lambda r: (r["low"] <= F.col(value)) & (F.col(value) <= r["high"])
-    return df.withColumn(target, F.get(F.filter(table, within), F.lit(0))["label"])
+    placed = df.withColumn("_ranges", table).withColumn(
+        "_within", F.filter("_ranges", lambda r: (r["low"] <= F.col(value)) & (F.col(value) <= r["high"])))
+    return placed.withColumn(target, F.get("_within", F.lit(0))["label"]).drop("_ranges", "_within")

@@ -14,7 +14,8 @@ from rowmill.sources import workbook
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", quotechar: str = '"', encoding: str = "utf-8") -> None:
     if df.isEmpty():
         return
-    df.write.options(header=True, sep=delimiter, quote=quotechar, escape=quotechar, encoding=encoding).csv(path)
+    df.write.options(header=True, sep=delimiter, quote=quotechar, escape=quotechar, encoding=encoding,
+                     ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
