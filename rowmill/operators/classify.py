@@ -68,10 +68,14 @@ def _path(name: str) -> str:
 
 
 def unify_dominant(df: DataFrame, json: str, order_by, keep: list[str] | None = None) -> DataFrame:
-    """One text column per dominant key: extra keys are dropped, missing ones are null."""
+    """One text column per dominant key: extra keys are dropped, missing ones are null.
+
+    ``keep`` names columns to carry along; a dominant key of the same name replaces one.
+    """
     fields = dominant_fields(df, json, order_by)
     parsed = df.withColumn("_v", F.try_parse_json(json))
-    return parsed.select(*(keep or []), *[F.try_variant_get("_v", _path(f), "string").alias(f) for f in fields])
+    kept = [c for c in keep or [] if c not in fields]
+    return parsed.select(*kept, *[F.try_variant_get("_v", _path(f), "string").alias(f) for f in fields])
 
 
 def unify_types(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -115,7 +119,7 @@ def route(df: DataFrame, json: str, order_by) -> Routed:
     if kind == "certain":
         return Routed("success", kind, df)
     if kind == "mixed":
-        unified = unify_dominant(df, json, order_by, keep=[order_by] if isinstance(order_by, str) else list(order_by))
-        fixed = {order_by} if isinstance(order_by, str) else set(order_by)
-        return Routed("success", kind, unify_types(unified, [c for c in unified.columns if c not in fixed]))
+        order = [order_by] if isinstance(order_by, str) else list(order_by)
+        unified = unify_dominant(df, json, order_by, keep=order)
+        return Routed("success", kind, unify_types(unified, [c for c, t in unified.dtypes if t == "string"]))
     return Routed("rejected", kind, None, "Data structure is incompatible")

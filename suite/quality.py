@@ -163,9 +163,9 @@ def profile_type_conflicts(spark, sf_dir):
     return profile.type_conflicts(_texts(spark, sf_dir))
 
 
-@query("profile_nested", """SELECT 'embedding' AS name, 'array' AS type, false AS nullable FROM embeddings GROUP BY ALL
-UNION ALL SELECT 'label', 'integer', false FROM embeddings GROUP BY ALL
-UNION ALL SELECT 'pair', 'object', false FROM embeddings GROUP BY ALL""")
+@query("profile_nested", """SELECT 'embedding' AS name, 'array' AS type, count(embedding) < count(*) AS nullable FROM embeddings
+UNION ALL SELECT 'label', 'integer', count(label) < count(*) FROM embeddings
+UNION ALL SELECT 'pair', 'object', count(vec_id) < count(*) FROM embeddings""")
 def profile_nested(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("embedding", "label", F.struct("vec_id", "label").alias("pair"))
     return profile.field_profiles(vectors).select("name", "type", "nullable")
@@ -234,8 +234,9 @@ def _dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"))
 
 
-_D = """d AS (SELECT o_orderkey, strftime(o_orderdate, CASE o_orderpriority WHEN '1-URGENT' THEN '%m/%d/%Y' WHEN '2-HIGH' THEN '%d-%m-%Y'
-  WHEN '3-MEDIUM' THEN '%d.%m.%Y' WHEN '5-LOW' THEN '%b %-d %Y' ELSE '%Y-%m-%d' END) AS day,
+_D = """d AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN strftime(o_orderdate, '%m/%d/%Y')
+  WHEN '2-HIGH' THEN strftime(o_orderdate, '%d-%m-%Y') WHEN '3-MEDIUM' THEN strftime(o_orderdate, '%d.%m.%Y')
+  WHEN '5-LOW' THEN strftime(o_orderdate, '%b %-d %Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'MM/DD/YYYY' WHEN '2-HIGH' THEN 'DD-MM-YYYY' WHEN '3-MEDIUM' THEN 'DD.MM.YYYY'
   WHEN '5-LOW' THEN 'unknown' ELSE 'YYYY-MM-DD' END AS format, o_orderdate FROM orders)"""
 

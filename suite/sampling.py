@@ -27,10 +27,10 @@ def sample_random(spark, sf_dir):
 
 @query("sample_with_replacement", """
 WITH n AS (SELECT count(*) AS n FROM customer), d AS (SELECT i AS _sample_index,
-  CAST('0x' || substr(md5('42:' || i), 1, 15) AS BIGINT) % n AS at FROM range(400) t(i), n),
-c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS at FROM customer)
-SELECT c_custkey, _sample_index, 'random' AS _sample_strategy FROM d JOIN c ON d.at = c.at WHERE (SELECT n FROM n) > 400
-UNION ALL SELECT c_custkey, at, 'random' FROM c WHERE (SELECT n FROM n) <= 400""")
+  CAST('0x' || substr(md5('42:' || i), 1, 15) AS BIGINT) % n AS pos FROM range(400) t(i), n),
+c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer)
+SELECT c_custkey, _sample_index, 'random' AS _sample_strategy FROM d JOIN c ON d.pos = c.pos WHERE (SELECT n FROM n) > 400
+UNION ALL SELECT c_custkey, pos, 'random' FROM c WHERE (SELECT n FROM n) <= 400""")
 def sample_with_replacement(spark, sf_dir):
     out = s.sample(table(spark, sf_dir, "customer"), 400, "c_custkey", allow_duplicates=True)
     return out.select("c_custkey", *_META)
