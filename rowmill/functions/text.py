@@ -60,35 +60,57 @@ def is_time_text(c: Column) -> Column:
     )
 
 
-def strip_fence(c: Column) -> Column:
-    """Text without a markdown code fence around it."""
-    body = F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
-    body = F.regexp_replace(body, r"\A```(json)?", "")
-    body = F.regexp_replace(body, r"```\z", "")
-    return F.regexp_replace(body, r"(?U)\A\s+|\s+\z", "")
+# Fixed value: the characters that count as blank at the ends of a text.
+_BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+           "\u200a\u2028\u2029\u202f\u205f\u3000")
+
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; a Column used several times is otherwise copied."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-_FENCED = r"(?s)```(?:json)?\s*(.*?)\s*```"
-_SPAN = r"(?s)(\{.*\}|\[.*\])"
+
+def strip_fence(c: Column) -> Column:
+    """Text without a markdown code fence around it."""
+    opened = lambda t: F.when(t.startswith("```json"), F.substr(t, F.lit(8))).when(
+        t.startswith("```"), F.substr(t, F.lit(4))).otherwise(t)
+    closed = lambda t: F.when(t.endswith("```"), F.substr(t, F.lit(1), F.length(t) - 3)).otherwise(t)
+    return F.btrim(bound(bound(F.btrim(c, F.lit(_BLANKS)), opened), closed), F.lit(_BLANKS))
 
 
 def _valid(c: Column) -> Column:
     """The text where it is one JSON value, else null."""
-    return F.when(F.try_parse_json(c).isNotNull(), c)
+    return bound(c, lambda t: F.when(F.try_parse_json(t).isNotNull(), t))
+
+
+def _fenced(c: Column) -> Column:
+    """What stands between the first two code fences, without the word json in front."""
+    return bound(F.split(c, "```", 3), lambda parts: F.when(
+        F.size(parts) == 3, F.regexp_replace(F.get(parts, F.lit(1)), r"\Ajson", "")))
+
+
+def _span(c: Column) -> Column:
+    """From the first { to the last }, or from the first [ to the last ], whichever starts first."""
+    def ends(t: Column, left: str, right: str) -> Column:
+        start, tail = F.instr(t, left), F.instr(F.reverse(t), right)
+        end = F.when(tail > 0, F.length(t) - tail + 1).otherwise(0)
+        return F.struct(start.alias("start"), end.alias("end"))
+
+    def cut(t: Column) -> Column:
+        pairs = F.filter(F.array(ends(t, "{", "}"), ends(t, "[", "]")), lambda p: (p["start"] > 0) & (p["end"] > p["start"]))
+        return bound(F.array_min(pairs), lambda p: F.substr(t, p["start"], p["end"] - p["start"] + 1))
+
+    return bound(c, cut)
 
 
 def json_in_text(c: Column) -> Column:
     """JSON text inside free text: a fenced block, else the whole text, else the first {...} or [...] span."""
-    fenced = F.when(c.rlike(_FENCED), F.regexp_extract(c, _FENCED, 1))
-    span = F.when(c.rlike(_SPAN), F.regexp_extract(c, _SPAN, 1))
-    return F.coalesce(_valid(fenced), _valid(c), _valid(span))
+    return F.coalesce(_valid(_fenced(c)), _valid(c), _valid(_span(c)))
 
 
 def json_in_answer(c: Column) -> Column:
     """The same after removing a fence, trying the span before the whole text."""
-    body = strip_fence(c)
-    span = F.when(body.rlike(_SPAN), F.regexp_extract(body, _SPAN, 1))
-    return F.coalesce(_valid(span), _valid(body))
+    return bound(strip_fence(c), lambda body: F.coalesce(_valid(_span(body)), _valid(body)))
 
 
 def md5_prefix(c: Column, length: int) -> Column:

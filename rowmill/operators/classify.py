@@ -83,9 +83,10 @@ def unify_types(df: DataFrame, fields: list[str]) -> DataFrame:
     digits = lambda c: c.rlike(DIGITS) & c.try_cast("bigint").isNotNull()
     decimal = lambda c: c.contains(".") & c.try_cast("double").isNotNull()
     row = df.agg(*[F.struct(
-        F.count(f).alias("n"), F.bool_and(digits(F.col(f))).alias("whole"),
-        F.bool_and(digits(F.col(f)) | decimal(F.col(f))).alias("number")).alias(f"t{i}")
-        for i, f in enumerate(fields)]).first()
+        F.count(f).alias("n"),
+        F.bool_and(F.when(F.col(f).isNotNull(), digits(F.col(f)))).alias("whole"),
+        F.bool_and(F.when(F.col(f).isNotNull(), digits(F.col(f)) | decimal(F.col(f)))).alias("number"),
+    ).alias(f"t{i}") for i, f in enumerate(fields)]).first()
     casts = {}
     for i, f in enumerate(fields):
         seen = row[f"t{i}"]

@@ -46,7 +46,8 @@ def merged_schema(df: DataFrame, json: Column) -> DataFrame:
 
 def parse_documents(df: DataFrame, name: str, text: str) -> DataFrame:
     """``receipt_number`` (the file name), the parsed document and its JSON text, null where there is none."""
-    found = json_in_answer(F.col(text))
+    # The generator row computes the JSON once; a plain projection would be copied into every later filter.
+    found = F.explode(F.array(json_in_answer(F.col(text))))
     return df.select(F.col(name).cast("string").alias("receipt_number"), F.col(text).alias("raw_text"),
                      found.alias("json")).withColumn("doc", F.from_json("json", DOCUMENT))
 
