@@ -16,7 +16,7 @@ from rowmill.functions.text import PATTERNS, is_blank, matches
 from rowmill.operators.filters import SAMPLE_FIELDS
 from rowmill.operators.groups import MEDIAN_PICKS, order_statistics
 from rowmill.operators.index import as_columns
-from rowmill.operators.joins import lookup_join
+from rowmill.operators.profile import value_key
 from rowmill.operators.scaling import long_numbers
 
 # Action per noise type.
@@ -180,20 +180,17 @@ def key_duplicates(df: DataFrame, key_fields: list[str] | None, order_by) -> Dat
     if key_fields:
         keys = [F.col(name).alias(f"_k{i}") for i, name in enumerate(key_fields)]
     else:
-        keys = [_text(df, name).alias(f"_k{i}") for i, name in enumerate(df.columns) if name not in order]
+        whole = F.to_json(F.struct(*[_text(df, name).alias(name) for name in df.columns if name not in order]))
+        keys = [F.sha2(whole, 256).alias("_k0")]
     firsts = (
         df.select(*keys, F.struct(*order).alias("_order"))
-        .groupBy(*[f"_k{i}" for i in range(len(df.columns)) if f"_k{i}" in _names(keys, df)])
+        .groupBy(*[f"_k{i}" for i in range(len(keys))])
         .agg(F.min("_order").alias("_first"))
         .select("_first.*")
     )
     return df.join(firsts, order, "left_anti")
 
 
-def _names(keys: list[Column], df: DataFrame) -> set[str]:
-    return set(df.select(*keys).columns)
-
-
 def exact_duplicates(df: DataFrame, order_by) -> DataFrame:
     """Second and later records that equal an earlier one in all fields but the order key."""
     return key_duplicates(df, None, order_by)
@@ -209,7 +206,7 @@ def field_duplicates(df: DataFrame, fields: list[str], order_by) -> DataFrame:
     """Per field the second and later occurrences of each non-null value: order key, field, value."""
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     values = _long_values(df, fields, order).where(F.col("value").isNotNull()).drop("missing")
-    firsts = (values.groupBy("field", "value").agg(F.min(F.struct(*order)).alias("_first"))
+    firsts = (values.groupBy("field", value_key(F.col("value")).alias("key")).agg(F.min(F.struct(*order)).alias("_first"))
               .select("field", "_first.*"))
     return values.join(firsts, [*order, "field"], "left_anti").select(*order, "field", "value")
 

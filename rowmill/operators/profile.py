@@ -48,12 +48,37 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
+LONG_TEXT = 128  # longer values are shuffled as a digest, after their patterns were tested
+
+
+def value_key(c: Column) -> Column:
+    """The value, or for long text its sha2 digest; the digest's 129 characters never equal a short value."""
+    return F.when(F.length(c) <= LONG_TEXT, c).otherwise(F.concat(F.sha2(c, 512), F.lit("#")))
+
+
+def _tests(value: Column) -> dict[str, Column]:
+    found = {f"is_{kind}": test(value) for kind, test in _PREDICATES.items()}
+    found.update({f"p_{name}": matches(value, pattern) for name, pattern in PATTERNS})
+    return found
+
+
 def value_counts(df: DataFrame) -> DataFrame:
-    """(field, native type, value as text, count) of every distinct value, pre-aggregated per task."""
-    entries = [F.struct(F.lit(name).alias("name"), F.lit(_native(df.schema[name].dataType)).cast("string").alias("native"),
-                        _as_text(df, name).alias("value")) for name in df.columns]
-    return (df.select(F.explode(F.array(*entries)).alias("_x")).select("_x.*")
-            .groupBy("name", "native", "value").agg(F.count(F.lit(1)).alias("n")))
+    """(name, native type, value or digest, size, tests of long text, count) of every distinct value.
+
+    Values are pre-aggregated per task. ``tests`` holds one character per predicate for long text.
+    """
+    def entry(name: str) -> Column:
+        value = _as_text(df, name)
+        native = _native(df.schema[name].dataType)
+        flags = F.lit(None).cast("string")
+        if native is None:
+            flags = F.when(F.length(value) > LONG_TEXT, F.concat(
+                *[F.when(test, "1").otherwise("0") for test in _tests(value).values()]))
+        return F.struct(F.lit(name).alias("name"), F.lit(native).cast("string").alias("native"),
+                        value_key(value).alias("value"), F.length(value).alias("size"), flags.alias("tests"))
+
+    return (df.select(F.explode(F.array(*[entry(name) for name in df.columns])).alias("_x")).select("_x.*")
+            .groupBy("name", "native", "value", "size", "tests").agg(F.count(F.lit(1)).alias("n")))
 
 
 def field_profiles(df: DataFrame) -> DataFrame:
@@ -64,21 +89,24 @@ def field_profiles(df: DataFrame) -> DataFrame:
     do not count for the type; for uniqueness and cardinality only null does not count.
     """
     counted = value_counts(drop_sample_fields(df))
-    value, n, native = F.col("value"), F.col("n"), F.col("native")
+    value, n, native, size = F.col("value"), F.col("n"), F.col("native"), F.col("size")
     typed = value.isNotNull() & (value != "")
-    number = F.regexp_replace(value, "_", "").try_cast("double")
-    flags = [F.bool_and(F.when(typed, test(value))).alias(f"is_{kind}") for kind, test in _PREDICATES.items()]
-    shapes = [F.bool_and(F.when(typed, matches(value, pattern))).alias(f"p_{name}") for name, pattern in PATTERNS]
+    short = typed & (size <= LONG_TEXT)
+    number = F.when(short, F.regexp_replace(value, "_", "").try_cast("double"))
+    flags = [
+        F.bool_and(F.when(typed & native.isNull(), F.coalesce(F.substring("tests", i + 1, 1) == "1", test))).alias(label)
+        for i, (label, test) in enumerate(_tests(value).items())
+    ]
     wide = counted.groupBy("name").agg(
         F.first("native", ignorenulls=True).alias("native"),
         F.sum(n).alias("total"),
         F.coalesce(F.sum(F.when(typed, n)), F.lit(0)).alias("typed"),
         F.coalesce(F.sum(F.when(value.isNotNull(), n)), F.lit(0)).alias("present"),
         F.count(value).alias("cardinality"),
-        F.min(F.when(typed, number)).alias("low"), F.max(F.when(typed, number)).alias("high"),
-        F.min(F.when(typed, value)).alias("first_text"), F.max(F.when(typed, value)).alias("last_text"),
-        F.min(F.when(typed, F.length(value))).alias("short"), F.max(F.when(typed, F.length(value))).alias("long"),
-        *flags, *shapes,
+        F.min(number).alias("low"), F.max(number).alias("high"),
+        F.min(F.when(short, value)).alias("first_text"), F.max(F.when(short, value)).alias("last_text"),
+        F.min(F.when(typed, size)).alias("short"), F.max(F.when(typed, size)).alias("long"),
+        *flags,
     )
     judged = F.lit("string")
     for kind in reversed(list(_PREDICATES)):
@@ -127,10 +155,8 @@ def sample_values(df: DataFrame, order_by, limit: int = 10) -> DataFrame:
 def dataset_statistics(df: DataFrame) -> DataFrame:
     """One row: total_records, total_fields, duplicate_records."""
     source = drop_sample_fields(df)
-    copies = (
-        source.select(*[_as_text(source, c).alias(f"_c{i}") for i, c in enumerate(sorted(source.columns))])
-        .groupBy(*[f"_c{i}" for i in range(len(source.columns))]).agg(F.count(F.lit(1)).alias("n"))
-    )
+    whole = F.sha2(F.to_json(F.struct(*[_as_text(source, c).alias(c) for c in sorted(source.columns)])), 256)
+    copies = source.groupBy(whole.alias("record")).agg(F.count(F.lit(1)).alias("n"))
     return copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
                       F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_records")).select(
         "total_records", F.lit(len(source.columns)).cast("long").alias("total_fields"), "duplicate_records")
@@ -230,7 +256,8 @@ def type_conflicts(df: DataFrame) -> DataFrame:
     kind = F.lit("string")
     for name in reversed(["integer", "float", "datetime", "date", "time"]):
         kind = F.when(_PREDICATES[name](value), name).otherwise(kind)
-    typed = (value_counts(drop_sample_fields(df)).where(F.col("native").isNull() & value.isNotNull() & (value != ""))
+    short = value_counts(drop_sample_fields(df)).withColumn("value", F.when(F.col("size") <= LONG_TEXT, value).otherwise("long text"))
+    typed = (short.where(F.col("native").isNull() & F.col("size").isNotNull() & (value != ""))
              .groupBy("name", kind.alias("value_type")).agg(F.sum("n").alias("values")))
     mixed = typed.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("name")
     return typed.join(mixed, "name", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from rowmill.operators.documents import shred_headers, shred_items, shred_taxes
 from rowmill.operators.joins import first_per_key, is_in, not_in
+from rowmill.session import shared_dir
 from rowmill.sources.tables import TableStore
 
 TABLES = ("receipts", "receipt_items", "receipt_tax_breakdown")
@@ -25,6 +26,7 @@ def insert_receipts(store: TableStore, parsed: DataFrame, prefix: str = "") -> D
             orphans = not_in(store.load(name), store.load(names[0]), "receipt_number")
             if not orphans.isEmpty():  # left by a run that ended before its headers
                 store._replace(name, is_in(store.load(name), store.load(names[0]), "receipt_number"))
+    shared_dir(store.spark)
     fresh = fresh.checkpoint()
     store.store(names[1], shred_items(fresh))
     store.store(names[2], shred_taxes(fresh))
