@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmill.operators.groups import collect_parts, exact_median, hot_keys
-from rowmill.operators.index import as_columns
+from rowmill.operators.index import as_columns, order_value
 
 FUNCTIONS = ("sum", "count", "mean", "avg", "min", "max", "std", "first", "last", "list", "median", "mode")
 _ONE_GROUP = "_all"
+MEDIAN_ROWS = 250_000  # Spark's median keeps the distinct values of a group in memory
 
 
 def parse_spec(spec: str) -> tuple[str, str | None]:
@@ -43,7 +44,7 @@ def _one_pass(function: str, field: str, order: list[Column] | None) -> Column |
         if not order:
             raise ValueError(f"{function} needs order_by")
         pick = F.min_by if function == "first" else F.max_by
-        return pick(c, F.struct(*order))
+        return pick(c, order_value(order))
     return None
 
 
@@ -52,7 +53,7 @@ def most_common(df: DataFrame, keys: list[str], field: str, order_by, name: str)
     seen = (
         df.where(F.col(field).isNotNull())
         .groupBy(*keys, F.col(field).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct(*as_columns(order_by))).alias("_first"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min(order_value(order_by)).alias("_first"))
     )
     return seen.groupBy(*keys).agg(F.min_by("_v", F.struct((-F.col("_c")).alias("c"), "_first")).alias(name))
 
@@ -80,7 +81,7 @@ def aggregate(df: DataFrame, group_by: list[str], aggregations: dict[str, str],
         keys, source = [_ONE_GROUP], df.withColumn(_ONE_GROUP, F.lit(1))
     order = as_columns(order_by) if order_by is not None else None
     medians = [n for n, (f, c) in specs.items() if f == "median" and c]
-    split_median = bool(medians) and hot_keys(source, keys) is not None
+    split_median = bool(medians) and hot_keys(source, keys, MEDIAN_ROWS) is not None
 
     columns, later = [], []
     for name, (function, field) in specs.items():

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmill.functions.dates import standard_date
 from rowmill.functions.numbers import DIGITS
-from rowmill.operators.index import as_columns
+from rowmill.operators.index import order_value
 
 COMMON_SHARE = 0.3  # fixed value: below this share of common keys a data set is ambiguous
 
@@ -17,7 +17,7 @@ def variants(df: DataFrame, json: str, order_by) -> DataFrame:
     """Distinct key sets with their record counts: fields (sorted, null if no object), count, first_seen."""
     keys = F.array_sort(F.json_object_keys(json))
     return df.groupBy(keys.alias("fields")).agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct(*as_columns(order_by))).alias("first_seen"))
+        F.count(F.lit(1)).alias("count"), F.min(order_value(order_by)).alias("first_seen"))
 
 
 def variant_counts(df: DataFrame, json: str, order_by, limit: int | None = None) -> DataFrame:

@@ -8,13 +8,15 @@ from rowmill.operators.index import as_columns
 from rowmill.operators.joins import lookup_join
 from rowmill.session import shuffle_partitions
 
-GROUP_ROWS = 100_000   # groups up to this many rows are handled inside one task
-SKETCH = 100_000       # accuracy of the quantile sketch used to bracket a position
+GROUP_ROWS = 100_000     # a group of up to this many rows may be held in memory by one task
+RANKED_ROWS = 1_000_000  # a group of up to this many rows may be sorted, and spilled, by one task
+SKETCH = 100_000         # accuracy of the quantile sketch used to bracket a position
 SLACK = 3.0 / SKETCH
 
 
-def hot_keys(df: DataFrame, keys: list[str], max_rows: int = GROUP_ROWS) -> DataFrame | None:
-    """Keys with more than ``max_rows`` rows, or None. There are at most rows / max_rows of them."""
+def hot_keys(df: DataFrame, keys: list[str], max_rows: int | None = None) -> DataFrame | None:
+    """Keys with more than ``max_rows`` (GROUP_ROWS) rows, or None. There are at most rows / max_rows of them."""
+    max_rows = GROUP_ROWS if max_rows is None else max_rows
     hot = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > max_rows).drop("_rows")
@@ -62,12 +64,12 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict) ->
     ``picks`` maps an output name to ``(fraction, position)``: ``position`` turns the group's count of
     non-null values into a 0-based position and ``fraction`` says roughly where that lies.
 
-    Groups within GROUP_ROWS are ranked by running counts of their distinct values. Larger groups are
+    Groups within RANKED_ROWS are ranked by running counts of their distinct values. Larger groups are
     read twice: a mergeable quantile sketch brackets each position, then only the values inside the
     bracket are ranked, while those below it are merely counted.
     """
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    hot = hot_keys(base, keys)
+    hot = hot_keys(base, keys, RANKED_ROWS)
     usual = base if hot is None else lookup_join(base, hot, keys, "left_anti", null_safe=True)
     result = _ranked(usual, keys, picks)
     if hot is None:

@@ -14,6 +14,15 @@ def as_columns(order_by) -> list[Column]:
     return [F.col(item) if isinstance(item, str) else item for item in items]
 
 
+def order_value(order_by) -> Column:
+    """One comparable value per row: the order column itself, or a struct of several.
+
+    A single fixed-width column lets minimum and maximum run in a hash aggregation.
+    """
+    keys = as_columns(order_by)
+    return keys[0] if len(keys) == 1 else F.struct(*keys)
+
+
 def global_index(df: DataFrame, order_by, name: str = "row_index") -> DataFrame:
     """Add the 0-based position of every row in the order of ``order_by`` (a unique key).
 

@@ -15,7 +15,7 @@ from rowmill.functions.numbers import numeric_fields
 from rowmill.functions.text import PATTERNS, is_blank, matches
 from rowmill.operators.filters import SAMPLE_FIELDS
 from rowmill.operators.groups import MEDIAN_PICKS, order_statistics
-from rowmill.operators.index import as_columns
+from rowmill.operators.index import order_value
 from rowmill.operators.profile import value_key
 from rowmill.operators.scaling import long_numbers
 
@@ -170,6 +170,10 @@ def outlier_tests(df: DataFrame, fields: list[str] | None = None, threshold: flo
 
 # ---- duplicates -----------------------------------------------------------------------------------
 
+def _unpacked(order: list[str]) -> list[Column]:
+    return [F.col("_first").alias(order[0])] if len(order) == 1 else [F.col(f"_first.{c}").alias(c) for c in order]
+
+
 def key_duplicates(df: DataFrame, key_fields: list[str] | None, order_by) -> DataFrame:
     """Second and later records with equal key fields (all fields when none are given).
 
@@ -183,10 +187,10 @@ def key_duplicates(df: DataFrame, key_fields: list[str] | None, order_by) -> Dat
         whole = F.to_json(F.struct(*[_text(df, name).alias(name) for name in df.columns if name not in order]))
         keys = [F.sha2(whole, 256).alias("_k0")]
     firsts = (
-        df.select(*keys, F.struct(*order).alias("_order"))
+        df.select(*keys, *order)
         .groupBy(*[f"_k{i}" for i in range(len(keys))])
-        .agg(F.min("_order").alias("_first"))
-        .select("_first.*")
+        .agg(F.min(order_value(order)).alias("_first"))
+        .select(*_unpacked(order))
     )
     return df.join(firsts, order, "left_anti")
 
@@ -206,8 +210,8 @@ def field_duplicates(df: DataFrame, fields: list[str], order_by) -> DataFrame:
     """Per field the second and later occurrences of each non-null value: order key, field, value."""
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     values = _long_values(df, fields, order).where(F.col("value").isNotNull()).drop("missing")
-    firsts = (values.groupBy("field", value_key(F.col("value")).alias("key")).agg(F.min(F.struct(*order)).alias("_first"))
-              .select("field", "_first.*"))
+    firsts = (values.groupBy("field", value_key(F.col("value")).alias("key")).agg(F.min(order_value(order)).alias("_first"))
+              .select("field", *_unpacked(order)))
     return values.join(firsts, [*order, "field"], "left_anti").select(*order, "field", "value")
 
 

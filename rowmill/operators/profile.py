@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rowmill.functions.numbers import is_integer_text, is_number_text
+from rowmill.functions.numbers import is_integer_text, is_number_text, to_number
 from rowmill.functions.text import (
     PATTERNS, is_boolean_text, is_date_text, is_datetime_text, is_time_text, matches)
 from rowmill.operators.filters import drop_sample_fields
@@ -21,6 +21,9 @@ _PREDICATES = {
 }
 
 
+_NATIVE = ("boolean", "integer", "float", "datetime", "date", "array", "object")
+
+
 def _native(kind: T.DataType) -> str | None:
     """The profile type of a typed column; text columns are judged by their values."""
     if isinstance(kind, T.BooleanType):
@@ -56,29 +59,31 @@ def value_key(c: Column) -> Column:
     return F.when(F.length(c) <= LONG_TEXT, c).otherwise(F.concat(F.sha2(c, 512), F.lit("#")))
 
 
-def _tests(value: Column) -> dict[str, Column]:
-    found = {f"is_{kind}": test(value) for kind, test in _PREDICATES.items()}
-    found.update({f"p_{name}": matches(value, pattern) for name, pattern in PATTERNS})
-    return found
+_BITS = [*_PREDICATES, *[name for name, _ in PATTERNS]]
+
+
+def _test_bits(value: Column) -> Column:
+    """All type predicates and patterns of a text as one number, a bit each."""
+    tests = [*[test(value) for test in _PREDICATES.values()], *[matches(value, p) for _, p in PATTERNS]]
+    return reduce(lambda a, b: a + b, [F.when(test, 1 << i).otherwise(0) for i, test in enumerate(tests)])
 
 
 def value_counts(df: DataFrame) -> DataFrame:
-    """(name, native type, value or digest, size, tests of long text, count) of every distinct value.
+    """(name, native type, value or digest, size, test bits of long text, count) of every distinct value.
 
-    Values are pre-aggregated per task. ``tests`` holds one character per predicate for long text.
+    Values are pre-aggregated per task.
     """
     def entry(name: str) -> Column:
         value = _as_text(df, name)
         native = _native(df.schema[name].dataType)
-        flags = F.lit(None).cast("string")
+        bits = F.lit(None).cast("int")
         if native is None:
-            flags = F.when(F.length(value) > LONG_TEXT, F.concat(
-                *[F.when(test, "1").otherwise("0") for test in _tests(value).values()]))
+            bits = F.when(F.length(value) > LONG_TEXT, _test_bits(value))
         return F.struct(F.lit(name).alias("name"), F.lit(native).cast("string").alias("native"),
-                        value_key(value).alias("value"), F.length(value).alias("size"), flags.alias("tests"))
+                        value_key(value).alias("value"), F.length(value).alias("size"), bits.alias("bits"))
 
     return (df.select(F.explode(F.array(*[entry(name) for name in df.columns])).alias("_x")).select("_x.*")
-            .groupBy("name", "native", "value", "size", "tests").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy("name", "native", "value", "size", "bits").agg(F.count(F.lit(1)).alias("n")))
 
 
 def field_profiles(df: DataFrame) -> DataFrame:
@@ -92,29 +97,30 @@ def field_profiles(df: DataFrame) -> DataFrame:
     value, n, native, size = F.col("value"), F.col("n"), F.col("native"), F.col("size")
     typed = value.isNotNull() & (value != "")
     short = typed & (size <= LONG_TEXT)
-    number = F.when(short, F.regexp_replace(value, "_", "").try_cast("double"))
-    flags = [
-        F.bool_and(F.when(typed & native.isNull(), F.coalesce(F.substring("tests", i + 1, 1) == "1", test))).alias(label)
-        for i, (label, test) in enumerate(_tests(value).items())
-    ]
-    wide = counted.groupBy("name").agg(
-        F.first("native", ignorenulls=True).alias("native"),
+    number = F.when(short, to_number(value))
+    bits = F.when(typed & native.isNull(), F.coalesce("bits", _test_bits(value)))
+    natives = F.array(*[F.lit(kind) for kind in _NATIVE])
+    is_time = (native == "datetime") | (F.col("bits").bitwiseAND(1 << _BITS.index("datetime")) != 0)
+    moment = F.when(short & is_time, F.unix_micros(F.try_to_timestamp(value)))
+    wide = counted.withColumn("bits", bits).groupBy("name").agg(  # fixed-width buffers only, so this stays a hash aggregation
+        F.max(F.array_position(natives, native)).alias("native_code"),
         F.sum(n).alias("total"),
         F.coalesce(F.sum(F.when(typed, n)), F.lit(0)).alias("typed"),
         F.coalesce(F.sum(F.when(value.isNotNull(), n)), F.lit(0)).alias("present"),
         F.count(value).alias("cardinality"),
         F.min(number).alias("low"), F.max(number).alias("high"),
-        F.min(F.when(short, value)).alias("first_text"), F.max(F.when(short, value)).alias("last_text"),
         F.min(F.when(typed, size)).alias("short"), F.max(F.when(typed, size)).alias("long"),
-        *flags,
-    )
+        F.min(moment).alias("first_time"), F.max(moment).alias("last_time"),
+        F.bit_and("bits").alias("bits"),
+    ).withColumn("native", F.get(natives, (F.col("native_code") - 1).cast("int")))
+    holds = lambda name: F.col("bits").bitwiseAND(1 << _BITS.index(name)) != 0
     judged = F.lit("string")
     for kind in reversed(list(_PREDICATES)):
-        judged = F.when(F.col(f"is_{kind}"), kind).otherwise(judged)
+        judged = F.when(holds(kind), kind).otherwise(judged)
     kind = F.when(F.col("typed") == 0, "null").otherwise(F.coalesce(native, judged))
     pattern = F.lit(None).cast("string")
     for name, _ in reversed(PATTERNS):
-        pattern = F.when(F.col(f"p_{name}"), name).otherwise(pattern)
+        pattern = F.when(holds(name), name).otherwise(pattern)
     numeric, text, time = F.col("type").isin("integer", "float"), F.col("type") == "string", F.col("type") == "datetime"
     return wide.withColumn("type", kind).select(
         "name", "type",
@@ -123,7 +129,8 @@ def field_profiles(df: DataFrame) -> DataFrame:
         "cardinality",
         F.when(F.col("present") > 0, F.col("cardinality") / F.col("present")).otherwise(0.0).alias("cardinality_ratio"),
         F.when(numeric, F.col("low")).alias("min"), F.when(numeric, F.col("high")).alias("max"),
-        F.when(time, F.col("first_text")).alias("min_time"), F.when(time, F.col("last_text")).alias("max_time"),
+        F.when(time, F.timestamp_micros("first_time").cast("string")).alias("min_time"),
+        F.when(time, F.timestamp_micros("last_time").cast("string")).alias("max_time"),
         F.when(text, F.col("short")).when(F.col("type") == "null", 0).alias("min_length"),
         F.when(text, F.col("long")).when(F.col("type") == "null", 0).alias("max_length"),
         F.when(text, pattern).alias("pattern"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowmill.operators.groups import hot_keys
+from rowmill.operators import groups
 from rowmill.operators.index import global_index
 from rowmill.operators.joins import first_per_key, lookup_join
 
@@ -34,7 +34,7 @@ def versions(df: DataFrame, key: str, valid_from: str) -> DataFrame:
     Where a key has very many versions the rows are indexed in (key, time) order and each is joined to
     its successor by position, which no key can skew.
     """
-    if hot_keys(df, [key]) is None:
+    if groups.hot_keys(df, [key], groups.RANKED_ROWS) is None:
         following = F.lead(valid_from).over(Window.partitionBy(key).orderBy(valid_from))
         dated = df.withColumn("valid_to", following)
     else:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from rowmill.operators.encoding import MAX_CATEGORIES, categories
 from rowmill.operators.groups import GROUP_ROWS, collect_parts
-from rowmill.operators.index import as_columns
+from rowmill.operators.index import order_value
 
 
 def pivot_long(df: DataFrame, index: str, columns: str, values: str, order_by) -> DataFrame:
     """The last value of every (index, column) pair as rows: the form for any number of columns."""
-    return df.groupBy(index, columns).agg(F.max_by(values, F.struct(*as_columns(order_by))).alias(values))
+    return df.groupBy(index, columns).agg(F.max_by(values, order_value(order_by)).alias(values))
 
 
 def pivot(df: DataFrame, index: str, columns: str, values: str, order_by,
@@ -25,7 +25,7 @@ def pivot(df: DataFrame, index: str, columns: str, values: str, order_by,
         column_values = categories(named, columns)
         if column_values is None:
             raise ValueError(f"{columns} has over {MAX_CATEGORIES} values: use pivot_long for the same in rows")
-    last = F.max_by(values, F.struct(*as_columns(order_by)))
+    last = F.max_by(values, order_value(order_by))
     return named.groupBy(index).pivot(columns, column_values).agg(last)
 
 

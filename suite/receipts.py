@@ -19,7 +19,7 @@ def _texts(spark, sf_dir):
         F.array_sort(F.collect_list(F.struct(
             F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"),
             F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax")))).alias("lines"))
-    orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    orders = table(spark, sf_dir, "orders").join(lines.hint("merge"), "o_orderkey", "left")  # as it is planned at scale
     items = F.transform("lines", lambda x: F.struct(
         F.concat(F.lit("part "), x["p"].cast("string")).alias("description"), x["qty"].alias("quantity"),
         F.format_string("%.2f", x["price"]).alias("unit_price"), x["price"].alias("line_total")))

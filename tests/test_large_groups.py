@@ -34,7 +34,8 @@ def test_global_index(skewed):
 
 @pytest.mark.parametrize("bound", [100, 10**6])
 def test_median_per_group(skewed, monkeypatch, bound):
-    monkeypatch.setattr(groups.hot_keys, "__defaults__", (bound,))
+    monkeypatch.setattr(groups, "GROUP_ROWS", bound)
+    monkeypatch.setattr(groups, "RANKED_ROWS", bound)
     monkeypatch.setattr(groups, "SLACK", 0.02)
     out = aggregate.aggregate(skewed, ["key"], {"mid": "median,value", "n": "count"})
     for r in out.collect():
@@ -43,7 +44,7 @@ def test_median_per_group(skewed, monkeypatch, bound):
 
 
 def test_positions_in_a_large_group(skewed, monkeypatch):
-    monkeypatch.setattr(groups.hot_keys, "__defaults__", (100,))
+    monkeypatch.setattr(groups, "RANKED_ROWS", 100)
     monkeypatch.setattr(groups, "SLACK", 0.02)  # the bound and the slack go together: a bracket spans several rows
     picks = {f"p{i}": (i / 10, lambda n, i=i: F.floor((n - 1) * i / 10)) for i in range(11)}
     for r in groups.order_statistics(skewed, ["key"], "value", picks).collect():
@@ -52,7 +53,7 @@ def test_positions_in_a_large_group(skewed, monkeypatch):
 
 
 def test_position_outside_its_bracket_is_an_error(skewed, monkeypatch):
-    monkeypatch.setattr(groups.hot_keys, "__defaults__", (100,))
+    monkeypatch.setattr(groups, "RANKED_ROWS", 100)
     wrong = {"p": (0.1, lambda n: F.floor(n * 0.9))}
     with pytest.raises(Exception, match="outside its bracket"):
         groups.order_statistics(skewed, ["key"], "value", wrong).collect()
@@ -132,21 +133,21 @@ def test_many_categories_have_a_row_form(skewed, monkeypatch):
 
 def test_robust_scaling_of_a_large_column(skewed, monkeypatch):
     wanted = rows(scaling.normalize(skewed, ["value"], "robust"))
-    monkeypatch.setattr(groups.hot_keys, "__defaults__", (100,))
+    monkeypatch.setattr(groups, "RANKED_ROWS", 100)
     monkeypatch.setattr(groups, "SLACK", 0.02)
     assert rows(scaling.normalize(skewed, ["value"], "robust")) == wanted
 
 
 def test_outlier_statistics_of_a_large_column(skewed, monkeypatch):
     wanted = noise.mad_tests(skewed, ["value"]), noise.iqr_tests(skewed, ["value"])
-    monkeypatch.setattr(groups.hot_keys, "__defaults__", (100,))
+    monkeypatch.setattr(groups, "RANKED_ROWS", 100)
     monkeypatch.setattr(groups, "SLACK", 0.02)
     assert (noise.mad_tests(skewed, ["value"]), noise.iqr_tests(skewed, ["value"])) == wanted
 
 
 def test_versions_of_a_frequent_key(skewed, monkeypatch):
     wanted = rows(renew.versions(skewed, "key", "id"))
-    monkeypatch.setattr(groups.hot_keys, "__defaults__", (100,))
+    monkeypatch.setattr(groups, "RANKED_ROWS", 100)
     assert rows(renew.versions(skewed, "key", "id")) == wanted
 
 
