@@ -44,11 +44,16 @@ def _compared_with_text(expression: str, name: str) -> bool:
     return bool(re.search(after, expression, re.I) or re.search(before, expression))
 
 
-def with_expression(df: DataFrame, target: str, expression: str, wrap=lambda c: c) -> DataFrame:
-    """Add ``target`` from a SQL expression; text fields used as numbers are read as numbers first."""
+def text_numbers(expression: str, df: DataFrame) -> list[str]:
+    """Text columns that the expression uses as numbers: those it does not compare with quoted text."""
     kinds = dict(df.dtypes)
-    text = [n for n in expression_names(expression, df.columns)
+    return [n for n in expression_names(expression, df.columns)
             if kinds[n] == "string" and not _compared_with_text(expression, n)]
+
+
+def with_expression(df: DataFrame, target: str, expression: str, wrap=lambda c: c) -> DataFrame:
+    """Add ``target`` from a SQL expression; text fields used as numbers are read as numbers first."""
+    text = text_numbers(expression, df)
     value = wrap(F.expr(expression)).alias(target)
     rest = [n for n in df.columns if n != target]
     if not text:

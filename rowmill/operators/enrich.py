@@ -79,8 +79,7 @@ class Conditional(Rule):
     false_value: Any = None
 
     def apply(self, df: DataFrame) -> DataFrame:
-        choose = lambda c: F.when(F.coalesce(c.cast("boolean"), F.lit(False)), F.lit(self.true_value)).otherwise(
-            F.lit(self.false_value))
+        choose = lambda c: F.when(c.cast("boolean"), F.lit(self.true_value)).otherwise(F.lit(self.false_value))
         return with_expression(df, self.target, self.condition, choose)
 
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from rowmill.functions.numbers import with_expression
+from rowmill.functions.numbers import text_numbers, with_expression
 
 SAMPLE_FIELDS = ("_sample_index", "_sample_strategy")
 
@@ -15,8 +15,9 @@ def filter_rows(df: DataFrame, condition: str | None) -> DataFrame:
     """Rows where the condition is true; a null result drops the row. No condition keeps all."""
     if not condition:
         return df
-    keep = with_expression(df, "_keep", condition, lambda c: F.coalesce(c.cast("boolean"), F.lit(False)))
-    return keep.where("_keep").drop("_keep")
+    if not text_numbers(condition, df):
+        return df.where(F.expr(condition).cast("boolean"))  # plain, so that it reaches the scan
+    return with_expression(df, "_keep", condition, lambda c: c.cast("boolean")).where("_keep").drop("_keep")
 
 
 def equals_all(query: dict | None):
