@@ -58,13 +58,15 @@ def _with_preamble(batches):
 
 
 @query("src_json_envelope", """SELECT event_id, value FROM events WHERE user_id % 3 <> 2
-UNION ALL SELECT arg_min(event_id, event_id), arg_min(value, event_id) FROM events WHERE user_id % 3 = 2 GROUP BY user_id""")
+UNION ALL SELECT arg_min(event_id, event_id), arg_min(value, event_id) FROM events WHERE user_id % 3 = 2
+GROUP BY user_id, event_id // 1000""")
 def src_json_envelope(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     path = staged_path(spark, "documents")
     first = F.min_by(F.struct("event_id", "value"), "event_id")
     place = F.col("user_id") % 3
-    listed = events.groupBy("user_id").agg(F.collect_list(F.struct("event_id", "value")).alias("all"), first.alias("first"))
+    # one document per user and thousand events, so a busy user has several
+    listed = events.groupBy("user_id", F.floor(F.col("event_id") / 1000)).agg(F.collect_list(F.struct("event_id", "value")).alias("all"), first.alias("first"))
     listed.select(F.to_json(F.struct(
         F.when(place == 0, F.col("all")).alias("records"), F.when(place == 1, F.col("all")).alias("data"),
         F.when(place == 2, F.col("first.event_id")).alias("event_id"),
@@ -133,16 +135,16 @@ def src_parquet_roundtrip(spark, sf_dir):
     return readers.read_parquet(spark, path)
 
 
-@query("src_binary_listing", """SELECT c_mktsegment AS segment, CAST(count(*) * 33 AS BIGINT) AS length,
+@query("src_binary_listing", """SELECT c_custkey // 500 AS bucket, CAST(count(*) * 33 AS BIGINT) AS length,
 md5(string_agg(md5(CAST(c_custkey AS VARCHAR)) || chr(10), '' ORDER BY c_custkey)) AS content_md5 FROM customer GROUP BY ALL""")
 def src_binary_listing(spark, sf_dir):
     path = staged_path(spark, "files")
     lines = table(spark, sf_dir, "customer").select(
-        "c_mktsegment", "c_custkey", F.md5(F.col("c_custkey").cast("string")).alias("value"))
-    (lines.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey")
-     .select("c_mktsegment", "value").write.partitionBy("c_mktsegment").text(path))
+        F.floor(F.col("c_custkey") / 500).alias("bucket"), "c_custkey", F.md5(F.col("c_custkey").cast("string")).alias("value"))
+    (lines.repartition("bucket").sortWithinPartitions("bucket", "c_custkey")
+     .select("bucket", "value").write.partitionBy("bucket").text(path))
     listing = files.list_files(spark, path, "*.txt")
-    return listing.select(F.col("c_mktsegment").alias("segment"), "length", files.content_hash().alias("content_md5"))
+    return listing.select(F.col("bucket").cast("long").alias("bucket"), "length", files.content_hash().alias("content_md5"))
 
 
 def _detectable(spark, sf_dir):

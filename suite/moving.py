@@ -95,22 +95,24 @@ def stream_batches(spark, sf_dir):
     return whole.withColumn("total", F.round("total", 2))
 
 
-@query("file_events", """SELECT 'created' AS type, count(*) AS n, max(length(c_mktsegment)) > 0 AS sized FROM (SELECT DISTINCT c_mktsegment FROM customer)""")
-def file_events(spark, sf_dir):
+def _watched(spark, sf_dir):
+    """A folder with one file per 500 customers."""
     path = staged_path(spark, "watched")
-    rows = table(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_name").alias("value"))
-    rows.repartition("c_mktsegment").write.partitionBy("c_mktsegment").text(path)
-    after = files.list_files(spark, path, "*.txt")
+    rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 500).alias("bucket"), F.col("c_name").alias("value"))
+    rows.repartition("bucket").write.partitionBy("bucket").text(path)
+    return path
+
+
+@query("file_events", "SELECT 'created' AS type, count(DISTINCT c_custkey // 500) AS n, count(*) > 0 AS sized FROM customer")
+def file_events(spark, sf_dir):
+    after = files.list_files(spark, _watched(spark, sf_dir), "*.txt")
     events = files.file_events(after.limit(0), after)
     return events.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("size") > 0).alias("sized"))
 
 
-@query("stream_watch", "SELECT 'created' AS type, count(DISTINCT c_mktsegment) AS n FROM customer")
+@query("stream_watch", "SELECT 'created' AS type, count(DISTINCT c_custkey // 500) AS n FROM customer")
 def stream_watch(spark, sf_dir):
-    path = staged_path(spark, "watched")
-    rows = table(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_name").alias("value"))
-    rows.repartition("c_mktsegment").write.partitionBy("c_mktsegment").text(path)
-    seen = _drain(spark, m.watch_created(spark, f"{path}/*", "*.txt"))
+    seen = _drain(spark, m.watch_created(spark, f"{_watched(spark, sf_dir)}/*", "*.txt"))
     return seen.groupBy("type").agg(F.count_distinct("path").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rowmill.functions import text
 from rowmill.operators import documents as d
+from rowmill.operators.groups import collect_parts
 from rowmill.sources.receipts import insert_receipts
 from rowmill.sources.tables import TableStore
 from suite.registry import query, table
@@ -15,10 +16,10 @@ from suite.registry import query, table
 
 def _texts(spark, sf_dir):
     """One text per order with its document as JSON: fenced, plain, inside prose, or cut off."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"),
-            F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax")))).alias("lines"))
+    lines = collect_parts(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"],
+                          ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+                          {"p": F.col("l_partkey"), "price": F.col("l_extendedprice"), "qty": F.col("l_quantity"), "tax": F.col("l_tax")},
+                          items="lines")
     orders = table(spark, sf_dir, "orders").join(lines.hint("merge"), "o_orderkey", "left")  # as it is planned at scale
     items = F.transform("lines", lambda x: F.struct(
         F.concat(F.lit("part "), x["p"].cast("string")).alias("description"), x["qty"].alias("quantity"),
@@ -37,8 +38,8 @@ def _texts(spark, sf_dir):
         F.when(kind == 0, F.concat(F.lit("```json\n"), document, F.lit("\n```")))
         .when(kind == 1, document).when(kind == 2, F.concat(F.lit("Here it is: "), document, F.lit(" Bye.")))
         .otherwise(F.substring(document, 1, 30)))
-    return orders.select("o_orderkey", F.concat(F.lit("r"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("filename"),
-                         wrapped.alias("raw_text"))
+    number = F.concat_ws("-", "o_orderkey", F.expr("nullif(part, 0)"))  # an order with very many lines gives several texts
+    return orders.select("o_orderkey", F.concat(F.lit("r"), number, F.lit(".png")).alias("filename"), wrapped.alias("raw_text"))
 
 
 def _parsed(spark, sf_dir):

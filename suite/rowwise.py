@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowmill.functions import names, text
 from rowmill.operators import enrich, filters, reshape
+from rowmill.operators.groups import collect_parts
 from suite.registry import LINE_KEY, query, table
 
 
@@ -125,8 +126,9 @@ def norm_keys_snake_field(spark, sf_dir):
 @query("flatten_nested", """SELECT o_orderkey, l_linenumber AS lines_number, l_quantity AS lines_detail_quantity
 FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""")
 def flatten_nested(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.collect_list(F.struct(F.col("l_linenumber").alias("number"),
-                                F.struct(F.col("l_quantity").alias("quantity")).alias("detail"))).alias("lines"))
+    lines = collect_parts(
+        table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"],
+        ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+        {"number": F.col("l_linenumber"), "detail": F.struct(F.col("l_quantity").alias("quantity"))}, items="lines").drop("part")
     nested = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
     return reshape.flatten(nested)
