@@ -73,8 +73,11 @@ def value_counts(df: DataFrame) -> DataFrame:
 
     Values are pre-aggregated per task.
     """
+    # Texts are a projection of their own: used several times below, they are computed once.
+    texts = df.select(*[_as_text(df, name).alias(name) for name in df.columns])
+
     def entry(name: str) -> Column:
-        value = _as_text(df, name)
+        value = F.col(f"`{name}`")
         native = _native(df.schema[name].dataType)
         bits = F.lit(None).cast("int")
         if native is None:
@@ -82,7 +85,7 @@ def value_counts(df: DataFrame) -> DataFrame:
         return F.struct(F.lit(name).alias("name"), F.lit(native).cast("string").alias("native"),
                         value_key(value).alias("value"), F.length(value).alias("size"), bits.alias("bits"))
 
-    return (df.select(F.explode(F.array(*[entry(name) for name in df.columns])).alias("_x")).select("_x.*")
+    return (texts.select(F.explode(F.array(*[entry(name) for name in df.columns])).alias("_x")).select("_x.*")
             .groupBy("name", "native", "value", "size", "bits").agg(F.count(F.lit(1)).alias("n")))
 
 
