@@ -44,3 +44,19 @@ def op9(spark, sf_dir):
     from rowmill.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).withColumnRenamed("id", "doc_id")
+
+
+def _ids_text(ids):
+    return F.array_join(ids.cast("array<string>"), " ")
+
+
+@query("op5_byte_bpe")
+def op5(spark, sf_dir):
+    import public_tokenizers
+
+    from rowmill.llm.bpe import decode, encode
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(_ids_text(F.col("ids")), 256).alias("ids_sha256"), "ids")
+    return decode(coded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
