@@ -100,7 +100,7 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Give each member a block; members come in the order of their columns (order, rep)."""
+    """Give each member a block; near ones by bucket, component and size get the same."""
     def run(frames):
         block, docs, load = TaskContext.get().partitionId() << 32, 0, 0
         for frame in frames:
@@ -112,8 +112,8 @@ def _blocks(members: DataFrame) -> DataFrame:
             yield frame.assign(block=out)[["rep", "block"]]
 
     n = shuffle_partitions(members.sparkSession)
-    order = [c for c in members.columns if c not in ("rep", "n_shingles")]
-    laid = members.repartitionByRange(n, *order, "rep").sortWithinPartitions(*order, "rep")
+    order = [c for c in ("order", "component", "n_shingles", "rep") if c in members.columns]
+    laid = members.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return stage(laid.mapInPandas(run, "rep long, block long"), "blocks")
 
 
@@ -168,14 +168,20 @@ def _verify(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest of the links between the documents of each pair of blocks, confirmed on the full sets."""
-    sides = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
-    rows = blocks.join(sets, "rep").join(sides, "block")
-    return rows.select("lo", "hi", "block", "rep", "shingles").groupBy("lo", "hi").applyInPandas(
+def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest of the links between the documents listed for each pair of blocks, confirmed on full sets.
+
+    ``rows`` has lo, hi, block, rep: only documents that share a bucket with a document of the other block and may
+    be similar by the sizes of their sets are listed.
+    """
+    return rows.distinct().join(sets, "rep").select("lo", "hi", "block", "rep", "shingles").groupBy("lo", "hi").applyInPandas(
         _verify(percent), "a long, b long")
 
 
+def _sides(block: str, other: str) -> list:
+    return [F.least(block, other).alias("lo"), F.greatest(block, other).alias("hi")]
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                     bands: int = BANDS) -> DataFrame:
     """Columns id, n_shingles, component_id, kept of every row: components of links with similarity >= percent / 100.
@@ -185,8 +191,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in a band form a bucket. Members of buckets are laid out in blocks of bounded size, and blocks are compared by a
     matrix product over their full sets: first each block with the blocks of its buckets' smallest members, which
     joins a large group of copies in linear work; then, for buckets that still hold more than one component, every
-    two blocks that share such a bucket, unless all their members are one component already. Only a spanning forest
-    of confirmed links is written, never the pairs of a group, and no bucket or group has a cap.
+    two blocks that share such a bucket, except where all are one component already. Documents whose set sizes rule
+    a link out are left out of a comparison. Only a spanning forest of confirmed links is written, never the pairs
+    of a group, and no bucket or group has a cap.
 
     An empty or null text, or one without words, has no shingles and links with nothing; fewer than five words are
     one shingle. Rows with a null id have a null component and are kept. Rows that repeat an id are documents of
@@ -196,34 +203,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sig = stage(signatures(docs, "id", "text", bands), "signatures")
     classes = stage(sig.where("n_shingles > 0 and id is not null").groupBy("digest_a", "digest_b").agg(
         F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "classes")
-    keys = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
+    keys = classes.select("rep", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     members = stage(keys.join(shared.select("key", "pivot"), "key"), "members")
-    found = members.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"), F.min("pivot").alias("order"))
+    found = stage(members.groupBy("rep").agg(F.min("pivot").alias("order")).join(
+        classes.select("rep", "n_shingles"), "rep"), "found")
     sets = stage(shingle_sets(docs.join(found.select(F.col("rep").alias("id")), "id", "left_semi"), "id", "text")
                  .withColumnRenamed("id", "rep").where(F.size("shingles") > 0), "sets")
 
-    blocks = _blocks(found)
-    other = blocks.select(F.col("rep").alias("pivot"), F.col("block").alias("hi"))
-    stars = members.select("rep", "pivot").distinct().join(blocks, "rep").join(other, "pivot")
-    links = stage(_links(_ordered(stars.select(F.col("block").alias("lo"), "hi")), blocks, sets, percent), "links")
-    joined = components(links)
-
-    named = members.select("key", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.withColumn("component", F.coalesce("component", "rep"))
+    blocks = found.select("rep", "n_shingles").join(_blocks(found), "rep")
+    pivots = blocks.select(*[F.col(c).alias(f"p_{c}") for c in blocks.columns])
+    stars = members.where("rep <> pivot").select("rep", "pivot").distinct().join(blocks, "rep").join(
+        pivots, F.col("pivot") == F.col("p_rep")).where(
+        f"100 * n_shingles >= {percent} * p_n_shingles and 100 * p_n_shingles >= {percent} * n_shingles")
+    stars = stage(stars.select(*_sides("block", "p_block"), "rep", "block", "p_rep", "p_block"), "stars")
+    rows = stars.select("lo", "hi", "block", "rep").union(stars.select("lo", "hi", "p_block", "p_rep"))
+    links = stage(_links(rows, sets, percent), "links")
+    joined = components(links).withColumnRenamed("node", "rep")
+
+    named = members.select("key", "rep").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_ = stage(named.join(mixed.select("key"), "key", "left_semi"), "open")
-    again = _blocks(open_.select("rep", "component").distinct().join(found, "rep").select("order", "component", "rep", "n_shingles"))
-    state = open_.select("rep", "component").distinct().join(again, "rep").groupBy("block").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"))
-    in_block = open_.join(again, "rep").select("key", "block").distinct()
-    pairs = in_block.select("key", F.col("block").alias("lo")).join(
-        in_block.select("key", F.col("block").alias("hi")), "key").where("lo <= hi").select("lo", "hi").distinct()
-    ends = [state.select(F.col("block").alias(c), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
-            for c in ("lo", "hi")]
-    pairs = pairs.join(ends[0], "lo").join(ends[1], "hi").where(
-        "least(lo_low, hi_low) <> greatest(lo_high, hi_high)").select("lo", "hi")
-    more = _links(pairs, again, sets, percent)
+    open_ = stage(named.join(mixed.select("key"), "key", "left_semi").join(found, "rep"), "open")
+    again = _blocks(open_.select("order", "component", "n_shingles", "rep").distinct())
+    placed = open_.join(again, "rep").select("key", "rep", "component", "n_shingles", "block")
+    others = placed.groupBy("key", F.col("block").alias("other")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    rows = placed.join(others, "key").where(
+        f"(component <> low or component <> high) and 100 * n_shingles >= {percent} * least and 100 * most >= {percent} * n_shingles")
+    more = _links(rows.select(*_sides("block", "other"), "block", "rep"), sets, percent)
 
     final = components(links.union(more)).withColumnsRenamed({"node": "rep"})
     named = classes.select("digest_a", "digest_b", "rep").join(final, "rep", "left").select(
@@ -232,10 +240,3 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component = F.when(F.col("id").isNull(), None).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select("id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs of blocks with the smaller first, and each block with itself."""
-    pairs = pairs.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
-    return pairs.union(pairs.select("lo", F.col("lo").alias("hi"))).union(
-        pairs.select(F.col("hi").alias("lo"), "hi")).distinct()

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from rowmill.session import staged_path
@@ -45,7 +46,7 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice stay within the limit, where a single text does."""
     column = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.binary_length(column).fill_null(0), np.int64)
+    sizes = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
     ends, start = np.cumsum(sizes), 0
     while start < len(sizes):
         before = ends[start - 1] if start else 0
