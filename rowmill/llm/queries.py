@@ -60,3 +60,66 @@ def op5(spark, sf_dir):
     coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
     coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(_ids_text(F.col("ids")), 256).alias("ids_sha256"), "ids")
     return decode(coded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_line_dedup", r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+keyed AS (
+    SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+    SELECT k.doc_id, k.pos, k.line, s.key IS NOT NULL AND k.doc_id <> s.keeper AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""")
+def op10(spark, sf_dir):
+    from rowmill.llm.lines import drop_lines
+
+    docs = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_merkle_fingerprints", r"""
+WITH ordered AS (
+    SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS after,
+           first_value(coalesce(text, '')) OVER (ORDER BY doc_id) AS first FROM documents),
+texts AS (
+    SELECT doc_id, t, coalesce(after, first) AS n, CAST(length(t) // 4 AS BIGINT) AS k FROM ordered),
+edited AS (SELECT doc_id, t, n, left(t, length(t) - k) || left(n, k) AS e FROM texts),
+cut AS (
+    SELECT doc_id, t, e,
+           list_transform(string_split(t, chr(10) || chr(10)), lambda s: string_split(s, chr(10))) AS a,
+           list_transform(string_split(e, chr(10) || chr(10)), lambda s: string_split(s, chr(10))) AS b,
+           list_transform(string_split(n, chr(10) || chr(10)), lambda s: string_split(s, chr(10))) AS c FROM edited),
+hashed AS (
+    SELECT doc_id, t, e, a, b,
+           sha256(array_to_string(list_transform(a, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(p)), ''))), '')) AS ra,
+           sha256(array_to_string(list_transform(b, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(p)), ''))), '')) AS rb,
+           sha256(array_to_string(list_transform(c, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(p)), ''))), '')) AS rc,
+           list_distinct(flatten(list_transform(flatten(a), lambda p: regexp_extract_all(p, '(?s).{24,256}?[.!?]+|.{1,256}')))) AS ma,
+           list_distinct(flatten(list_transform(flatten(b), lambda p: regexp_extract_all(p, '(?s).{24,256}?[.!?]+|.{1,256}')))) AS mb,
+           list_distinct(flatten(list_transform(flatten(c), lambda p: regexp_extract_all(p, '(?s).{24,256}?[.!?]+|.{1,256}')))) AS mc FROM cut)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(e) AS edited_sha256, ra AS fingerprint, rb AS edited_fingerprint,
+       CASE WHEN ra = rb THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(ma, mb)) / (len(ma) + len(mb)) END AS near_edited,
+       CASE WHEN ra = rc THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(ma, mc)) / (len(ma) + len(mc)) END AS near_next,
+       CAST(list_sum(list_transform(range(greatest(len(a), len(b))), lambda i: len(list_filter(
+           range(greatest(coalesce(len(a[i + 1]), 1), coalesce(len(b[i + 1]), 1))), lambda j: a[i + 1][j + 1] IS DISTINCT FROM b[i + 1][j + 1])))) AS BIGINT) AS n_differing
+FROM hashed""")
+def op3(spark, sf_dir):
+    from rowmill.llm.merkle import differing, likeness, marks, root, tree, with_next
+
+    docs = with_next(table(spark, sf_dir, "documents"))
+    n = F.length("text")
+    quarter = F.floor(n / 4).cast("int")
+    docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter)))
+    docs = docs.select("id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sections",
+                       tree(F.col("edited")).alias("edited_sections"), "next_sections")
+    docs = docs.select("*", *[f(F.col(f"{c}sections")).alias(f"{c}{k}") for c in ("", "edited_", "next_") for k, f in (("root", root), ("marks", marks))])
+    near = [likeness(F.col("root"), F.col("marks"), F.col(f"{c}root"), F.col(f"{c}marks")).alias(f"near_{n}") for c, n in (("edited_", "edited"), ("next_", "next"))]
+    return docs.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.col("root").alias("fingerprint"),
+                       F.col("edited_root").alias("edited_fingerprint"), *near,
+                       F.size(differing(F.col("sections"), F.col("edited_sections"))).cast("long").alias("n_differing"))
