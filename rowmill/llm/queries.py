@@ -123,3 +123,15 @@ def op3(spark, sf_dir):
     return docs.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.col("root").alias("fingerprint"),
                        F.col("edited_root").alias("edited_fingerprint"), *near,
                        F.size(differing(F.col("sections"), F.col("edited_sections"))).cast("long").alias("n_differing"))
+
+
+@query("op7_orc_token_files")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    from rowmill.llm.tokenfiles import checksum, read_tokens, write_tokens
+    from rowmill.session import staged_path
+
+    path = staged_path(spark, "tokens.orc")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return checksum(read_tokens(spark, path))
