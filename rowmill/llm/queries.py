@@ -135,3 +135,15 @@ def op7(spark, sf_dir):
     path = staged_path(spark, "tokens.orc")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return checksum(read_tokens(spark, path))
+
+
+@query("op8_ordinal_quality")
+def op8(spark, sf_dir):
+    from rowmill.llm.labelled import remainder
+    from rowmill.llm.quality import grade, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), use=remainder("doc_id", 5) != 0)
+    graded = grade(docs.select("doc_id", "text"), model)
+    return graded.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+                         "expected_grade", "tail_probability", F.col("selected").alias("kept"))

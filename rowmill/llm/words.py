@@ -22,6 +22,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that are neither ASCII letters or digits nor part of a longer character.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -40,12 +42,15 @@ def lowered(values: np.ndarray) -> np.ndarray:
     return _LOWER[values]
 
 
-def word_bounds(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (bytes other than blank, tab to carriage return) and words before each text."""
+def word_bounds(values: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word and the number of words before each text.
+
+    ``gaps`` marks the bytes between words: by default blank and tab to carriage return.
+    """
     n = len(values)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    gap = _SPACE[values]
+    gap = (_SPACE if gaps is None else gaps)[values]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     cut[1:n] |= gap[:-1] | gap[1:]
