@@ -163,3 +163,15 @@ def op1(spark, sf_dir):
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), limit.alias("lang_threshold"),
                          (F.col("score") >= limit).alias("flagged"))
+
+
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    from rowmill.llm.labelled import remainder
+    from rowmill.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, remainder("doc_id", 4) != 2)
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score",
+                        F.size("spans").alias("n_spans"))
