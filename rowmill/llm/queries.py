@@ -175,3 +175,22 @@ def op6(spark, sf_dir):
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score",
                         F.size("spans").alias("n_spans"))
+
+
+@query("op4_embedding_near_dedup", """
+WITH RECURSIVE fine AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+smallest AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, s.component_id, e.vec_id = s.component_id AS kept
+FROM embeddings e JOIN smallest s USING (vec_id) LEFT JOIN counts c USING (vec_id)""")
+def op4(spark, sf_dir):
+    from rowmill.llm.hnsw import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
