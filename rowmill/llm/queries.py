@@ -194,3 +194,11 @@ def op4(spark, sf_dir):
     from rowmill.llm.hnsw import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op2_temperature_mixing")
+def op2(spark, sf_dir):
+    from rowmill.llm.mixing import mix_sources
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs, max_repeats=1.25, budget_share=1.0)[0].select("doc_id", "source", "n_tokens", "weight", "pass", "position")
