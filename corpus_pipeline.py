@@ -31,9 +31,10 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group of near duplicates stays, that of the smallest id; rows that repeat an id and a text
+    are one document."""
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("id").alias("_gone"), F.col("of").alias("_of"))
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_of")), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

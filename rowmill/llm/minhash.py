@@ -84,8 +84,9 @@ def _signatures(bands: int):
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    """id, n_shingles, digest_a and digest_b of the whole set, and one 64-bit key per band (none for an empty set)."""
-    return map_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text",
+    """id, of (a hash of the text), n_shingles, digest_a and digest_b of the whole set, and one 64-bit key per band
+    (none for an empty set)."""
+    return map_text(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text")), "text",
                     "n_shingles long, digest_a long, digest_b long, keys array<long>", _signatures(bands)).drop("text")
 
 
@@ -184,7 +185,7 @@ def _sides(block: str, other: str) -> list:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                     bands: int = BANDS) -> DataFrame:
-    """Columns id, n_shingles, component_id, kept of every row: components of links with similarity >= percent / 100.
+    """Columns id, of, n_shingles, component_id, kept of every row (of is xxhash64 of the text): components of links with similarity >= percent / 100.
 
     A document's set holds the distinct shingles of five words (A-Z lower-cased; words are what blank and tab to
     carriage return divide). Documents with equal sets are one class, named by its smallest id. Classes that agree
@@ -238,5 +239,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "digest_a", "digest_b", F.coalesce("component", "rep").alias("component"))
     out = sig.join(named, ["digest_a", "digest_b"], "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
-    return out.select("id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("id", "of", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
