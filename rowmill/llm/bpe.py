@@ -6,13 +6,13 @@ import base64
 import functools
 import heapq
 import zlib
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rowmill.llm.pretokens import bounds, codepoint_classes
+from rowmill.llm.pretokens import bounds, codepoint_classes, distinct, spread
 from rowmill.llm.staging import broadcast_bytes, free_name, lists, map_text
 
 #: Merged pre-tokens that a task remembers; the memory is emptied when it is full.
@@ -121,12 +121,10 @@ class Merged(dict):
 def encode_slice(values, offsets, classes, found: Merged) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of many texts, one after the other, and the number of tokens of each."""
     cut, first = bounds(values, offsets, classes)
-    data, cut = values.tobytes(), cut.tolist()
-    groups = [found[data[a:b]] for a, b in pairwise(cut)]
-    sizes = np.fromiter(map(len, groups), np.int64, len(groups))
-    ids = np.fromiter(chain.from_iterable(groups), np.int32, int(sizes.sum()))
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    return ids, np.diff(ends[first])
+    data = values.tobytes()
+    once, number = distinct(values, cut)
+    ids, sizes = spread([found[data[a:b]] for a, b in zip(cut[once].tolist(), cut[once + 1].tolist())], number)
+    return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
 
 
 def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids: str = "ids", starts: str = "starts") -> DataFrame:

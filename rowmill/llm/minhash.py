@@ -17,8 +17,8 @@ SHINGLE = 5
 #: A band is two permutations, each with its minimum and its maximum. At a similarity of 0.8 the chance that no
 #: band of a pair agrees is (1 - 0.8^4)^24, about 3 in a million; at 0.85 it is 2 in a hundred million.
 BANDS = 24
-#: A block holds so many documents and shingles at most (a single larger document is a block of its own).
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 18
+#: A block holds so many documents and shingles at most (one more document where it crosses the bound).
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 18
 COLUMNS = 2048
 
 _WEIGHT = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -101,21 +101,29 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Give each member a block; near ones by bucket, component and size get the same."""
+    """Give each member a block; near ones by bucket, component and size get the same.
+
+    A member weighs its share of a block, by documents or by shingles; the weights before it in the order, rounded
+    down, are its block. Partitions are summed to one number each, which the driver adds up.
+    """
     def run(frames):
-        block, docs, load = TaskContext.get().partitionId() << 32, 0, 0
+        part, before = TaskContext.get().partitionId(), 0.0
         for frame in frames:
-            out = np.empty(len(frame), np.int64)
-            for i, n in enumerate(frame["n_shingles"].to_numpy()):
-                if docs and (docs >= BLOCK_DOCS or load + n > BLOCK_SHINGLES):
-                    block, docs, load = block + 1, 0, 0
-                out[i], docs, load = block, docs + 1, load + n
-            yield frame.assign(block=out)[["rep", "block"]]
-
-    n = shuffle_partitions(members.sparkSession)
+            weight = np.maximum(1 / BLOCK_DOCS, frame["n_shingles"].to_numpy() / BLOCK_SHINGLES)
+            ends = before + np.cumsum(weight)
+            yield pd.DataFrame({"rep": frame["rep"], "part": part, "begin": ends - weight, "ending": ends})
+            before = float(ends[-1]) if len(ends) else before
+
+    spark = members.sparkSession
     order = [c for c in ("order", "component", "n_shingles", "rep") if c in members.columns]
-    laid = members.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return stage(laid.mapInPandas(run, "rep long, block long"), "blocks")
+    laid = members.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    laid = stage(laid.mapInPandas(run, "rep long, part int, begin double, ending double"), "blocks")
+    starts, total = [], 0.0
+    for part, weight in sorted(tuple(r) for r in laid.groupBy("part").agg(F.max("ending")).collect()):
+        starts.append((part, total))
+        total += weight
+    starts = F.broadcast(spark.createDataFrame(starts, "part int, start double"))  # one row per partition
+    return laid.join(starts, "part").select("rep", F.floor(F.col("start") + F.col("begin")).alias("block"))
 
 
 def _shared(one: list, other: list) -> np.ndarray:

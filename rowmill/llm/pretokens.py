@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
+from rowmill.llm.words import slice_hashes
+
 LETTER, NUMBER, OTHER, QUOTE, BLANK, SPACE = range(6)
 # fixed values: white space of the Unicode standard, and what may follow an apostrophe
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -85,15 +88,15 @@ def _monoid():
                 queue.append(h)
     m = len(queue)
     functions = np.array(queue, np.uint8)
-    products = np.empty((m, m), np.uint16)
+    products = np.empty((m, m), np.int32)
     for i, f in enumerate(queue):
         for j, g in enumerate(queue):
             products[i, j] = known[tuple(g[s] for s in f)]
-    return functions, products.ravel(), np.array([known[g] for g in makers], np.uint16)
+    return functions, products.ravel(), np.array([known[g] for g in makers], np.int32)
 
 
 _FUNCTIONS, _PRODUCTS, _NUMBER_OF = _monoid()
-_SIZE = len(_FUNCTIONS)
+_SIZE, _FLAT = len(_FUNCTIONS), _FUNCTIONS.ravel()
 _STARTS = np.array([[_step(s, x)[1] for x in range(8)] + [True] * 8 for s in range(8)])
 
 
@@ -106,28 +109,32 @@ def _scan(items: np.ndarray) -> np.ndarray:
             out[i] = state = int(_FUNCTIONS[f, state])
         return out
     rows = -(-n // ROW)
-    padded = np.zeros(rows * ROW, np.uint16)
+    padded = np.zeros(rows * ROW, np.int32)
     padded[:n] = items
     grid = np.ascontiguousarray(padded.reshape(rows, ROW).T)
     for k in range(1, ROW):
-        grid[k] = _PRODUCTS[grid[k - 1].astype(np.intp) * _SIZE + grid[k]]
+        np.take(_PRODUCTS, grid[k - 1] * np.int32(_SIZE) + grid[k], out=grid[k])
     before = np.empty(rows, np.uint8)
     before[0] = _FRESH
     before[1:] = _scan(grid[-1])[:-1]
-    return _FUNCTIONS[grid, before[None, :]].T.ravel()[:n]
+    grid *= 8
+    grid += before[None, :]
+    return _FLAT.take(grid.T.ravel()[:n])
 
 
 def codepoints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes and the position of each one's first byte."""
+    high = values >= 0x80
+    if not high.any():
+        return values.astype(np.int32), np.arange(len(values))
     starts = np.flatnonzero((values & 0xC0) != 0x80)
-    points = values[starts].astype(np.uint32)
-    for low, extra, bits in ((0xC0, 1, 0x1F), (0xE0, 2, 0x0F), (0xF0, 3, 0x07)):
-        some = np.flatnonzero((points >= low) & (points < {1: 0xE0, 2: 0xF0, 3: 0x100}[extra]) & (values[starts] >= low))
-        if len(some):
-            at, value = starts[some], points[some] & bits
-            for k in range(1, extra + 1):
-                value = (value << 6) | (values[np.minimum(at + k, len(values) - 1)] & 0x3F)
-            points[some] = value
+    points = values[starts].astype(np.int32)
+    long = np.flatnonzero(points >= 0xC0)
+    lead, at = points[long], starts[long]
+    rest = np.concatenate([values, np.zeros(3, np.uint8)])
+    one, two, three = ((rest[at + k] & 0x3F).astype(np.int32) for k in (1, 2, 3))
+    points[long] = np.where(lead < 0xE0, (lead & 0x1F) << 6 | one, np.where(
+        lead < 0xF0, (lead & 0x0F) << 12 | one << 6 | two, (lead & 0x07) << 18 | one << 12 | two << 6 | three))
     return points, starts
 
 
@@ -137,7 +144,7 @@ def bounds(values: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tupl
         return np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
     points, starts = codepoints(values)
     n = len(points)
-    kind = classes[points]
+    kind = classes.take(points)
     first = np.zeros(n + 1, bool)
     first[np.searchsorted(starts, offsets)] = True
     first[n] = True
@@ -160,7 +167,31 @@ def bounds(values: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tupl
         for a, b in SUFFIX_2:
             symbol[quotes[inside_2 & (one == ord(a)) & (two == ord(b))]] = _Q2
     symbol += np.where(first[:-1], 8, 0).astype(np.uint8)
-    after = _scan(_NUMBER_OF[symbol])
-    before = np.concatenate([[_FRESH], after[:-1]])
-    cut = starts[_STARTS[before, symbol]]
+    after = _scan(_NUMBER_OF.take(symbol))
+    before = np.full(n, _FRESH, np.uint8)
+    before[1:] = after[:-1]
+    cut = starts[_STARTS.ravel().take(before * np.uint8(16) + symbol)]
     return np.append(cut, len(values)), np.searchsorted(cut, offsets)
+
+
+def distinct(values: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A first occurrence of every distinct pre-token, and for each pre-token the number of its own.
+
+    Pre-tokens are told apart by 128 bits of hashes: they are grouped by one half, and the other half must agree.
+    """
+    starts, ends = cut[:-1], cut[1:]
+    key, check = slice_hashes(values, starts, ends), slice_hashes(values ^ 0x55, starts, ends)
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    if (check[first][number] != check).any():
+        _, first, number = np.unique(np.stack([key, check]), axis=1, return_index=True, return_inverse=True)
+    return first, number
+
+
+def spread(groups: list, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pre-tokens, one after the other, from those of the distinct ones; and ids per pre-token."""
+    own = np.fromiter(map(len, groups), np.int64, len(groups))
+    flat = np.fromiter(chain.from_iterable(groups), np.int32, int(own.sum()))
+    sizes = own[number]
+    ends = np.cumsum(sizes)
+    shift = (np.cumsum(own) - own)[number] - (ends - sizes)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(shift, sizes)], sizes

@@ -5,13 +5,13 @@ from __future__ import annotations
 import functools
 import os
 import zlib
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rowmill.llm.pretokens import bounds, codepoint_classes
+from rowmill.llm.pretokens import bounds, codepoint_classes, distinct, spread
 from rowmill.llm.staging import broadcast_bytes, lists, slices, text_arrays
 from rowmill.session import shuffle_partitions
 
@@ -69,12 +69,11 @@ class LibraryIds(dict):
 def encode_slice(values, offsets, classes, found: LibraryIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many texts, one after the other, and the number of ids of each."""
     cut, first = bounds(values, offsets, classes)
-    data, cut = values.tobytes(), cut.tolist()
-    pieces = [data[a:b] for a, b in pairwise(cut)]
+    data = values.tobytes()
+    once, number = distinct(values, cut)
+    pieces = [data[a:b] for a, b in zip(cut[once].tolist(), cut[once + 1].tolist())]
     found.learn(pieces)
-    groups = [found[p] for p in pieces]
-    sizes = np.fromiter(map(len, groups), np.int64, len(groups))
-    ids = np.fromiter(chain.from_iterable(groups), np.int32, int(sizes.sum()))
+    ids, sizes = spread([found[p] for p in pieces], number)
     return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
 
 
