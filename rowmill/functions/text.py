@@ -55,7 +55,7 @@ def is_date_text(c: Column) -> Column:
 def is_time_text(c: Column) -> Column:
     hour, minute = r"([01]?\d|2[0-3])", r"[0-5]?\d"
     return (
-        c.rlike(f"^{hour}:{minute}(:([0-5]?\\d|6[01]))?$")
+        c.rlike(f"^{hour}:{minute}(:[0-5]?\\d)?$")
         | c.rlike(f"(?i)^(0?[1-9]|1[0-2]):{minute} [ap]m$")
     )
 

@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
-    """All rows of all inputs, duplicates kept; the columns are the sorted union, missing ones null."""
+    """All rows of all inputs, duplicates kept; the columns are the sorted union, missing ones null.
+
+    A column that is text in one input and something else in another is text in the result.
+    """
+    kinds: dict[str, set] = {}
+    for frame in frames:
+        for name, kind in frame.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    mixed = {name for name, found in kinds.items() if len(found) > 1 and "string" in found}
+    frames = [f.withColumns({c: F.col(f"`{c}`").cast("string") for c in f.columns if c in mixed}) if mixed else f for f in frames]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return merged.select(*sorted(merged.columns))
 

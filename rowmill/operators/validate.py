@@ -8,6 +8,7 @@ from typing import Any, Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from rowmill.functions.text import matches
 from rowmill.operators.joins import is_in
 
 ERROR = "array<struct<field:string,rule:string,message:string>>"
@@ -108,7 +109,7 @@ class Pattern(Check):
 
     def failure(self, df: DataFrame) -> Column:
         return _if_present(df, self.field, lambda c: F.when(
-            ~c.cast("string").rlike(f"^(?:{self.pattern})"), F.lit(f"{self.field} does not match pattern")))
+            ~matches(c.cast("string"), f"^(?:{self.pattern})"), F.lit(f"{self.field} does not match pattern")))
 
 
 @dataclass(frozen=True)

@@ -68,7 +68,7 @@ def ingest_directory(spark: SparkSession, directory: str, pattern: str = "*") ->
 
 
 def concat_pages(pages: DataFrame, page: str, body: str, item_schema: str, page_size: int = 100,
-                 max_pages: int = 100) -> DataFrame:
+                 max_pages: int | None = None) -> DataFrame:
     """Items of paginated responses, (page, position, item): rows of landed JSON bodies, one per page.
 
     A page is a list, or an object with its list under one of PAGE_KEYS. Reading stops before an empty
@@ -77,7 +77,7 @@ def concat_pages(pages: DataFrame, page: str, body: str, item_schema: str, page_
     listed = F.from_json(body, f"array<{item_schema}>")
     fields = ", ".join(f"{key} array<{item_schema}>" for key in readers.PAGE_KEYS) + ", has_more boolean"
     parsed = (
-        pages.where(F.col(page) <= max_pages)
+        (pages if max_pages is None else pages.where(F.col(page) <= max_pages))
         .withColumn("_o", F.when(~F.ltrim(F.col(body)).startswith("["), F.from_json(body, fields)))
         .withColumn("_items", F.coalesce(F.when(F.ltrim(F.col(body)).startswith("["), listed),
                                          *[F.col(f"_o.{key}") for key in readers.PAGE_KEYS]))

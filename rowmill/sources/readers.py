@@ -104,7 +104,8 @@ def read_xml(spark: SparkSession, paths, row_tag: str = "record", schema=None) -
 
 
 def read_parquet(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.parquet(*_paths(paths))
+    """All columns that any file has; missing ones are null."""
+    return spark.read.option("mergeSchema", True).parquet(*_paths(paths))
 
 
 def read_avro(spark: SparkSession, paths) -> DataFrame:

@@ -52,14 +52,14 @@ class TableStore:
     def store_new(self, table: str, df: DataFrame, key: list[str]) -> None:
         """Append only rows whose key is not in the table yet; of equal new keys one is kept."""
         unique = df.dropDuplicates(key)
-        self.store(table, not_in(unique, self.spark.table(table), key) if self.exists(table) else unique)
+        self.store(table, not_in(unique, self.load(table), key) if self.exists(table) else unique)
 
     def overwrite(self, table: str, df: DataFrame, ttl_seconds: int | None = None) -> None:
         """Replace the whole table; with a time to live its rows are not loaded after that."""
         if ttl_seconds is not None:
             df = df.withColumn(EXPIRES, F.current_timestamp() + F.make_dt_interval(secs=F.lit(ttl_seconds)))
         if self.exists(table):
-            if self.spark.table(table).schema == df.schema:
+            if self.spark.table(table).dtypes == df.dtypes:
                 self._replace(table, df)
                 return
             self.spark.sql(f"DROP TABLE {table}")
@@ -69,7 +69,7 @@ class TableStore:
         """Rows whose fields equal all of ``query``; the scan gets the filter."""
         df = self.spark.table(table)
         if EXPIRES in df.columns:
-            df = df.where(F.col(EXPIRES) > F.current_timestamp()).drop(EXPIRES)
+            df = df.where(F.col(EXPIRES).isNull() | (F.col(EXPIRES) > F.current_timestamp())).drop(EXPIRES)
         return df.where(equals_all(query)) if query else df
 
     def _rewrite(self, table: str, query: dict, changed) -> int:
