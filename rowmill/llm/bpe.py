@@ -6,7 +6,7 @@ import base64
 import functools
 import heapq
 import zlib
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +123,10 @@ def encode_slice(values, offsets, classes, found: Merged) -> tuple[np.ndarray, n
     cut, first = bounds(values, offsets, classes)
     data = values.tobytes()
     once, number = distinct(values, cut)
-    ids, sizes = spread([found[data[a:b]] for a, b in zip(cut[once].tolist(), cut[once + 1].tolist())], number)
+    groups = [found[data[a:b]] for a, b in zip(cut[once].tolist(), cut[once + 1].tolist())]
+    own = np.fromiter(map(len, groups), np.int64, len(groups))
+    flat = np.fromiter(chain.from_iterable(groups), np.int32, int(own.sum()))
+    ids, sizes = spread(flat, own, number)
     return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
 
 

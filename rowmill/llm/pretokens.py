@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 
@@ -187,10 +186,9 @@ def distinct(values: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, number
 
 
-def spread(groups: list, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all pre-tokens, one after the other, from those of the distinct ones; and ids per pre-token."""
-    own = np.fromiter(map(len, groups), np.int64, len(groups))
-    flat = np.fromiter(chain.from_iterable(groups), np.int32, int(own.sum()))
+def spread(flat: np.ndarray, own: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pre-tokens, one after the other, and ids per pre-token; ``flat`` has the ids of the distinct ones,
+    ``own`` how many each of these has."""
     sizes = own[number]
     ends = np.cumsum(sizes)
     shift = (np.cumsum(own) - own)[number] - (ends - sizes)

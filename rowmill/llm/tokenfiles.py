@@ -48,7 +48,8 @@ def _class_bytes(content: str) -> bytes:
 
 
 class LibraryIds(dict):
-    """Ids of pre-tokens by the tokenizers library, asked once for each distinct pre-token of a slice."""
+    """Ids of pre-tokens, as little-endian 32-bit integers, by the tokenizers library: asked once for each distinct
+    pre-token of a slice, many at a time as the words of one text, which the library encodes one by one."""
 
     def __init__(self, tokenizer, limit: int = CACHE):
         super().__init__()
@@ -62,8 +63,10 @@ class LibraryIds(dict):
         new = list(new)
         for low in range(0, len(new), 10_000):
             some = new[low:low + 10_000]
-            coded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-            self.update(zip(some, [e.ids for e in coded]))
+            coded = self.tokenizer.encode([p.decode("utf-8", "replace") for p in some], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(coded.ids, "<i4").tobytes()
+            ends = 4 * np.searchsorted(np.array(coded.word_ids), np.arange(1, len(some) + 1))
+            self.update(zip(some, [raw[a:b] for a, b in pairwise([0, *ends.tolist()])]))
 
 
 def encode_slice(values, offsets, classes, found: LibraryIds) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +76,9 @@ def encode_slice(values, offsets, classes, found: LibraryIds) -> tuple[np.ndarra
     once, number = distinct(values, cut)
     pieces = [data[a:b] for a, b in zip(cut[once].tolist(), cut[once + 1].tolist())]
     found.learn(pieces)
-    ids, sizes = spread([found[p] for p in pieces], number)
+    groups = [found[p] for p in pieces]
+    own = np.fromiter(map(len, groups), np.int64, len(groups)) // 4
+    ids, sizes = spread(np.frombuffer(b"".join(groups), "<i4"), own, number)
     return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
 
 
