@@ -71,8 +71,9 @@ def aggregate(df: DataFrame, group_by: list[str], aggregations: dict[str, str],
     """Group and summarise; null is a group of its own, and no records give no rows.
 
     Everything but mode, list and the median of very large groups is computed in one aggregation. A
-    ``list`` output adds the column ``part``: a group with more rows than fit in one array continues in
-    further rows (see :func:`collect_parts`).
+    ``list`` output adds the column ``part``: a group with more than ``max_items`` rows continues in further
+    rows (see :func:`collect_parts`), which carry the lists only; the other outputs stand in part 0 and are null in
+    later parts, so that they count once.
     """
     specs = {name: parse_spec(spec) for name, spec in aggregations.items()}
     keys = list(group_by)
@@ -97,25 +98,23 @@ def aggregate(df: DataFrame, group_by: list[str], aggregations: dict[str, str],
             columns.append(_one_pass(function, field, order).alias(name))
     result = source.groupBy(*keys).agg(*(columns or [F.count(F.lit(1)).alias("_count")]))
 
-    listed = False
+    if any(f in ("mode", "list") for _, f, _ in later) and order is None:
+        raise ValueError("mode and list need order_by")
+    lists = {name: field for name, function, field in later if function == "list"}
     for name, function, field in later:
         if function == "median":
             result = _join_on_keys(result, exact_median(source, keys, field, name), keys)
             result = result.withColumn(name, F.coalesce(name, F.lit(0.0)))
-        elif order is None:
-            raise ValueError(f"{function} needs order_by")
         elif function == "mode":
             result = _join_on_keys(result, most_common(source, keys, field, order_by, name), keys)
-        else:
-            bound = {} if max_items is None else {"max_items": max_items}
-            lists = collect_parts(source, keys, order_by, {"value": F.col(field)}, items=name, **bound)
-            lists = lists.withColumn(name, F.transform(name, lambda x: x["value"]))
-            if listed:
-                result = _join_on_keys(result, lists.withColumnRenamed("part", "_part"), [*keys])
-                result = result.where(F.col("part") == F.col("_part")).drop("_part")
-            else:
-                result, listed = _join_on_keys(result, lists, keys), True
-    outputs = [*group_by, *specs, *(["part"] if listed else [])]
+    if lists:
+        bound = {} if max_items is None else {"max_items": max_items}
+        # one cut for all lists, so that their parts hold the same records
+        parts = collect_parts(source, keys, order_by, {n: F.col(c) for n, c in lists.items()}, items="_items", **bound)
+        parts = parts.select(*keys, "part", *[F.col("_items").getField(n).alias(n) for n in lists])
+        scalars = [n for n in specs if n not in lists]
+        result = _join_on_keys(result, parts, keys).withColumns({n: F.when(F.col("part") == 0, F.col(n)) for n in scalars})
+    outputs = [*group_by, *specs, *(["part"] if lists else [])]
     return result.select(*outputs)
 
 

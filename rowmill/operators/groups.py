@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowmill.operators.index import as_columns
+from rowmill.operators.index import as_columns, global_index
 from rowmill.operators.joins import lookup_join
-from rowmill.session import shuffle_partitions
 
 GROUP_ROWS = 100_000     # a group of up to this many rows may be held in memory by one task
 RANKED_ROWS = 1_000_000  # a group of up to this many rows may be sorted, and spilled, by one task
@@ -28,8 +27,9 @@ def collect_parts(df: DataFrame, keys: list[str], order_by, fields: dict[str, Co
                   max_items: int = GROUP_ROWS, items: str = "items", part: str = "part") -> DataFrame:
     """One row per group with its rows as an array of structs, in order.
 
-    A group with more than ``max_items`` rows continues in further rows, numbered by ``part``: its rows
-    are range-partitioned by the order and cut every ``max_items`` rows, so no task holds a whole group.
+    A group with more than ``max_items`` rows continues in further rows, numbered by ``part`` from 0: its rows get
+    positions from a range partitioning by the order and are cut every ``max_items`` rows, so no task holds a whole
+    group. With a unique order the parts are the same on every run.
     """
     order = as_columns(order_by)
     order_names = [f"_o{i}" for i in range(len(order))]
@@ -47,11 +47,10 @@ def collect_parts(df: DataFrame, keys: list[str], order_by, fields: dict[str, Co
         return gathered(flat, keys).select(*keys, F.lit(0).cast("long").alias(part), items)
     usual = lookup_join(flat, hot, keys, "left_anti", null_safe=True)
     frequent = lookup_join(flat, hot, keys, "left_semi", null_safe=True)
-    laid_out = (
-        frequent.repartitionByRange(shuffle_partitions(df.sparkSession), *keys, *order_names)
-        .sortWithinPartitions(*keys, *order_names)
-        .withColumn(part, (F.monotonically_increasing_id() / F.lit(max_items)).cast("long"))
-    )
+    placed = global_index(frequent, [*keys, *order_names], "_at")
+    firsts = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))  # one row per frequent key
+    laid_out = lookup_join(placed, firsts, keys, "inner", null_safe=True).withColumn(
+        part, F.floor((F.col("_at") - F.col("_first")) / F.lit(max_items)).cast("long"))
     return (
         gathered(usual, keys).select(*keys, F.lit(0).cast("long").alias(part), items)
         .unionByName(gathered(laid_out, [*keys, part]))

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from rowmill.functions.text import is_time_text
+from rowmill.operators.aggregate import aggregate
+from rowmill.operators.batch import run_actions
 from rowmill.operators.setops import union_by_name
 from rowmill.operators.validate import Pattern
 from rowmill.sources.readers import read_parquet
@@ -36,3 +38,21 @@ def test_rows_appended_to_a_table_with_a_time_to_live_are_loaded(spark):
     store.overwrite("ttl_rows", spark.createDataFrame([(1, "a")], "id int, name string"), ttl_seconds=3600)
     store.store("ttl_rows", spark.createDataFrame([(2, "b")], "id int, name string"))
     assert rows(store.load("ttl_rows")) == [(1, "a"), (2, "b")]
+
+
+def test_lists_of_a_large_group_lose_nothing_and_scalars_count_once(spark):
+    df = spark.range(400_000).selectExpr("id", "if(id % 5 < 4, 'hot', concat('k', id % 50)) key", "hash(id) value").repartition(40)
+    out = aggregate(df, ["key"], {"n": "count", "ids": "list,id", "vs": "list,value"}, "id", max_items=7000).cache()
+    sizes = out.selectExpr("sum(n) n", "sum(size(ids)) ids", "sum(size(vs)) vs", "count_if(size(ids) <> size(vs)) uneven").first()
+    assert tuple(sizes) == (400_000, 400_000, 400_000, 0)
+    hot = out.where("key = 'hot'").orderBy("part").select("part", F.size("ids"), F.col("ids")[0]).collect()
+    assert [r[0] for r in hot] == list(range(46)) and [r[1] for r in hot] == [7000] * 45 + [5000]
+    assert [r[2] for r in hot] == [7000 * k // 4 * 5 + 7000 * k % 4 for k in range(46)]
+
+
+def test_actions_get_integers_and_none(spark):
+    df = spark.createDataFrame([(1,), (None,)], "v long")
+    shown = run_actions(df, "v", [repr])
+    assert rows(shown, "v", "output") == [(1, "1"), (None, "None")]
+    wrong = run_actions(df, "v", [lambda v: v if v is None else "x"], "long")
+    assert rows(wrong.selectExpr("v", "output", "error is not null")) == [(1, None, True), (None, None, False)]
