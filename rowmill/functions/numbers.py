@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
@@ -38,17 +39,35 @@ def expression_names(expression: str, columns: list[str]) -> list[str]:
     return [name for name in columns if name in words]
 
 
-def _compared_with_text(expression: str, name: str) -> bool:
-    after = rf"\b{re.escape(name)}\b\s*(=|==|!=|<>|<=|>=|<|>|in\b|not\s+in\b|like\b|rlike\b)\s*\(?\s*'"
-    before = rf"'\s*(=|==|!=|<>|<=|>=|<|>)\s*\b{re.escape(name)}\b"
-    return bool(re.search(after, expression, re.I) or re.search(before, expression))
+def _uses(node, parent: str = ""):
+    """Each column below an analyzed expression with how it is used: as a number, for a null test, or otherwise."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AttributeReference":
+        yield node.name(), "null test" if parent in ("IsNull", "IsNotNull") else parent
+        return
+    if kind == "Cast" and isinstance(T._parse_datatype_json_string(node.dataType().json()), T.NumericType):
+        kind = "number"
+    children = node.children()
+    for i in range(children.size()):
+        yield from _uses(children.apply(i), kind)
 
 
 def text_numbers(expression: str, df: DataFrame) -> list[str]:
-    """Text columns that the expression uses as numbers: those it does not compare with quoted text."""
-    kinds = dict(df.dtypes)
-    return [n for n in expression_names(expression, df.columns)
-            if kinds[n] == "string" and not _compared_with_text(expression, n)]
+    """Text columns that the expression uses as numbers: those that the analyzer casts to a number and that have no
+    other use but null tests. Where text alone does not fit the types, all text columns that it names."""
+    text = {name for name, kind in df.dtypes if kind == "string"}
+    named = [n for n in expression_names(expression, df.columns) if n in text]
+    if not named:
+        return []
+    try:
+        outputs = df.select(F.expr(expression))._jdf.queryExecution().analyzed().expressions()
+    except AnalysisException:
+        return named
+    uses: dict[str, set] = {}
+    for i in range(outputs.size()):
+        for name, use in _uses(outputs.apply(i)):
+            uses.setdefault(name, set()).add(use)
+    return [n for n in named if "number" in uses.get(n, ()) and uses[n] <= {"number", "null test"}]
 
 
 def with_expression(df: DataFrame, target: str, expression: str, wrap=lambda c: c) -> DataFrame:

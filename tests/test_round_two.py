@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from rowmill.functions.text import is_time_text
 from rowmill.operators.aggregate import aggregate
 from rowmill.operators.batch import run_actions
+from rowmill.operators.enrich import Calculate
+from rowmill.operators.filters import filter_rows
 from rowmill.operators.setops import union_by_name
 from rowmill.operators.validate import Pattern
 from rowmill.sources.readers import read_parquet
@@ -56,3 +58,14 @@ def test_actions_get_integers_and_none(spark):
     assert rows(shown, "v", "output") == [(1, "1"), (None, "None")]
     wrong = run_actions(df, "v", [lambda v: v if v is None else "x"], "long")
     assert rows(wrong.selectExpr("v", "output", "error is not null")) == [(1, None, True), (None, None, False)]
+
+
+def test_text_in_expressions_stays_text(spark):
+    df = spark.createDataFrame([("Ann", "Lee", "2.5", 1), ("Bo", "Bo", "x", 2)], "first string, last string, n string, i int")
+    value = lambda e: [r[0] for r in Calculate("out", e).apply(df).orderBy("i").select("out").collect()]
+    assert value("concat(first, ' ', last)") == ["Ann Lee", "Bo Bo"] and value("upper(first)") == ["ANN", "BO"]
+    assert value("n * 2") == [5.0, None] and value("if(n is null, 0, n + i)") == [3.5, 0]
+    assert value("case when n = 'x' then first else last end") == ["Lee", "Bo"]
+    kept = lambda e: [r[0] for r in filter_rows(df, e).select("i").collect()]
+    assert kept("first == last") == [2] and kept("length(first) > 2") == [1] and kept('last == "Lee"') == [1]
+    assert kept("first between 'A' and 'B'") == [1] and kept("n > 2") == [1] and kept("n + n > 4") == [1]
