@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from itertools import pairwise
 
 import numpy as np
@@ -15,7 +16,7 @@ from rowmill.llm.pretokens import bounds, codepoint_classes, distinct, spread
 from rowmill.llm.staging import broadcast_bytes, lists, slices, text_arrays
 from rowmill.session import shuffle_partitions
 
-#: Pre-tokens whose ids a task remembers; the memory is emptied when it is full.
+#: Pre-tokens whose ids a worker remembers; the memory is emptied when it is full.
 CACHE = 300_000
 STRIPE_BYTES, INDEX_ROWS = 64 << 20, 1000
 
@@ -24,9 +25,7 @@ def _tokenizer(content: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(content)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_str(content)
 
 
 @functools.cache
@@ -47,30 +46,49 @@ def _class_bytes(content: str) -> bytes:
     return zlib.compress(codepoint_classes(probe).tobytes())
 
 
+def _byte_letters() -> np.ndarray:
+    """The letter by which byte-level vocabularies write each byte: visible Latin-1 characters stand for themselves."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    letters = np.arange(0x100, dtype="<u4")
+    hidden = [b for b in range(0x100) if b not in visible]
+    letters[hidden] = 0x100 + np.arange(len(hidden))
+    return letters
+
+
 class LibraryIds(dict):
-    """Ids of pre-tokens, as little-endian 32-bit integers, by the tokenizers library: asked once for each distinct
-    pre-token of a slice, many at a time as the words of one text, which the library encodes one by one."""
+    """Ids of pre-tokens, as little-endian 32-bit integers, by the tokenizers library: its model is asked once for each
+    distinct pre-token of a slice, written in the letters of its vocabulary."""
 
     def __init__(self, tokenizer, limit: int = CACHE):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.model, self.letters, self.limit = tokenizer, tokenizer.model, _byte_letters(), limit
+        self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def learn(self, pieces: list[bytes]) -> None:
-        new = set(pieces) - self.keys()
+        new = [p for p in pieces if p not in self]
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = set(pieces)
-        new = list(new)
-        for low in range(0, len(new), 10_000):
-            some = new[low:low + 10_000]
-            coded = self.tokenizer.encode([p.decode("utf-8", "replace") for p in some], is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(coded.ids, "<i4").tobytes()
-            ends = 4 * np.searchsorted(np.array(coded.word_ids), np.arange(1, len(some) + 1))
-            self.update(zip(some, [raw[a:b] for a, b in pairwise([0, *ends.tolist()])]))
+            new = pieces
+        written = self.letters.take(np.frombuffer(b"".join(new), np.uint8)).tobytes().decode("utf-32-le")
+        ask, start = self.model.tokenize, 0
+        for piece in new:
+            end = start + len(piece)
+            self[piece] = array("i", [t.id for t in ask(written[start:end])]).tobytes()
+            start = end
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<i4")
+
+
+@functools.lru_cache(maxsize=1)
+def _worker_ids(content: str) -> LibraryIds:
+    """The library and the ids it gave, kept for the next tasks of the same Python worker."""
+    return LibraryIds(_tokenizer(content))
 
 
 def encode_slice(values, offsets, classes, found: LibraryIds) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of many texts, one after the other, and the number of ids of each."""
+    """Ids of many texts, one after the other, and the number of ids of each. Texts in which an added token of the
+    tokenizer's file is written out (``<|endoftext|>``) go to the library whole, which gives that token's own id."""
     cut, first = bounds(values, offsets, classes)
     data = values.tobytes()
     once, number = distinct(values, cut)
@@ -79,7 +97,14 @@ def encode_slice(values, offsets, classes, found: LibraryIds) -> tuple[np.ndarra
     groups = [found[p] for p in pieces]
     own = np.fromiter(map(len, groups), np.int64, len(groups)) // 4
     ids, sizes = spread(np.frombuffer(b"".join(groups), "<i4"), own, number)
-    return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
+    counts = np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
+    if any(t in data for t in found.added):
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for k, (a, b) in enumerate(pairwise(offsets.tolist())):
+            if any(t in data[a:b] for t in found.added):
+                parts[k] = found.whole(data[a:b])
+        ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+    return ids, counts
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
@@ -99,7 +124,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "d
     def run(batches):
         content, packed = shared.value
         classes = np.frombuffer(zlib.decompress(packed), np.uint8)
-        found, before = LibraryIds(_tokenizer(content)), 0
+        found, before = _worker_ids(content), 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 values, offsets = text_arrays(piece.column(1))

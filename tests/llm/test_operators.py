@@ -91,6 +91,18 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokenfiles.read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_added_tokens_in_texts():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        content = file.read()
+    tokenizer = tokenfiles._tokenizer(content)
+    classes = np.frombuffer(zlib.decompress(tokenfiles._class_bytes(content)), np.uint8)
+    texts = ["one two", "<|endoftext|>", "a<|endoftext|> é<|endoftext|><|endof", "", "日本 \n\t x's"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    ids, counts = tokenfiles.encode_slice(np.frombuffer(b"".join(raw), np.uint8), offsets, classes, tokenfiles.LibraryIds(tokenizer))
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def _shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if len(words) < 5:
