@@ -33,8 +33,13 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the smallest id; rows that repeat an id and a text
     are one document."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("id").alias("_gone"), F.col("of").alias("_of"))
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_of")), "left_anti")
+    rows = minhash.near_duplicates(docs).where("id is not null").groupBy(F.col("id").alias("_gone"), F.col("of").alias("_of"))
+    gone = stage(rows.agg(F.max("kept").alias("_kept"), F.min("kept").alias("_whole")).where("not _whole"), "gone")
+    same = (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_of"))
+    left, repeated = docs.join(gone, same, "left_anti"), gone.where("_kept")
+    if repeated.isEmpty():
+        return left
+    return left.union(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

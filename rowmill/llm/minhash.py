@@ -90,6 +90,17 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
                     "n_shingles long, digest_a long, digest_b long, keys array<long>", _signatures(bands)).drop("text")
 
 
+def _set_of_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep and shingles of the documents that ``wanted`` names by id and of, once where rows repeat both."""
+    named = docs.withColumn("of", F.xxhash64("text")).join(wanted, ["id", "of"])
+    sets = stage(shingle_sets(named, "rep", "text").withColumnRenamed("id", "rep"), "sets")
+    twice = sets.groupBy("rep").count().where("count > 1").select("rep")
+    if twice.isEmpty():
+        return sets
+    once = sets.join(twice, "rep", "left_semi").dropDuplicates(["rep"])
+    return stage(sets.join(twice, "rep", "left_anti").union(once), "sets")
+
+
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and the sorted distinct shingle hashes of the whole text."""
     def run(values, offsets, _):
@@ -193,10 +204,11 @@ def _sides(block: str, other: str) -> list:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                     bands: int = BANDS) -> DataFrame:
-    """Columns id, of, n_shingles, component_id, kept of every row (of is xxhash64 of the text): components of links with similarity >= percent / 100.
+    """Columns id, of, n_shingles, component_id, component_of, kept of every row (of is xxhash64 of the text): components of links with similarity >= percent / 100.
 
     A document's set holds the distinct shingles of five words (A-Z lower-cased; words are what blank and tab to
-    carriage return divide). Documents with equal sets are one class, named by its smallest id. Classes that agree
+    carriage return divide). Documents with equal sets are one class, numbered in the order of its smallest id and
+    text hash; no two classes share a number, and a class's set is that of its smallest document. Classes that agree
     in a band form a bucket. Members of buckets are laid out in blocks of bounded size, and blocks are compared by a
     matrix product over their full sets: first each block with the blocks of its buckets' smallest members, which
     joins a large group of copies in linear work; then, for buckets that still hold more than one component, every
@@ -206,19 +218,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     An empty or null text, or one without words, has no shingles and links with nothing; fewer than five words are
     one shingle. Rows with a null id have a null component and are kept. Rows that repeat an id are documents of
-    their own, except that equal names of two classes make them one. Empty tables give empty results.
+    their own: component_id and component_of name the smallest document of a component, by id and then by of, and
+    one row of that document is kept, also where rows repeat both. Empty tables give empty results.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = stage(signatures(docs, "id", "text", bands), "signatures")
-    classes = stage(sig.where("n_shingles > 0 and id is not null").groupBy("digest_a", "digest_b").agg(
-        F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "classes")
+    sig = stage(signatures(docs, "id", "text", bands).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    classes = sig.where("n_shingles > 0 and id is not null").groupBy("digest_a", "digest_b").agg(
+        F.min(F.struct("id", "of", "row")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    order = ["least", "digest_a", "digest_b"]
+    classes = stage(classes.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order).select(
+        F.monotonically_increasing_id().alias("rep"), "least.*", "digest_a", "digest_b", "n_shingles", "keys"), "classes")
     keys = classes.select("rep", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     members = stage(keys.join(shared.select("key", "pivot"), "key"), "members")
     found = stage(members.groupBy("rep").agg(F.min("pivot").alias("order")).join(
         classes.select("rep", "n_shingles"), "rep"), "found")
-    sets = stage(shingle_sets(docs.join(found.select(F.col("rep").alias("id")), "id", "left_semi"), "id", "text")
-                 .withColumnRenamed("id", "rep").where(F.size("shingles") > 0), "sets")
+    sets = _set_of_each(docs, classes.select("rep", "id", "of").join(found.select("rep"), "rep"))
 
     blocks = found.select("rep", "n_shingles").join(_blocks(found), "rep")
     pivots = blocks.select(*[F.col(c).alias(f"p_{c}") for c in blocks.columns])
@@ -243,9 +258,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = _links(rows.select(*_sides("block", "other"), "block", "rep"), sets, percent)
 
     final = components(links.union(more)).withColumnsRenamed({"node": "rep"})
-    named = classes.select("digest_a", "digest_b", "rep").join(final, "rep", "left").select(
-        "digest_a", "digest_b", F.coalesce("component", "rep").alias("component"))
+    smallest = classes.select(F.col("rep").alias("component"), *[F.col(c).alias(f"c_{c}") for c in ("id", "of", "row")])
+    final = final.join(smallest, "component").drop("component")
+    named = classes.select("digest_a", "digest_b", "rep", "id", "of", "row").join(final, "rep", "left").select(
+        "digest_a", "digest_b", *[F.coalesce(f"c_{c}", c).alias(f"c_{c}") for c in ("id", "of", "row")])
     out = sig.join(named, ["digest_a", "digest_b"], "left")
-    component = F.when(F.col("id").isNull(), None).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
-    return out.select("id", "of", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+    def of_component(name: str):
+        return F.when(F.col("id").isNull(), None).when(F.col("n_shingles") == 0, F.col(name)).otherwise(F.col(f"c_{name}"))
+
+    return out.select("id", "of", "n_shingles", of_component("id").alias("component_id"), of_component("of").alias("component_of"),
+                      F.coalesce(of_component("row") == F.col("row"), F.lit(True)).alias("kept"))

@@ -43,7 +43,7 @@ FROM sets s JOIN smallest m USING (doc_id)""")
 def op9(spark, sf_dir):
     from rowmill.llm.minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("of").withColumnRenamed("id", "doc_id")
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("of", "component_of").withColumnRenamed("id", "doc_id")
 
 
 def _ids_text(ids):
