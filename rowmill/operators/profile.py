@@ -51,7 +51,7 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
-LONG_TEXT = 128  # longer values are shuffled as a digest, after their patterns were tested
+LONG_TEXT = 128  # longer values are shuffled as a digest, after they were tested and read as numbers
 
 
 def value_key(c: Column) -> Column:
@@ -69,9 +69,9 @@ def _test_bits(value: Column) -> Column:
 
 
 def value_counts(df: DataFrame) -> DataFrame:
-    """(name, native type, value or digest, size, test bits of long text, count) of every distinct value.
+    """(name, native type, value or digest, size, test bits and number of long text, count) of every distinct value.
 
-    Values are pre-aggregated per task.
+    Values are pre-aggregated per task. Forms of times are shorter than long text, which so has no moment.
     """
     # Texts are a projection of their own: used several times below, they are computed once.
     texts = df.select(*[_as_text(df, name).alias(name) for name in df.columns])
@@ -79,14 +79,16 @@ def value_counts(df: DataFrame) -> DataFrame:
     def entry(name: str) -> Column:
         value = F.col(f"`{name}`")
         native = _native(df.schema[name].dataType)
-        bits = F.lit(None).cast("int")
+        bits, number = F.lit(None).cast("int"), F.lit(None).cast("double")
         if native is None:
             bits = F.when(F.length(value) > LONG_TEXT, _test_bits(value))
+            number = F.when(F.length(value) > LONG_TEXT, to_number(value))
         return F.struct(F.lit(name).alias("name"), F.lit(native).cast("string").alias("native"),
-                        value_key(value).alias("value"), F.length(value).alias("size"), bits.alias("bits"))
+                        value_key(value).alias("value"), F.length(value).alias("size"), bits.alias("bits"),
+                        number.alias("number"))
 
     return (texts.select(F.explode(F.array(*[entry(name) for name in df.columns])).alias("_x")).select("_x.*")
-            .groupBy("name", "native", "value", "size", "bits").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy("name", "native", "value", "size", "bits", "number").agg(F.count(F.lit(1)).alias("n")))
 
 
 def field_profiles(df: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ def field_profiles(df: DataFrame) -> DataFrame:
     value, n, native, size = F.col("value"), F.col("n"), F.col("native"), F.col("size")
     typed = value.isNotNull() & (value != "")
     short = typed & (size <= LONG_TEXT)
-    number = F.when(short, to_number(value))
+    number = F.when(short, to_number(value)).otherwise(F.col("number"))
     bits = F.when(typed & native.isNull(), F.coalesce("bits", _test_bits(value)))
     natives = F.array(*[F.lit(kind) for kind in _NATIVE])
     is_time = (native == "datetime") | (F.col("bits").bitwiseAND(1 << _BITS.index("datetime")) != 0)
@@ -262,12 +264,12 @@ def profile_hints(profiles: DataFrame, enum_limit: int = 20) -> DataFrame:
 
 def type_conflicts(df: DataFrame) -> DataFrame:
     """(name, value_type, values) where a text field mixes integers, floats, times and other text."""
-    value = F.col("value")
+    value, bits = F.col("value"), F.col("bits")
     kind = F.lit("string")
     for name in reversed(["integer", "float", "datetime", "date", "time"]):
-        kind = F.when(_PREDICATES[name](value), name).otherwise(kind)
-    short = value_counts(drop_sample_fields(df)).withColumn("value", F.when(F.col("size") <= LONG_TEXT, value).otherwise("long text"))
-    typed = (short.where(F.col("native").isNull() & F.col("size").isNotNull() & (value != ""))
+        tested = bits.bitwiseAND(1 << _BITS.index(name)) != 0  # bits of the whole text, where value is its digest
+        kind = F.when(F.when(bits.isNull(), _PREDICATES[name](value)).otherwise(tested), name).otherwise(kind)
+    typed = (value_counts(drop_sample_fields(df)).where(F.col("native").isNull() & F.col("size").isNotNull() & (value != ""))
              .groupBy("name", kind.alias("value_type")).agg(F.sum("n").alias("values")))
     mixed = typed.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("name")
     return typed.join(mixed, "name", "left_semi")

@@ -1,4 +1,4 @@
-"""Whole results where a part was missing before: near duplicates of repeated ids."""
+"""Whole results where a part was missing before: near duplicates of repeated ids, long values in profiles."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,3 +22,14 @@ def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
     assert found.groupBy("component_id", "component_of").count().where("component_id < 40").count() == 5
     left = sorted((r["doc_id"], r["text"][:1]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert left == [(3, "b"), (5, "a"), (20, "c"), (20, "d"), (30, "e"), (40, ""), (40, "")]
+
+
+def test_long_numbers_count_like_short_ones(spark):
+    from rowmill.operators import profile
+
+    df = spark.createDataFrame([("9" * 200, "-" + "1" * 150 + ".5", "x" * 200), ("5", "7", "5"), ("5", "word", "6")], "a string, b string, c string")
+    found = {r["name"]: r for r in profile.field_profiles(df).collect()}
+    assert (found["a"]["type"], found["a"]["min"], found["a"]["max"]) == ("integer", 5.0, float("9" * 200))
+    assert (found["b"]["type"], found["c"]["type"], found["c"]["max_length"]) == ("string", "string", 200)
+    mixed = sorted(tuple(r) for r in profile.type_conflicts(df).select("name", "value_type", "values").collect())
+    assert mixed == [("b", "float", 1), ("b", "integer", 1), ("b", "string", 1), ("c", "integer", 2), ("c", "string", 1)]
