@@ -113,8 +113,10 @@ def read_avro(spark: SparkSession, paths) -> DataFrame:
     return spark.read.format("avro").load(_paths(paths))
 
 
-def read_text(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.text(_paths(paths))
+def read_text(spark: SparkSession, paths, line_sep: str | None = None) -> DataFrame:
+    """One row per line; without ``line_sep`` a carriage return, a line feed or both end a line and are not kept."""
+    reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
+    return reader.text(_paths(paths))
 
 
 def _from_json_text(rows: DataFrame) -> DataFrame:

@@ -128,6 +128,15 @@ def src_text_lines(spark, sf_dir):
     return readers.read_text(spark, path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("src_text_all_lines", """SELECT line, CAST(count(*) AS BIGINT) AS n FROM (
+SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line""")
+def src_text_all_lines(spark, sf_dir):
+    path = staged_path(spark, "text")
+    texts = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())  # a null text has no line
+    texts.select(F.col("text").alias("value")).write.option("lineSep", "\n").text(path)
+    return readers.read_text(spark, path, "\n").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("src_parquet_roundtrip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def src_parquet_roundtrip(spark, sf_dir):
     path = staged_path(spark, "supplier")

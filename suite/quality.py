@@ -130,6 +130,22 @@ def profile_create_table(spark, sf_dir):
     return profile.create_table_text(profile.target_types(_order_profile(spark, sf_dir), "postgresql"), "orders")
 
 
+_ALL_TYPES = _TYPES[:-1] + """
+  UNION ALL SELECT 'o_orderpriority', 'string', 'VARCHAR(' || max(length(o_orderpriority)) || ')', count(DISTINCT o_orderpriority) = count(*) FROM orders)"""
+
+
+@query("profile_all_target_types", _ALL_TYPES + """SELECT name, source_type, target_type,
+CASE WHEN u THEN 'NOT NULL UNIQUE' ELSE 'NOT NULL' END AS constraints, false AS nullable FROM p""")
+def profile_all_target_types(spark, sf_dir):
+    return profile.target_types(profile.field_profiles(table(spark, sf_dir, "orders")), "postgresql")
+
+
+@query("profile_create_whole_table", _ALL_TYPES + """SELECT 'CREATE TABLE orders (' || chr(10) || string_agg('  ' || name || ' ' || target_type ||
+CASE WHEN u THEN ' NOT NULL UNIQUE' ELSE ' NOT NULL' END, ',' || chr(10) ORDER BY name) || chr(10) || ');' AS create_sql FROM p""")
+def profile_create_whole_table(spark, sf_dir):
+    return profile.create_table_text(profile.target_types(profile.field_profiles(table(spark, sf_dir, "orders")), "postgresql"), "orders")
+
+
 @query("profile_index_hints", f"""WITH {_E}, p AS (""" + _per_field("""SELECT '{f}' AS field, count(DISTINCT {f}) = count({f}) AS "unique",
 count(DISTINCT {f}) / count({f}) AS ratio FROM e""") + """)
 SELECT 'idx_' || field AS name, field, "unique", CASE WHEN "unique" THEN 'Unique field' ELSE 'High cardinality' END AS reason

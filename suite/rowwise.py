@@ -83,6 +83,13 @@ def scalar_text(spark, sf_dir):
         F.regexp_replace("source", "[0-9]+", "#").alias("family"))
 
 
+@query("scalar_whole_text", """SELECT doc_id, md5(lower(trim(text))) AS whole,
+regexp_replace(source, '[0-9]+', '#', 'g') AS family FROM documents""")
+def scalar_whole_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.md5(F.lower(F.trim("text"))).alias("whole"), F.regexp_replace("source", "[0-9]+", "#").alias("family"))
+
+
 @query("scalar_md5", "SELECT page_id, substr(md5(url), 1, 8) AS url_id, md5(html) AS content FROM pages")
 def scalar_md5(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(
