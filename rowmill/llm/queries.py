@@ -202,3 +202,60 @@ def op2(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs, max_repeats=1.25, budget_share=1.0)[0].select("doc_id", "source", "n_tokens", "weight", "pass", "position")
+
+
+@query("op13_url_filters", r"""
+WITH urls AS (
+    SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+rules(r_host, r_path, r_verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits AS (
+    SELECT DISTINCT host, path, r_host || r_path AS rule, r_verdict, row_number() OVER (
+        PARTITION BY host, path ORDER BY length(r_host || r_path) DESC, length(r_host) DESC) AS place
+    FROM (SELECT DISTINCT host, path FROM urls) JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)),
+bad AS (
+    SELECT doc_id AS page_id, max(CAST(quality = 0 OR toxic = 1 AS INT)) AS bad FROM labels
+    WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY 1),
+counted AS (SELECT host, count(b.bad) AS n, coalesce(sum(b.bad), 0) AS k FROM urls LEFT JOIN bad b USING (page_id) GROUP BY 1),
+named AS (SELECT host, n, k, regexp_replace(host, '(?s)^.*@|:[0-9]*$', '', 'g') AS name FROM counted),
+cut AS (
+    SELECT *, array_to_string(string_split(name, '.')[-2:], '.') AS two, regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') AS numbers,
+           array_to_string(string_split(name, '.')[-2:], '.') IN (
+               'co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'ne.jp', 'or.jp', 'com.br', 'com.cn',
+               'com.tr', 'com.mx', 'co.in', 'co.kr', 'co.za') AS long FROM named),
+hosts AS (
+    SELECT host, n, k, CASE WHEN numbers THEN name WHEN long THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE two END AS domain,
+           CASE WHEN numbers THEN '#' WHEN long THEN two ELSE string_split(name, '.')[-1] END AS suffix FROM cut),
+domains AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
+levels AS (
+    SELECT 'host' AS level, domain AS parent, n, k FROM hosts UNION ALL SELECT 'domain', suffix, n, k FROM domains
+    UNION ALL SELECT 'suffix', '', n, k FROM suffixes),
+sums AS (
+    SELECT level, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(k) AS DOUBLE) AS k, count(*) AS m, sum(CAST(k AS DOUBLE) * k / n) AS q,
+           sum(CAST(n AS DOUBLE) * n) AS nn FROM levels WHERE n > 0 GROUP BY level, parent),
+worth AS (
+    SELECT level, 1 / least(greatest(CASE WHEN sum(k / n * (1 - k / n) * (n - nn / n - (m - 1))) > 1e-9
+        THEN sum(q - k * k / n - k / n * (1 - k / n) * (m - 1)) / sum(k / n * (1 - k / n) * (n - nn / n - (m - 1))) ELSE 0.05 END, 1e-4), 0.5) - 1 AS s
+    FROM sums GROUP BY level),
+w AS (
+    SELECT coalesce((SELECT s FROM worth WHERE level = 'host'), 19.0) AS w_host, coalesce((SELECT s FROM worth WHERE level = 'domain'), 19.0) AS w_domain,
+           coalesce((SELECT s FROM worth WHERE level = 'suffix'), 19.0) AS w_suffix,
+           (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) FROM suffixes) AS top),
+s1 AS (SELECT suffix, (k + w_suffix * top) / (n + w_suffix) AS above FROM suffixes, w),
+d1 AS (SELECT d.domain, (k + w_domain * above) / (n + w_domain) AS above FROM domains d JOIN s1 USING (suffix), w),
+h1 AS (SELECT h.host, n, k + w_host * above AS a, n - k + w_host * (1 - above) AS b FROM hosts h JOIN d1 USING (domain), w),
+known AS (SELECT host, n, greatest(a / (a + b) - 1.2816 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 0) AS bound FROM h1)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.r_verdict, CASE WHEN bound >= 0.3 THEN 'block' ELSE 'allow' END) AS verdict, k.n AS n_labelled,
+       CAST(round(bound, 6) AS DOUBLE) AS bad_bound
+FROM urls u JOIN known k USING (host) LEFT JOIN fits f ON f.host = u.host AND f.path = u.path AND f.place = 1""")
+def op13(spark, sf_dir):
+    from rowmill.llm.urls import judge_urls
+
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")],
+                                  "host string, path string, verdict string")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    out = judge_urls(table(spark, sf_dir, "pages"), labels, rules)
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "n_labelled", F.round("bad_bound", 6).alias("bad_bound"))
