@@ -259,3 +259,69 @@ def op13(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     out = judge_urls(table(spark, sf_dir, "pages"), labels, rules)
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "n_labelled", F.round("bad_bound", 6).alias("bad_bound"))
+
+
+@query("op12_conversation_repair", r"""
+WITH RECURSIVE coded AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+fated AS (
+    SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT))),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS fate
+    FROM coded),
+rows AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM fated WHERE fate <> 0),
+ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role) || md5(text)) AS r,
+           CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS code, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS cut
+    FROM rows),
+faulty AS (
+    SELECT *, CASE WHEN cut = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 THEN 'duplicate'
+                   WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(code) OVER (PARTITION BY conv_id ORDER BY r) AS prior FROM ordered),
+counts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (prior IS NOT NULL AND prior || code NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+best(conv_id, r, b) AS (
+    SELECT conv_id, n, [{'c': 0, 'a': ''}, {'c': 10, 'a': 'II'}, {'c': 5, 'a': 'I'}, {'c': 0, 'a': ''}] FROM counts
+    UNION ALL
+    SELECT conv_id, r, [list_min([e[1], {'c': e[3].c + 5, 'a': 'I' || e[3].a}, {'c': e[4].c + 10, 'a': 'II' || e[4].a}]),
+                        list_min([e[2], {'c': e[3].c + 5, 'a': 'I' || e[3].a}, {'c': e[4].c + 10, 'a': 'II' || e[4].a}]),
+                        list_min([e[3], {'c': e[4].c + 5, 'a': 'I' || e[4].a}]), list_min([e[4], {'c': e[3].c + 5, 'a': 'I' || e[3].a}])]
+    FROM (
+        SELECT b.conv_id, b.r - 1 AS r, list_transform([1, 2, 3, 4], lambda q: list_min([
+            {'c': b[q].c + 2, 'a': 'D' || b[q].a},
+            {'c': CASE WHEN f.fault IN ('blank', 'duplicate') THEN 1000000 ELSE 1 + CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END + b[CASE q WHEN 3 THEN 4 ELSE 3 END].c END,
+             'a': 'R' || b[CASE q WHEN 3 THEN 4 ELSE 3 END].a},
+            {'c': CASE WHEN f.fault IN ('blank', 'duplicate') THEN 1000000 WHEN code = 's' AND q = 1 OR code = 'u' AND q <> 3 OR code = 'a' AND q = 3
+                  THEN CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END + b[CASE code WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c ELSE 1000000 END,
+             'a': 'K' || b[CASE code WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a}])) AS e
+        FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.r = b.r)),
+found AS (SELECT conv_id, b[1].c AS cost, b[1].a AS audit FROM best WHERE r = 0),
+walk(conv_id, i, r, q, audit, lines) AS (
+    SELECT conv_id, 0, 0, 1, audit, CAST([] AS VARCHAR[]) FROM found
+    UNION ALL
+    SELECT conv_id, i + 1, r2, CASE WHEN x = 'D' THEN q WHEN x = 'K' THEN CASE code WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END WHEN q = 3 THEN 4 ELSE 3 END, audit,
+           CASE x WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+                ELSE list_append(lines, CASE WHEN q = 3 THEN 'assistant:' ELSE 'user:' END || CASE WHEN x = 'R' THEN text ELSE '' END) END
+    FROM (
+        SELECT w.conv_id, w.i, w.q, w.audit, w.lines, w.audit[w.i + 1] AS x, w.r + CASE WHEN w.audit[w.i + 1] = 'I' THEN 0 ELSE 1 END AS r2, f.role, f.text, f.code
+        FROM walk w LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.r = w.r + 1 AND w.audit[w.i + 1] <> 'I' WHERE w.i < length(w.audit))),
+ends AS (SELECT conv_id, sha256(array_to_string(lines, chr(10))) AS sha FROM walk WHERE i = length(audit))
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""")
+def op12(spark, sf_dir):
+    from rowmill.llm.conversations import conv_key, damage, message_digests, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    found, messages = repair(damage(rows))
+    out = rows.select("conv_id").distinct().withColumn("conv", conv_key(F.col("conv_id"))).join(found, "conv", "left").join(
+        message_digests(messages), "conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
