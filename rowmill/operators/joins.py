@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 SALTS = 16
+#: Stretches of a bin of ranges, and bins at most (beyond that bins get longer).
+BIN_STRETCHES, MAX_BINS = 256, 1 << 15
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -117,15 +119,59 @@ def lookup_field(df: DataFrame, target: str, source: DataFrame, key_field: str,
 
 def assign_ranges(df: DataFrame, value: str, ranges: DataFrame, low: str, high: str, label: str,
                   target: str) -> DataFrame:
-    """Label of the first range (lowest ``low``) with low <= value <= high, from a table of ranges.
+    """Label of the first range (lowest ``low``) with low <= value <= high, from a table of any number of ranges.
 
-    The table goes into one sorted array per task, so it must fit in memory; that is checked.
+    Ranges are made disjoint first: in their order one wins only beyond the highest end before it. Each value then lies in
+    one stretch at most. Stretches go into bins of equal number; a value's bin is found by halving the bins' starts (at
+    most MAX_BINS values), an equi-join on the bin brings its stretches, and halving them finds the one. A null value or one that no
+    range holds gets null; ranges with a null end or low > high hold nothing.
     """
-    if not fits_in_memory(ranges, max_rows=10_000):
-        raise ValueError("more than 10,000 ranges: bucket the value and join on the bucket instead")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(low).alias("low"), F.col(high).alias("high"),
-                                                F.col(label).alias("label"))))
-    table = ranges.agg(rows.alias("ranges")).scalar()
-    placed = df.withColumn("_ranges", table).withColumn(
-        "_within", F.filter("_ranges", lambda r: (r["low"] <= F.col(value)) & (F.col(value) <= r["high"])))
-    return placed.withColumn(target, F.get("_within", F.lit(0))["label"]).drop("_ranges", "_within")
+    stretches = disjoint_stretches(ranges.select(F.col(low).alias("low"), F.col(high).alias("high"), F.col(label).alias("label")))
+    total = stretches.agg(F.max("at")).first()[0]
+    if total is None:
+        return df.withColumn(target, F.lit(None).cast(ranges.schema[label].dataType))
+    width = max(BIN_STRETCHES, -(-(total + 1) // MAX_BINS))
+    start = F.struct(F.col("start").alias("start"), F.col("open").alias("open"))
+    binned = stretches.groupBy(F.floor(F.col("at") / width).cast("int").alias("_bin")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "open", F.col("high").alias("end"), F.col("label").alias("label")))).alias("_stretches"),
+        F.min(start).alias("_start"))
+    firsts = binned.agg(F.transform(F.array_sort(F.collect_list(F.struct("_bin", "_start"))), lambda x: x["_start"])).scalar()
+    placed = df.withColumn("_firsts", firsts)
+    placed = placed.withColumn("_bin", _last_begun(F.col("_firsts"), F.col(value), total // width + 1)).drop("_firsts")
+    joined = lookup_join(placed, binned.select("_bin", "_stretches"), "_bin", "left")
+    hit = F.get("_stretches", _last_begun(F.col("_stretches"), F.col(value), width))
+    return joined.withColumn(target, F.when(F.col(value) <= hit["end"], hit["label"])).drop("_bin", "_stretches")
+
+
+def _last_begun(starts: Column, value: Column, most: int) -> Column:
+    """Position of the last of ascending starts that the value is not before (-1: none), by halving."""
+    begun = lambda s: (s["start"] < value) | ((s["start"] == value) & ~s["open"])
+    steps = [1 << k for k in range(max(most, 1).bit_length(), -1, -1)]
+    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(-1),
+                       lambda at, step: F.when(begun(F.get(starts, at + step)), at + step).otherwise(at))
+
+
+def disjoint_stretches(ranges: DataFrame) -> DataFrame:
+    """(at, start, open, high, label): where each range (low, high, label) is the first that holds a value, numbered in order.
+
+    ``open`` tells that the start itself belongs to an earlier range. The highest end before a range is a running
+    maximum: within range partitions by a window, over partitions from one value of each.
+    """
+    from pyspark.sql import Window
+    from rowmill.operators.index import global_index
+    from rowmill.session import shared_dir, shuffle_partitions
+
+    spark = ranges.sparkSession
+    shared_dir(spark)
+    order = ["low", "high", "label"]
+    laid = (ranges.where("low <= high").distinct().repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+            .withColumn("_part", F.spark_partition_id()).checkpoint())
+    tops = laid.groupBy("_part").agg(F.max("high").alias("_top"))  # one row per partition
+    earlier = tops.withColumn("_before", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    known = laid.join(F.broadcast(earlier.drop("_top")), "_part")
+    known = known.withColumn("_reach", F.greatest("_before", F.max("high").over(inside)))  # skips nulls
+    open_ = F.coalesce(F.col("_reach") >= F.col("low"), F.lit(False))
+    won = known.where(F.col("_reach").isNull() | (F.col("high") > F.col("_reach"))).select(
+        F.greatest("low", F.when(open_, F.col("_reach"))).alias("start"), open_.alias("open"), "high", "label")
+    return global_index(won, ["start", "open"], "at")

@@ -54,6 +54,20 @@ def join_range_bucket(spark, sf_dir):
     return out.select("o_orderkey", "band")
 
 
+@query("join_range_wide", """
+WITH r AS (SELECT l_extendedprice * 3 + k AS low, l_extendedprice * 3 + k + l_linenumber * 0.4 AS high,
+                  l_orderkey * 10 + l_linenumber AS label FROM lineitem, (VALUES (0.0), (7.5)) AS v(k)),
+found AS (SELECT o_orderkey, arg_min(label, {'a': low, 'b': high, 'c': label}) AS band FROM orders JOIN r ON o_totalprice >= low AND o_totalprice <= high GROUP BY 1)
+SELECT o_orderkey, band FROM orders LEFT JOIN found USING (o_orderkey)""")
+def join_range_wide(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("k", F.explode(F.array(F.lit(0.0), F.lit(7.5))))
+    low = F.col("l_extendedprice") * 3 + F.col("k")
+    ranges = lines.select(low.alias("low"), (low + F.col("l_linenumber") * 0.4).alias("high"),
+                          (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label"))
+    out = joins.assign_ranges(table(spark, sf_dir, "orders"), "o_totalprice", ranges, "low", "high", "label", "band")
+    return out.select("o_orderkey", "band")
+
+
 @query("set_union_by_name", """
 SELECT account, key, name, segment FROM (
   SELECT c_acctbal AS account, c_custkey AS key, c_name AS name, c_mktsegment AS segment FROM customer
