@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowmill.operators.index import as_columns, global_index
 from rowmill.operators.joins import lookup_join
+from rowmill.session import shared_dir, shuffle_partitions
 
 GROUP_ROWS = 100_000     # a group of up to this many rows may be held in memory by one task
 RANKED_ROWS = 1_000_000  # a group of up to this many rows may be sorted, and spilled, by one task
-SKETCH = 100_000         # accuracy of the quantile sketch used to bracket a position
-SLACK = 3.0 / SKETCH
 
 
 def hot_keys(df: DataFrame, keys: list[str], max_rows: int | None = None) -> DataFrame | None:
@@ -58,83 +57,38 @@ def collect_parts(df: DataFrame, keys: list[str], order_by, fields: dict[str, Co
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict) -> DataFrame:
-    """Exact values at sorted positions, per group.
+    """Exact values at sorted positions of each group (keys, n and one column per pick), for groups of any size.
 
-    ``picks`` maps an output name to ``(fraction, position)``: ``position`` turns the group's count of
-    non-null values into a 0-based position and ``fraction`` says roughly where that lies.
-
-    Groups within RANKED_ROWS are ranked by running counts of their distinct values. Larger groups are
-    read twice: a mergeable quantile sketch brackets each position, then only the values inside the
-    bracket are ranked, while those below it are merely counted.
+    ``picks`` maps an output name to a function that turns a group's count of non-null values into a 0-based position.
+    Equal values of a group are counted first. The distinct ones are range-partitioned by group and value and kept as a
+    checkpoint, since range bounds come from a sample. Sums per partition and group give every partition's
+    first position; only the partitions that hold a wanted position are read again, and there a running count finds
+    the value. So a group is spread over tasks by its values, and no task depends on the size of a group.
     """
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    hot = hot_keys(base, keys, RANKED_ROWS)
-    usual = base if hot is None else lookup_join(base, hot, keys, "left_anti", null_safe=True)
-    result = _ranked(usual, keys, picks)
-    if hot is None:
-        return result
-    return result.unionByName(_bracketed(lookup_join(base, hot, keys, "left_semi", null_safe=True),
-                                         keys, picks))
-
-
-def _ranked(base: DataFrame, keys: list[str], picks: dict) -> DataFrame:
-    counts = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy(*keys)
-    running = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_n", F.sum("_c").over(whole)).withColumn("_upto", F.sum("_c").over(running))
-    chosen = [
-        F.min(F.when(F.col("_upto") > position(F.col("_n")), F.col("_v"))).alias(name)
-        for name, (_, position) in picks.items()
-    ]
-    return ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *chosen)
-
-
-def _bracketed(base: DataFrame, keys: list[str], picks: dict) -> DataFrame:
-    names = list(picks)
-    fractions = []
-    for name in names:
-        centre = picks[name][0]
-        fractions += [max(0.0, centre - SLACK), min(1.0, centre + SLACK)]
-    sketch = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", fractions, SKETCH).alias("_q"),
-    )
-    brackets = sketch.select(*keys, "_n", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("pick"), picks[name][1](F.col("_n")).cast("long").alias("at"),
-                 F.col("_q")[2 * i].alias("low"), F.col("_q")[2 * i + 1].alias("high"))
-        for i, name in enumerate(names)
-    ])).alias("_b")).select(*keys, "_n", "_b.*")
-    side = brackets.groupBy(*keys).agg(F.collect_list(F.struct("_n", "pick", "at", "low", "high")).alias("_bs"))
-    rows = (
-        lookup_join(base, side, keys, "inner", null_safe=True)
-        .select(*keys, "_v", F.explode("_bs").alias("_b")).select(*keys, "_v", "_b.*")
-        .where(F.col("_v") <= F.col("high"))
-        .withColumn("_v", F.when(F.col("_v") >= F.col("low"), F.col("_v")))  # null: below the bracket
-    )
-    group = [*keys, "pick"]
-    counts = rows.groupBy(*group, "_v").agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.first("at").alias("at"))
-    running = (Window.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first())
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = (
-        counts.withColumn("_upto", F.sum("_c").over(running))
-        .groupBy(*group)
-        .agg(F.max("_n").alias("_n"), F.max("_upto").alias("_last"), F.max("at").alias("at"),
-             F.max(F.when(F.col("_v").isNull(), F.col("_upto"))).alias("_below"),
-             F.min(F.when(F.col("_upto") > F.col("at"), F.struct("_v"))).alias("_hit"))
-    )
-    outside = (F.coalesce(F.col("_below"), F.lit(0)) > F.col("at")) | (F.col("_last") <= F.col("at"))
-    exact = found.withColumn("_x", F.when(outside, F.raise_error(F.lit("position outside its bracket")))
-                             .otherwise(F.col("_hit._v")))
-    return exact.groupBy(*keys).agg(
-        F.max("_n").alias("n"),
-        *[F.max(F.when(F.col("pick") == name, F.col("_x"))).alias(name) for name in names])
-
-
-MEDIAN_PICKS = {
-    "mid_low": (0.5, lambda n: F.floor((n - 1) / 2)),
-    "mid_high": (0.5, lambda n: F.floor(n / 2)),
-}
+    spark = df.sparkSession
+    shared_dir(spark)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    laid = (counts.repartitionByRange(shuffle_partitions(spark), *keys, "_v").sortWithinPartitions(*keys, "_v")
+            .withColumn("_part", F.spark_partition_id()).checkpoint())
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = laid.groupBy("_part", *keys).agg(F.sum("_c").alias("_sum")).withColumns(
+        {"_n": F.sum("_sum").over(group), "_before": F.coalesce(F.sum("_sum").over(earlier), F.lit(0))})
+    places = F.array(*[F.struct(F.lit(name).alias("pick"), (position(F.col("_n")) - F.col("_before")).cast("long").alias("at"))
+                       for name, position in picks.items()])
+    wanted = sums.select("_n", F.filter(places, lambda p: (p["at"] >= 0) & (p["at"] < F.col("_sum"))).alias("_places"),
+                         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p")).where(F.size("_places") > 0)
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy("_part", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = laid.join(wanted, same).withColumn("_upto", F.sum("_c").over(inside))
+    found = near.select(*keys, "_n", "_v", F.explode(F.filter(
+        "_places", lambda p: (p["at"] < F.col("_upto")) & (p["at"] >= F.col("_upto") - F.col("_c")))).alias("_hit"))
+    return found.groupBy(*keys).agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_hit.pick") == name, F.col("_v"))).alias(name) for name in picks])
+
+
+MEDIAN_PICKS = {"mid_low": lambda n: F.floor((n - 1) / 2), "mid_high": lambda n: F.floor(n / 2)}
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -59,8 +59,8 @@ def is_missing(df: DataFrame, name: str) -> Column:
 
 _QUARTILES = {
     **MEDIAN_PICKS,
-    "q1": (0.25, lambda n: F.floor(n / 4)),
-    "q3": (0.75, lambda n: F.floor(n * 3 / 4)),
+    "q1": lambda n: F.floor(n / 4),
+    "q3": lambda n: F.floor(n * 3 / 4),
 }
 
 

@@ -10,9 +10,9 @@ from rowmill.operators.groups import order_statistics
 METHODS = ("min_max", "z_score", "robust")
 
 _ROBUST = {
-    "q1": (0.25, lambda n: F.floor(n / 4)),
-    "mid": (0.5, lambda n: F.floor(n / 2)),
-    "q3": (0.75, lambda n: F.floor(n / 4) * 3),
+    "q1": lambda n: F.floor(n / 4),
+    "mid": lambda n: F.floor(n / 2),
+    "q3": lambda n: F.floor(n / 4) * 3,
 }
 
 

@@ -36,7 +36,6 @@ def test_global_index(skewed):
 def test_median_per_group(skewed, monkeypatch, bound):
     monkeypatch.setattr(groups, "GROUP_ROWS", bound)
     monkeypatch.setattr(groups, "RANKED_ROWS", bound)
-    monkeypatch.setattr(groups, "SLACK", 0.02)
     out = aggregate.aggregate(skewed, ["key"], {"mid": "median,value", "n": "count"})
     for r in out.collect():
         values = [x["value"] for x in by_key(skewed)[r["key"]]]
@@ -45,18 +44,18 @@ def test_median_per_group(skewed, monkeypatch, bound):
 
 def test_positions_in_a_large_group(skewed, monkeypatch):
     monkeypatch.setattr(groups, "RANKED_ROWS", 100)
-    monkeypatch.setattr(groups, "SLACK", 0.02)  # the bound and the slack go together: a bracket spans several rows
-    picks = {f"p{i}": (i / 10, lambda n, i=i: F.floor((n - 1) * i / 10)) for i in range(11)}
+    picks = {f"p{i}": lambda n, i=i: F.floor((n - 1) * i / 10) for i in range(11)}
     for r in groups.order_statistics(skewed, ["key"], "value", picks).collect():
         values = sorted(x["value"] for x in by_key(skewed)[r["key"]])
         assert [r[f"p{i}"] for i in range(11)] == [values[(len(values) - 1) * i // 10] for i in range(11)]
 
 
-def test_position_outside_its_bracket_is_an_error(skewed, monkeypatch):
-    monkeypatch.setattr(groups, "RANKED_ROWS", 100)
-    wrong = {"p": (0.1, lambda n: F.floor(n * 0.9))}
-    with pytest.raises(Exception, match="outside its bracket"):
-        groups.order_statistics(skewed, ["key"], "value", wrong).collect()
+def test_positions_need_no_sketch_and_no_whole_group(spark):
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, null, 'k') key", "id % 7 value")
+    found = groups.order_statistics(df, ["key"], "value", {"low": lambda n: n * 0, "high": lambda n: n - 1, "none": lambda n: n})
+    assert {r["key"]: (r["n"], r["low"], r["high"], r["none"]) for r in found.collect()} == {None: (667, 0, 6, None), "k": (1333, 0, 6, None)}
+    plan = found._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "raise_error" not in plan and "rangepartitioning" not in plan  # ranges are laid out once, before
 
 
 @pytest.mark.parametrize("bound", [40, 10**6])
@@ -134,14 +133,12 @@ def test_many_categories_have_a_row_form(skewed, monkeypatch):
 def test_robust_scaling_of_a_large_column(skewed, monkeypatch):
     wanted = rows(scaling.normalize(skewed, ["value"], "robust"))
     monkeypatch.setattr(groups, "RANKED_ROWS", 100)
-    monkeypatch.setattr(groups, "SLACK", 0.02)
     assert rows(scaling.normalize(skewed, ["value"], "robust")) == wanted
 
 
 def test_outlier_statistics_of_a_large_column(skewed, monkeypatch):
     wanted = noise.mad_tests(skewed, ["value"]), noise.iqr_tests(skewed, ["value"])
     monkeypatch.setattr(groups, "RANKED_ROWS", 100)
-    monkeypatch.setattr(groups, "SLACK", 0.02)
     assert (noise.mad_tests(skewed, ["value"]), noise.iqr_tests(skewed, ["value"])) == wanted
 
 
