@@ -7,6 +7,8 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from rowmill.functions.conditions import safe_condition
+
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 NUMBER_TEXT = (r"(?i)^\s*[+-]?(([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+)?"
                r"|inf|infinity|nan)\s*$")
@@ -70,17 +72,20 @@ def text_numbers(expression: str, df: DataFrame) -> list[str]:
     return [n for n in named if "number" in uses.get(n, ()) and uses[n] <= {"number", "null test"}]
 
 
-def with_expression(df: DataFrame, target: str, expression: str, wrap=lambda c: c) -> DataFrame:
-    """Add ``target`` from a SQL expression; text fields used as numbers are read as numbers first."""
+def with_expression(df: DataFrame, target: str, expression: str, wrap=lambda c: c, safe: bool = False) -> DataFrame:
+    """Add ``target`` from a SQL expression; text fields used as numbers are read as numbers first.
+
+    ``safe``: where evaluating it raises, the value of the expression is null.
+    """
     text = text_numbers(expression, df)
-    value = wrap(F.expr(expression)).alias(target)
+    written = lambda rows: wrap(F.expr(safe_condition(expression, rows) if safe else expression)).alias(target)
     rest = [n for n in df.columns if n != target]
     if not text:
-        return df.select(*rest, value)
+        return df.select(*rest, written(df))
     staged = df.select(*[F.col(n).alias(f"_keep_{n}") for n in text],
                        *[number_or_null(F.col(n)).alias(n) if n in text else F.col(n) for n in df.columns])
     back = [F.col(f"_keep_{n}").alias(n) if n in text else F.col(n) for n in rest]
-    return staged.select(*back, value)
+    return staged.select(*back, written(staged))
 
 
 def numeric_fields(df: DataFrame) -> list[str]:

@@ -72,7 +72,7 @@ class CategoryMap(Rule):
 
 @dataclass(frozen=True)
 class Conditional(Rule):
-    """``true_value`` where the condition holds, else (also where it is null) ``false_value``."""
+    """``true_value`` where the condition holds, else (also where it is null or raises) ``false_value``."""
 
     condition: str
     true_value: Any
@@ -80,7 +80,7 @@ class Conditional(Rule):
 
     def apply(self, df: DataFrame) -> DataFrame:
         choose = lambda c: F.when(c.cast("boolean"), F.lit(self.true_value)).otherwise(F.lit(self.false_value))
-        return with_expression(df, self.target, self.condition, choose)
+        return with_expression(df, self.target, self.condition, choose, safe=True)
 
 
 @dataclass(frozen=True)

@@ -6,18 +6,19 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from rowmill.functions.conditions import safe_condition
 from rowmill.functions.numbers import text_numbers, with_expression
 
 SAMPLE_FIELDS = ("_sample_index", "_sample_strategy")
 
 
 def filter_rows(df: DataFrame, condition: str | None) -> DataFrame:
-    """Rows where the condition is true; a null result drops the row. No condition keeps all."""
+    """Rows where the condition is true; a null result or an error drops the row. No condition keeps all."""
     if not condition:
         return df
     if not text_numbers(condition, df):
-        return df.where(F.expr(condition).cast("boolean"))  # plain, so that it reaches the scan
-    return with_expression(df, "_keep", condition, lambda c: c.cast("boolean")).where("_keep").drop("_keep")
+        return df.where(F.expr(safe_condition(condition, df)).cast("boolean"))  # plain, so that it reaches the scan
+    return with_expression(df, "_keep", condition, lambda c: c.cast("boolean"), safe=True).where("_keep").drop("_keep")
 
 
 def equals_all(query: dict | None):

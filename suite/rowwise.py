@@ -18,6 +18,13 @@ def filter_condition(spark, sf_dir):
     return filters.filter_rows(events, "kind != 'click' and value > 20").select("event_id", "value")
 
 
+@query("filter_zero_divisor", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+WHERE l_linenumber <> 1 AND (l_extendedprice / (l_linenumber - 1) > 20000 OR l_quantity = 5)""")
+def filter_zero_divisor(spark, sf_dir):
+    lines = filters.filter_rows(table(spark, sf_dir, "lineitem"), "l_extendedprice / (l_linenumber - 1) > 20000 or l_quantity = 5")
+    return lines.select(*LINE_KEY)
+
+
 @query("enrich_calculate", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
 round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge,
 round(l_quantity * 2 + l_linenumber, 4) AS points FROM lineitem""")
@@ -57,6 +64,20 @@ def enrich_conditional(spark, sf_dir):
     return rule.apply(orders).select("o_orderkey", "tier")
 
 
+@query("conditional_error", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 AND (o_totalprice / (o_orderkey % 4) > 90000 OR o_orderstatus = 'P') THEN 'large' ELSE 'usual' END AS size,
+       CASE WHEN o_orderstatus = 'F' OR o_orderkey % 3 <> 0 AND o_custkey % (o_orderkey % 3) = 1 THEN 'yes' ELSE 'no' END AS odd,
+       CASE WHEN coalesce(TRY_CAST(nullif(substr(o_orderpriority, 1, 1), '3') AS INT), 0) >= 4 THEN 1 ELSE 0 END AS late FROM orders""")
+def conditional_error(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn(
+        "level", F.expr("if(o_orderpriority like '3%', 'none', substr(o_orderpriority, 1, 1))"))
+    out = enrich.enrich(orders, [
+        enrich.Conditional("size", "o_totalprice / (o_orderkey % 4) > 90000 or o_orderstatus = 'P'", "large", "usual"),
+        enrich.Conditional("odd", "o_orderstatus = 'F' or o_custkey % (o_orderkey % 3) = 1", "yes", "no"),
+        enrich.Conditional("late", "CAST(level AS int) >= 4", 1, 0)])
+    return out.select("o_orderkey", "size", "odd", "late")
+
+
 @query("enrich_derive", """SELECT c_custkey, lower(c_mktsegment) || '/' || c_nationkey AS tag,
 CAST(c_acctbal < 0 AS BOOLEAN) AS owes FROM customer""")
 def enrich_derive(spark, sf_dir):
