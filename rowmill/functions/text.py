@@ -78,9 +78,25 @@ def strip_fence(c: Column) -> Column:
     return F.btrim(bound(bound(F.btrim(c, F.lit(_BLANKS)), opened), closed), F.lit(_BLANKS))
 
 
+def _reads_within(before: str, t: Column, after: str) -> Column:
+    """Whether the text reads as part of a JSON object; its values are skipped, so repeated keys do not matter."""
+    strict = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
+    return F.from_json(F.concat(F.lit(before), t, F.lit(after)), "_bad string", strict)["_bad"].isNull()
+
+
+def is_json(t: Column) -> Column:
+    """Whether a text is one JSON value; objects may repeat a key (then the last one counts, as ``from_json`` reads it).
+
+    VARIANT takes no repeated keys, so what it refuses is tried as a member of an object and as an element of a list: only one
+    whole value is both.
+    """
+    reads = F.try_parse_json(t).isNotNull() | (_reads_within('{"v":', t, "}") & _reads_within('{"v":[', t, "]}"))
+    return F.when(t.isNotNull(), reads)
+
+
 def _valid(c: Column) -> Column:
     """The text where it is one JSON value, else null."""
-    return bound(c, lambda t: F.when(F.try_parse_json(t).isNotNull(), t))
+    return bound(c, lambda t: F.when(is_json(t), t))
 
 
 def _fenced(c: Column) -> Column:

@@ -6,11 +6,13 @@ import csv
 import io
 import json
 from typing import Iterable
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from rowmill.session import staged_path
+from rowmill.operators.joins import lookup_join
 from rowmill.operators.setops import union_by_name
 from rowmill.sources import workbook
 
@@ -25,38 +27,68 @@ def _paths(paths: str | Iterable[str]) -> list[str]:
 
 
 def read_csv(spark: SparkSession, paths, delimiter: str = ",", encoding: str = "utf-8", has_header: bool = True,
-             skip_rows: int = 0, quotechar: str = '"', multi_line: bool = False) -> DataFrame:
+             skip_rows: int = 0, quotechar: str = '"', multi_line: bool = False, one_header: bool = False) -> DataFrame:
     """All values are text; without a header the columns are col_0, col_1, ...
 
-    ``skip_rows`` lines before the header are dropped in each file. Short rows give null, long rows lose
-    the rest. ``multi_line`` allows line breaks in quoted cells, but a file is then read by one task.
+    Each file's own header names its values: a job finds the first line of every file, and files whose headers differ are put
+    together by name (a missing column is null, of a repeated name the last counts). ``one_header`` says that all files have the
+    same and saves that job. ``skip_rows`` lines before the header are dropped in each file. Short rows give null,
+    long rows lose the rest. ``multi_line`` allows line breaks in quoted cells (not in headers), but a file is then read by one task.
     """
     paths = _paths(paths)
-    options = {"sep": delimiter, "quote": quotechar, "escape": quotechar, "encoding": encoding,
-               "multiLine": multi_line, "mode": "PERMISSIVE"}
-    if skip_rows == 0:
-        df = spark.read.options(header=has_header, **options).csv(paths)
-        return df if has_header else df.toDF(*[f"col_{i}" for i in range(len(df.columns))])
-    first = spark.read.text(paths[0]).limit(skip_rows + 1).collect()[-1][0]
-    cells = next(csv.reader([first], delimiter=delimiter, quotechar=quotechar))
-    names = cells if has_header else [f"col_{i}" for i in range(len(cells))]
-    dropped = skip_rows + (1 if has_header else 0)
-
-    def without_first_lines(batches):
-        seen: dict[str, int] = {}
-        for batch in batches:
-            before = batch["path"].map(seen).fillna(0)
-            place = before + batch.groupby("path").cumcount()
-            for path, n in batch["path"].value_counts().items():
-                seen[path] = seen.get(path, 0) + n
-            yield batch[(batch["start"] > 0) | (place >= dropped)][["value"]]
-
-    lines = (spark.read.text(paths)
-             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-             .mapInPandas(without_first_lines, "value string").where(F.length("value") > 0))
-    schema = ", ".join(f"`{n}` STRING" for n in names)
-    row = F.from_csv("value", schema, {"sep": delimiter, "quote": quotechar, "escape": quotechar})
-    return lines.select(row.alias("r")).select("r.*")
+    options = {"sep": delimiter, "quote": quotechar, "escape": quotechar}
+    plain = spark.read.options(encoding=encoding, multiLine=multi_line, mode="PERMISSIVE", **options)
+    if skip_rows == 0 and not has_header:
+        df = plain.csv(paths)
+        return df.toDF(*[f"col_{i}" for i in range(len(df.columns))])
+    if skip_rows == 0 and one_header:
+        return plain.csv(paths, header=True)
+    lines = _numbered_lines(spark, paths, encoding)
+    heads = _first_lines(lines, skip_rows)
+    cells = lambda line: next(csv.reader([line], delimiter=delimiter, quotechar=quotechar))
+    if not has_header:
+        first = heads.select("head").first()
+        names = [] if first is None else [f"col_{i}" for i in range(len(cells(first[0])))]
+        starts = heads.select("path", F.lit("").alias("head"), (F.col("at") - 1).alias("at"))
+        return _by_header(lines, starts, {"": names}, options)
+    headers = {row[0]: cells(row[0]) for row in heads.select("head").distinct().collect()}  # one row per kind of header
+    if len(headers) <= 1 and skip_rows == 0:
+        return plain.csv(paths, header=True)
+    if multi_line:
+        grouped = heads.groupBy("head").agg(F.collect_list("path").alias("paths")).collect()
+        return union_by_name([plain.csv([unquote(p) for p in row["paths"]], header=True) for row in sorted(grouped)])
+    return _by_header(lines, heads, headers, options)
+
+
+def _numbered_lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    """(value, path, start, at): lines with their file, the start of their block, and a number that grows within a file's block."""
+    value = F.col("value") if encoding.lower().replace("-", "") == "utf8" else F.decode(F.col("value").cast("binary"), encoding)
+    return spark.read.text(paths).select(
+        value.alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"))
+
+
+def _first_lines(lines: DataFrame, skipped: int) -> DataFrame:
+    """(path, head, at): the line of every file after ``skipped`` ones (without any to skip: the first that is not blank)."""
+    first = lines.where("start = 0") if skipped else lines.where("start = 0 and length(trim(value)) > 0")
+    numbered = F.row_number().over(Window.partitionBy("path").orderBy("at"))  # Spark keeps the first rows of a file per task only
+    found = first.withColumn("_nth", numbered).where(F.col("_nth") <= skipped + 1)
+    return found.where(F.col("_nth") == skipped + 1).select("path", F.regexp_replace("value", "^\ufeff", "").alias("head"), "at")
+
+
+def _by_header(lines: DataFrame, heads: DataFrame, headers: dict[str, list[str]], options: dict) -> DataFrame:
+    """The lines behind each file's head as rows, their values named by the file's header: one scan for all headers."""
+    names = list(dict.fromkeys(n for known in headers.values() for n in known))
+    joined = lookup_join(lines, heads.withColumnRenamed("at", "_head_at"), "path", "inner")
+    rows = joined.where("(start > 0 or at > _head_at) and length(trim(value)) > 0")
+    parsed, place = [], {}
+    for i, (head, known) in enumerate(headers.items()):
+        if known:
+            schema = ", ".join(f"c{k} STRING" for k in range(len(known)))
+            parsed.append(F.from_csv(F.when(F.col("head") == head, F.col("value")), schema, options).alias(f"_{i}"))
+            place.update({(i, name): k for k, name in enumerate(known)})  # of a repeated name the last counts
+    rows = rows.select(*parsed)
+    return rows.select(*[F.coalesce(*[F.col(f"_{i}.c{k}") for (i, n), k in place.items() if n == name]).alias(name) for name in names])
 
 
 def read_json_lines(spark: SparkSession, paths, schema=None) -> DataFrame:

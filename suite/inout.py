@@ -186,19 +186,33 @@ UNION ALL SELECT 'error', NULL, 'Unknown file type: odd' FROM supplier WHERE s_s
 def src_ingest_batch(spark, sf_dir):
     root = staged_path(spark, "mixed")
     pick = lambda name, p: table(spark, sf_dir, name).select(F.col(f"{p}key").alias("key"), F.col(f"{p[0]}_name").alias("name"))
-    pick("supplier", "s_supp").coalesce(1).write.option("header", True).csv(f"{root}/a")
-    pick("customer", "c_cust").coalesce(1).write.json(f"{root}/b")
-    pick("part", "p_part").coalesce(1).write.parquet(f"{root}/c")
-    listing = files.list_files(spark, f"{root}/*").select("path", files.type_by_extension().alias("kind")).collect()
+    pick("supplier", "s_supp").write.option("header", True).csv(f"{root}/a")
+    pick("customer", "c_cust").write.json(f"{root}/b")
+    pick("part", "p_part").write.parquet(f"{root}/c")
     # Spark's JSON files hold one record per line, which is the jsonl reader's format.
-    sources = [(r["path"], "jsonl" if r["kind"] == "json" else r["kind"]) for r in listing if r["kind"] in ("csv", "json", "parquet")]
-    found = ingest.ingest_files(spark, [*sources, (f"{root}/x.odd", "odd")])
+    found = ingest.ingest_files(spark, [(f"{root}/a", "csv"), (f"{root}/b", "jsonl"), (f"{root}/c", "parquet"), (f"{root}/x.odd", "odd")])
     parts = [frame.select(F.lit("json" if kind == "jsonl" else kind).alias("kind"), F.col("key").cast("long").alias("key"), "name")
              for kind, frame in found.frames.items()]
     errors = found.errors.select(F.lit("error").alias("kind"), F.lit(None).cast("long").alias("key"), F.col("error").alias("name"))
     return union_by_name([*parts, errors]).select("kind", "key", "name")
 
 
+@query("src_ingest_mixed_headers", """
+SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name, NULL AS segment, NULL AS size FROM supplier
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, NULL FROM customer
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name || ', "new"', NULL, CAST(p_size AS VARCHAR) FROM part""")
+def src_ingest_mixed_headers(spark, sf_dir):
+    """Three tables as CSV files of one folder, each with its columns in another order."""
+    root = staged_path(spark, "headers")
+    parts = [table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS key", "s_name AS name"),
+             table(spark, sf_dir, "customer").selectExpr("c_name AS name", "c_mktsegment AS segment", "c_custkey AS key"),
+             table(spark, sf_dir, "part").selectExpr("p_size AS size", "p_name || ', \"new\"' AS name", "p_partkey AS key")]
+    for part in parts:
+        part.write.mode("append").options(header=True, escape='"').csv(root)
+    found = ingest.ingest_files(spark, [(root, "csv")])
+    return found.frames["csv"].select("key", "name", "segment", "size")
+
+
 @query("src_pages_concat", """
 WITH p AS (SELECT event_id // 50 AS page, count(*) AS n, max(value) > 470 AS done FROM events GROUP BY 1)
 SELECT event_id // 50 AS page, event_id, value FROM events

@@ -65,6 +65,22 @@ def doc_strip_fence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_fence(fenced)).alias("body"))
 
 
+@query("doc_repeated_key", """SELECT 'r' || o_orderkey AS receipt_number, CASE WHEN o_orderkey % 5 <> 4 THEN 'Shop ' || o_custkey END AS merchant_name,
+CASE WHEN o_orderkey % 5 <> 4 THEN o_totalprice END AS total_amount, o_orderkey % 5 = 4 AS rejected FROM orders""")
+def doc_repeated_key(spark, sf_dir):
+    """Answers whose JSON repeats keys at two levels, bare, fenced, in prose, or broken off."""
+    body = F.format_string('{"merchant": {"name": "old"}, "summary": {"total_amount": 1, "total_amount": %s, "lines": [{"a": 1, "a": 2}]}, "merchant": {"name": "Shop %s"}}',
+                           F.col("o_totalprice").cast("string"), F.col("o_custkey").cast("string"))
+    k = F.col("o_orderkey") % 5
+    answer = (F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here: "), body, F.lit(" done.")))
+              .when(k == 3, F.concat(F.lit(" \n"), body, F.lit("\n"))).otherwise(F.concat(body, F.lit(", "), body)))
+    parsed = d.parse_documents(table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("name"), answer.alias("answer")),
+                               "name", "answer")
+    whole = parsed.select("receipt_number", F.col("json").isNull().alias("rejected"))
+    heads = d.shred_headers(parsed).select("receipt_number", "merchant_name", F.col("total_amount").cast("double").alias("total_amount"))
+    return whole.join(heads, "receipt_number", "left").select("receipt_number", "merchant_name", "total_amount", "rejected")
+
+
 @query("doc_rejects", "SELECT 'r' || o_orderkey || '.png' AS receipt_number FROM orders WHERE o_orderkey % 4 = 3")
 def doc_rejects(spark, sf_dir):
     return d.rejects(_parsed(spark, sf_dir)).select("receipt_number")

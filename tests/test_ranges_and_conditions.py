@@ -64,3 +64,59 @@ def test_plain_conditions_reach_the_scan(odd):
 
     assert safe_condition("a > 5 and b = 1", odd) == "a > 5 and b = 1"
     assert "PushedFilters: [IsNotNull(a), GreaterThan(a,5)]" in plan_of(filter_rows(odd, "a > 5"))
+
+
+def test_json_validity_is_that_of_the_standard_parser(spark):
+    import json
+
+    from rowmill.functions.text import is_json, json_in_text
+
+    texts = ['{"a":1,"a":2}', '{"a":{"b":1,"b":[1,{"c":1,"c":2}]}}', '[{"a":1,"a":2},3]', '{"a":1,"a":2} x', "1,2", '1,"w":2', "1], [2", '1}, {"v":2', '{"a":1,"a":2}{"b":1}',
+             "{'a':1,'a':2}", '{"a":01,"a":2}', '{"a":1,"a":2', '{"a":1 "a":2}', '{"a":"x\ny","a":2}', '{"a":"\\x","a":2}', "", ' {"a":1,"a":2}\n', '{"a":1,"a":2,}', "5", '"x"',
+             "null", '{"a":1,}', '{a:1,"b":2,"b":1}', '{"a":1/*c*/,"a":2}', '{"a":tru,"a":2}', '{"a":"}","a":"]"}', "[" * 50 + "]" * 50, '{"":1,"":2}']
+
+    def reads(t):
+        try:
+            json.loads(t)
+            return True
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for r in df.select("t", is_json(F.col("t")).alias("ok")).collect():
+        assert r["ok"] == (None if r["t"] is None else reads(r["t"])), r["t"]
+    fenced = spark.createDataFrame([('so:\n```json\n{"a": 1, "a": 2}\n```',)], "t string")
+    assert fenced.select(F.from_json(json_in_text(F.col("t")), "a int")["a"]).first()[0] == 2
+
+
+def _write(folder, files, encoding="utf-8"):
+    folder.mkdir()
+    for name, text in files.items():
+        (folder / name).write_bytes(text.encode(encoding))
+    return str(folder)
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    from rowmill.sources.readers import read_csv
+
+    path = _write(tmp_path / "a", {"one.csv": "\nname,age\nBob,25\n\n\"O, Neil\",\"3\"\"0\"\n", "two.csv": "﻿age,name\n25,Ann\n26\n27,Eve,more\n",
+                                   "three.csv": "name,extra,name\r\nold,x,new\r\n", "none.csv": "", "head only.csv": "name,age,zip\n"})
+    got = read_csv(spark, path)
+    assert sorted(got.columns) == ["age", "extra", "name", "zip"]
+    assert rows(got, "name", "age", "extra", "zip") == sorted([
+        ("Bob", "25", None, None), ("O, Neil", '3"0', None, None), ("Ann", "25", None, None), (None, "26", None, None), ("Eve", "27", None, None),
+        ("new", None, "x", None)], key=repr)
+    many = read_csv(spark, path, multi_line=True)
+    assert rows(many.where("name in ('Bob', 'Ann', 'Eve')"), "name", "age") == [("Ann", "25"), ("Bob", "25"), ("Eve", "27")]
+
+
+def test_skipped_lines_and_encoding(spark, tmp_path):
+    from rowmill.sources.readers import read_csv
+
+    path = _write(tmp_path / "b", {"one.csv": "título\n\nnaïve;city\nBö;Köln\n", "two.csv": "x\ny\ncity;naïve\nGenève;Zoë\n"}, "latin-1")
+    got = read_csv(spark, path, delimiter=";", encoding="ISO-8859-1", skip_rows=2)
+    assert rows(got, "naïve", "city") == [("Bö", "Köln"), ("Zoë", "Genève")]
+    got = read_csv(spark, path, delimiter=";", encoding="ISO-8859-1", skip_rows=3, has_header=False)
+    assert rows(got, "col_0", "col_1") == [("Bö", "Köln"), ("Genève", "Zoë")]
+    same = _write(tmp_path / "c", {"one.csv": "a,b\n1,2\n", "two.csv": "a,b\n3,4\n"})
+    assert rows(read_csv(spark, same), "a", "b") == rows(read_csv(spark, same, one_header=True), "a", "b") == [("1", "2"), ("3", "4")]
