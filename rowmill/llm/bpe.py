@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import zlib
-from itertools import chain, pairwise
+from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from rowmill.llm.pretokens import bounds, codepoint_classes, distinct, spread
 from rowmill.llm.staging import broadcast_bytes, free_name, lists, map_text
 
-#: Merged pre-tokens that a task remembers; the memory is emptied when it is full.
-CACHE = 300_000
+#: Bytes of merged pre-tokens that a worker remembers (with what Python adds to each); the memory is emptied when it is full.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 180
+#: Bytes of text that are scanned at a time.
+SLICE = 1 << 19
 #: Longer pre-tokens are merged with a heap.
 SHORT = 96
 
@@ -105,18 +109,43 @@ def _merge_long(piece, ranks):
 
 
 class Merged(dict):
-    """Token ids of pre-tokens, merged when first met."""
+    """Token ids of pre-tokens, as 32-bit integers in bytes, merged when first met; and the tokens' bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = CACHE):
+    def __init__(self, ranks: dict[bytes, int], limit: int = CACHE_BYTES):
         super().__init__()
-        self.ranks, self.limit = ranks, limit
+        self.ranks, self.limit, self.held = ranks, limit, 0
+        self.sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.tokens: list = [None] * len(self.sizes)
+        for token, number in ranks.items():
+            self.sizes[number], self.tokens[number] = len(token), token
 
     def __missing__(self, piece: bytes):
-        if len(self) >= self.limit:
+        ids = array("i", merge(piece, self.ranks)).tobytes()
+        self.held += ENTRY_BYTES + len(piece) + len(ids)
+        if self.held > self.limit:
             self.clear()
-        ids = self[piece] = merge(piece, self.ranks)
+            self.held = ENTRY_BYTES + len(piece) + len(ids)
+        self[piece] = ids
         return ids
 
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for; an unknown id is an error."""
+        tokens = [self.tokens[i] if 0 <= i < len(self.tokens) else None for i in ids.tolist()]
+        if None in tokens:
+            raise KeyError("an id without a token")
+        return b"".join(tokens)
+
+
+_KEPT: dict[str, Merged] = {}
+
+
+def _worker_merged(name: str, ranks: dict[bytes, int]) -> Merged:
+    """What the next tasks of the same Python worker find of a vocabulary; another vocabulary takes its place."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Merged(ranks)
+    return _KEPT[name]
+
 
 def encode_slice(values, offsets, classes, found: Merged) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of many texts, one after the other, and the number of tokens of each."""
@@ -124,55 +153,71 @@ def encode_slice(values, offsets, classes, found: Merged) -> tuple[np.ndarray, n
     data = values.tobytes()
     once, number = distinct(values, cut)
     groups = [found[data[a:b]] for a, b in zip(cut[once].tolist(), cut[once + 1].tolist())]
-    own = np.fromiter(map(len, groups), np.int64, len(groups))
-    flat = np.fromiter(chain.from_iterable(groups), np.int32, int(own.sum()))
-    ids, sizes = spread(flat, own, number)
+    own = np.fromiter(map(len, groups), np.int64, len(groups)) // 4
+    ids, sizes = spread(np.frombuffer(b"".join(groups), np.int32), own, number)
     return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
 
 
-def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids: str = "ids", starts: str = "starts") -> DataFrame:
+def _vocabulary(df: DataFrame, ranks_path: str):
+    """The ranks, under a name by their content, and the classes of code points, for the tasks."""
+    ranks = load_ranks(ranks_path)
+    with open(ranks_path, "rb") as file:
+        name = hashlib.sha256(file.read()).hexdigest()
+    return broadcast_bytes(df.sparkSession, (name, ranks, _class_bytes()))
+
+
+def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids: str = "ids", starts: str | None = "starts",
+           decoded: str | None = None, checked: str | None = None, keep_text: bool = True) -> DataFrame:
     """Add ids array<int>, the tokens of the whole text, and starts array<int>, the byte at which each one begins.
 
-    Ranks are read on the driver, where the path is, and broadcast (a vocabulary has a fixed size). A null or empty
-    text has no tokens. Special tokens are ordinary text. Columns named like the added ones are replaced; all other
-    columns pass unchanged. Memory of a task: one slice of texts (1 MB, or one longer text) and the cache.
+    ``decoded`` names a column for the bytes that the ids stand for, ``checked`` one that tells whether these are the
+    text's; both come from decoding the ids in the same pass. Outputs named None are left out. Ranks are read on the driver, where the
+    path is, and broadcast (a vocabulary has a fixed size). A null or empty text has no tokens. Special tokens are
+    ordinary text. Rows that repeat an id or a text are encoded like others. Columns named like the added ones are
+    replaced; all other columns pass unchanged. Memory of a task: one slice of texts (512 KB, or one longer text); of a
+    worker: one vocabulary and CACHE_BYTES of merged pre-tokens.
     """
-    ranks = load_ranks(ranks_path)
-    shared = broadcast_bytes(df.sparkSession, (ranks, _class_bytes()))
+    shared = _vocabulary(df, ranks_path)
+    added = {ids: "array<int>", starts: "array<int>", decoded: "binary", checked: "boolean"}
 
     def setup():
-        ranks, classes = shared.value
-        widths = np.zeros(max(ranks.values()) + 1, np.int32)
-        for token, number in ranks.items():
-            widths[number] = len(token)
-        return Merged(ranks), np.frombuffer(zlib.decompress(classes), np.uint8), widths
+        name, ranks, classes = shared.value
+        return _worker_merged(name, ranks), np.frombuffer(zlib.decompress(classes), np.uint8)
 
     def run(values, offsets, state):
-        found, classes, widths = state
+        found, classes = state
         tokens, counts = encode_slice(values, offsets, classes, found)
-        size = widths[tokens]
-        ends = np.cumsum(size, dtype=np.int64)
-        begins = ends - size - np.repeat(offsets[:-1], counts)
-        return [lists(tokens, counts, pa.int32()), lists(begins.astype(np.int32), counts, pa.int32())]
-
-    return map_text(df, text_col, f"{ids} array<int>, {starts} array<int>", run, setup)
+        out = [lists(tokens, counts, pa.int32())]
+        if starts:
+            size = found.sizes[tokens]
+            ends = np.cumsum(size)
+            out.append(lists((ends - size - np.repeat(offsets[:-1], counts)).astype(np.int32), counts, pa.int32()))
+        if decoded or checked:
+            texts = [found.decoded(part) for part in np.split(tokens, np.cumsum(counts)[:-1])] if len(counts) else []
+            if decoded:
+                out.append(pa.array(texts, pa.binary()))
+            if checked:
+                data = values.tobytes()
+                out.append(pa.array([text == data[a:b] for text, (a, b) in zip(texts, pairwise(offsets.tolist()))], pa.bool_()))
+        return out
+
+    return map_text(df, text_col, ", ".join(f"`{c}` {kind}" for c, kind in added.items() if c), run, setup, keep_text, SLICE)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for (binary). Null ids give empty bytes; an unknown id is an error."""
-    shared = broadcast_bytes(df.sparkSession, load_ranks(ranks_path))
+    shared = _vocabulary(df, ranks_path)
     work = free_name(df, "_ids")
     kept = [f for f in df.schema.fields if f.name.lower() != out.lower()]
     schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])
 
     def run(batches):
-        tokens = {number: token for token, number in shared.value.items()}
+        found = _worker_merged(*shared.value[:2])
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 piece = batch.slice(start, 256)
                 column = piece.column(piece.num_columns - 1)
-                texts = [b"".join(map(tokens.__getitem__, column[k].values.to_numpy().tolist())) if column[k].is_valid else b""
-                         for k in range(len(column))]
+                texts = [found.decoded(column[k].values.to_numpy()) if column[k].is_valid else b"" for k in range(len(column))]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(texts, pa.binary())], names=schema.names)
 
     return df.select(*[df[f"`{f.name}`"] for f in kept], F.col(ids).alias(work)).mapInArrow(run, schema)

@@ -54,12 +54,12 @@ def _ids_text(ids):
 def op5(spark, sf_dir):
     import public_tokenizers
 
-    from rowmill.llm.bpe import decode, encode
+    from rowmill.llm.bpe import encode
 
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
-    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(_ids_text(F.col("ids")), 256).alias("ids_sha256"), "ids")
-    return decode(coded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                   starts=None, decoded="decoded", keep_text=False)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(_ids_text(F.col("ids")), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op10_line_dedup", r"""

@@ -55,24 +55,25 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = stop
 
 
-def map_text(df: DataFrame, text: str, added: str, function: Callable, setup: Callable | None = None) -> DataFrame:
-    """Append columns computed from a text column, in slices of bounded size.
+def map_text(df: DataFrame, text: str, added: str, function: Callable, setup: Callable | None = None,
+             keep_text: bool = True, limit: int = SLICE_BYTES) -> DataFrame:
+    """Append columns computed from a text column, in slices of at most ``limit`` bytes of text.
 
     ``function(values, offsets, state)`` gets the UTF-8 bytes of a slice with the offset of each text and returns
     one Arrow array per added column; ``setup()`` makes ``state`` once per task. Added columns replace columns of
-    the same name.
+    the same name; the text itself stays unless ``keep_text`` is false.
     """
     new = T._parse_datatype_string(added)
     names = {f.name.lower() for f in new.fields}
     work = free_name(df, "_text")
-    kept = [f for f in df.schema.fields if f.name.lower() not in names]
+    kept = [f for f in df.schema.fields if f.name.lower() not in names and (keep_text or f.name.lower() != text.lower())]
     frame = df.select(*[df[f"`{f.name}`"] for f in kept], df[f"`{text}`"].alias(work))
     out = T.StructType(kept + new.fields)
 
     def run(batches):
         state = setup() if setup else None
         for batch in batches:
-            for piece in slices(batch, work):
+            for piece in slices(batch, work, limit):
                 values, offsets = text_arrays(piece.column(piece.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *function(values, offsets, state)], names=out.names)
 

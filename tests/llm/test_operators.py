@@ -53,6 +53,19 @@ def test_bpe_equals_tiktoken_and_decodes(docs, none):
         assert bytes(r["decoded"]) == text
         assert r["starts"] == sorted(r["starts"]) and all(0 <= s < len(text) for s in r["starts"])
     assert bpe.decode(bpe.encode(none, path), path).count() == 0
+    whole = bpe.encode(docs, path, starts=None, decoded="lang", checked="ok", keep_text=False)
+    assert "text" not in whole.columns and whole.where("not ok").count() == 0
+    assert sorted(bytes(r["lang"]) for r in whole.collect()) == sorted((t or "").encode() for _, t in TEXTS)
+    with pytest.raises(Exception, match="without a token"):
+        bpe.decode(docs.selectExpr("array(1, 999999) ids"), path).collect()
+
+
+def test_memory_of_merges_is_bounded():
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = bpe.Merged(ranks, limit=3000)
+    for k in range(200):
+        piece = f" word{k}".encode()
+        assert np.frombuffer(found[piece], np.int32).tolist() == list(bpe.merge(piece, ranks)) and found.held <= 3000
 
 
 def test_long_pieces_merge_like_short_ones():
