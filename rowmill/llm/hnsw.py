@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowmill.llm.components import components
 from rowmill.llm.staging import stage
+from rowmill.session import shuffle_partitions
 
-#: Floats of a shard's vectors (a shard of 64 components holds 32768 vectors) and vectors of a block of queries.
-SHARD_FLOATS, QUERY_ROWS = 1 << 21, 2048
+#: Floats of a shard's vectors (a shard of 64 components holds 32768 vectors); vectors of a block of queries: a 64th of
+#: those of a label within these bounds, so that the bytes of blocks and shards that meet stay in proportion.
+SHARD_FLOATS, LEAST_QUERIES, MOST_QUERIES = 1 << 21, 2048, 32768
 #: Neighbours of a node on the upper levels (twice as many on the lowest), beam of the construction, first beam of a query.
 NEIGHBOURS, BUILD_BEAM, BEAM = 16, 64, 64
-#: Nodes of a shard whose links are also found by comparing all, and the share of them that the graph must find.
-AUDIT_ROWS, AUDIT_RECALL = 64, 1.0
-#: Floats gathered in one step of a search.
-STEP_FLOATS = 1 << 21
+#: One node of so many (64 at least) is audited: its links to others are also found by comparing all, and the graph must find this share.
+AUDIT_EVERY, AUDIT_ROWS, AUDIT_RECALL = 64, 64, 1.0
+#: Floats gathered in one step of a search, and similarities held at a time where all are compared.
+STEP_FLOATS, PRODUCT_FLOATS = 1 << 21, 1 << 23
+
+#: Partitions for each shard to build, or pair of shard and block to search (so that few meet in one), and the most that count.
+SPREAD, MOST_TASKS = 2, 20_000
 
 
 class Graph:
@@ -158,28 +163,41 @@ class Graph:
             start = ids[:, 0]
         return self.search_level(queries, start, beam, 0)
 
-    def within(self, queries: np.ndarray, least: float, beam: int):
-        """Pairs (query, node) of similarity ``least`` or more; a query whose beam holds nothing else gets a wider one."""
-        n = len(self.vectors)
-        todo, found = np.arange(len(queries)), []
-        while len(todo):
-            beam = min(beam, n)
-            ids, sims = self.search(queries[todo], beam)
-            full = (sims[:, -1] >= least) & (beam < n)
-            i, j = np.nonzero((sims >= least) & ~full[:, None])
-            found.append((todo[i], ids[i, j]))
-            todo, beam = todo[full], beam * 4
+    def within(self, queries: np.ndarray, least: float, beam: int, own: np.ndarray | None = None):
+        """Pairs (query, node) of similarity ``least`` or more.
+
+        A query whose beam holds nothing else may have more links than the beam, and one that does not find its own node
+        (``own``, -1: it has none here) stands where no neighbour list leads; both are compared with all nodes instead.
+        """
+        ids, sims = self.search(queries, min(beam, len(self.vectors)))
+        near = sims >= least
+        whole = near.all(1)
+        if own is not None:
+            whole |= (own >= 0) & ~(ids == own[:, None]).any(1)
+        i, j = np.nonzero(near & ~whole[:, None])
+        some = np.flatnonzero(whole)
+        k, node = self.all_within(queries[some], least)
+        return np.concatenate([i, some[k]]), np.concatenate([ids[i, j], node])
+
+    def all_within(self, queries: np.ndarray, least: float):
+        """The same pairs by products of blocks of queries with all vectors."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, PRODUCT_FLOATS // max(1, len(self.vectors)))
+        for low in range(0, len(queries), step):
+            i, j = np.nonzero(queries[low:low + step] @ self.vectors.T >= least)
+            found.append((i + low, j))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def audited_beam(self, least: float) -> int:
-        """The first beam, doubled until the links of the audited nodes are found; at the size of the shard all are."""
+        """The first beam, doubled until the audited nodes find their links to others; at the size of the shard all are compared."""
         n = len(self.vectors)
-        some = np.unique(np.linspace(0, n - 1, min(n, AUDIT_ROWS)).astype(np.int64))
-        truth = (self.vectors[some] @ self.vectors.T >= least).sum()
+        some = np.unique(np.linspace(0, n - 1, min(n, max(AUDIT_ROWS, n // AUDIT_EVERY))).astype(np.int64))
+        i, j = self.all_within(self.vectors[some], least)
+        truth = int((some[i] != j).sum())
         beam = BEAM
         while beam < n:
-            _, nodes = self.within(self.vectors[some], least, beam)
-            if len(nodes) >= AUDIT_RECALL * truth:
+            q, nodes = self.within(self.vectors[some], least, beam, some)
+            if (some[q] != nodes).sum() >= AUDIT_RECALL * truth:
                 break
             beam *= 2
         return beam
@@ -216,6 +234,22 @@ def _build(least: float):
     return run
 
 
+def _merge(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots of a forest (each node's smallest known relative) after joining the trees of the pairs (a, b)."""
+    while len(a):
+        a, b = up[a], up[b]
+        apart = a != b
+        low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(up, high, low)
+        while True:
+            above = up[up]
+            if (above == up).all():
+                break
+            up = above
+        a, b = low, high
+    return up
+
+
 def _search(least: float):
     def run(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"rep": pd.Series([], dtype="Int64"), "n": pd.Series([], dtype="Int64"),
@@ -228,31 +262,25 @@ def _search(least: float):
         graph = Graph.unpack(shard["graph"], _unit(rows))
         reps = queries["rep"].to_numpy()
         own = np.array(queries["vector"].tolist(), np.float64)
-        q, node = graph.within(_unit(own), least - 1e-5, int(shard["beam"]))
-        counts, up = np.zeros(len(reps), np.int64), {}
-
-        def root(x):
-            while up.get(x, x) != x:
-                up[x] = up.get(up[x], up[x])
-                x = up[x]
-            return x
-
+        place = np.minimum(np.searchsorted(ids, reps), len(ids) - 1)
+        q, node = graph.within(_unit(own), least - 1e-5, int(shard["beam"]), np.where(ids[place] == reps, place, -1))
+        names = np.union1d(reps, ids)
+        of_query, of_node, up = np.searchsorted(names, reps), np.searchsorted(names, ids), np.arange(len(names))
+        own_norm, norm = (np.sqrt((x * x).sum(1)) for x in (own, rows))
+        counts = np.zeros(len(reps), np.int64)
         for low in range(0, len(q), 1 << 14):  # the cosine in double precision decides
             i, j = q[low:low + (1 << 14)], node[low:low + (1 << 14)]
-            x, y = own[i], rows[j]
-            cosine = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+            cosine = np.einsum("ij,ij->i", own[i], rows[j]) / (own_norm[i] * norm[j])
             ok = (cosine >= least) & (reps[i] != ids[j])
-            np.add.at(counts, i[ok], copies[j[ok]])
-            for a, b in zip(reps[i[ok]].tolist(), ids[j[ok]].tolist()):
-                a, b = root(a), root(b)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-        nodes = list(up)
+            i, j = i[ok], j[ok]
+            np.add.at(counts, i, copies[j])
+            up = _merge(up, of_query[i], of_node[j])
+        nodes = np.flatnonzero(up != np.arange(len(up)))
         some = len(reps)
         return pd.DataFrame({"rep": pd.array([*reps.tolist(), *[None] * len(nodes)], "Int64"),
                              "n": pd.array([*counts.tolist(), *[None] * len(nodes)], "Int64"),
-                             "a": pd.array([*[None] * some, *nodes], "Int64"),
-                             "b": pd.array([*[None] * some, *[root(x) for x in nodes]], "Int64")})
+                             "a": pd.array([*[None] * some, *names[nodes].tolist()], "Int64"),
+                             "b": pd.array([*[None] * some, *names[up[nodes]].tolist()], "Int64")})
 
     return run
 
@@ -261,45 +289,56 @@ def near_vectors(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec
                  label_col: str = "label") -> DataFrame:
     """Columns id, n_links, component_id, kept of every row: links are cosines of ``least`` or more within a label.
 
-    Equal vectors of a label are one node with a number of copies. Nodes of a label (and number of components) are
-    dealt to shards by a hash, each shard gets a graph, and every node queries every shard of its label in blocks.
-    Beams are widened per shard until an audit against all vectors of the shard finds every link, and per query
-    until the beam holds something that is no link, so the number of links has no cap. Cosines are verified in
-    double precision. A task returns counts and a spanning forest of its links, never the pairs of a group.
+    Equal vectors of a label are one node with a number of copies; nodes are numbered in the order of their smallest id.
+    Nodes of a label (and number of components) are dealt to shards by a hash, each shard gets a graph, and every node
+    queries every shard of its label in blocks. Beams are widened per shard until an audit of a share of its nodes against all
+    vectors of the shard finds every link. A query whose beam is full of links, or that does not find itself, is compared with
+    the whole shard by a matrix product, so the number of links has no cap. Cosines are verified in double
+    precision. A task returns counts and a spanning forest of its links, never the pairs of a group.
 
     A null label or id, and a vector that is null, empty, zero or holds a null, NaN or infinity, links with nothing
-    (a null id has a null component and is kept). Rows that repeat an id are vectors of their own. Empty tables give
-    empty results.
+    (a null id has a null component and is kept). Very large and very small components are scaled by a power of two first. Rows
+    that repeat an id are vectors of their own, also in other labels: each has its own links and component, and component_id is
+    the smallest id of the vectors in it. Empty tables give empty results. Other columns have no effect.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"),
                      F.col(label_col).cast("string").alias("label"))
     fine = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    rows = rows.withColumn("ok", F.when(fine & F.col("id").isNotNull() & F.col("label").isNotNull(),
-                                        (norm > 0) & (norm < float("inf"))).otherwise(False))
+    rows = rows.withColumn("most", F.when(fine, F.array_max(F.transform("vector", F.abs))))
+    rows = rows.withColumn("ok", F.coalesce((F.col("most") > 0) & F.col("id").isNotNull() & F.col("label").isNotNull(), F.lit(False)))
+    scale = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("most")), F.lit(-1022)))
+    rows = rows.withColumn("vector", F.when(F.col("ok") & ~F.col("most").between(1e-100, 1e100), F.transform(
+        "vector", lambda x: x / scale)).otherwise(F.col("vector"))).drop("most")
     rows = rows.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
-    nodes = stage(rows.where("ok").groupBy("label", "h1", "h2").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "nodes")
-    nodes = nodes.withColumn("size", F.size("vector"))
+    nodes = rows.where("ok").groupBy("label", "h1", "h2").agg(
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    order = ["least", "label", "h1", "h2"]
+    nodes = stage(nodes.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order).select(
+        F.monotonically_increasing_id().alias("rep"), "*", F.size("vector").alias("size")), "nodes")
     sizes = nodes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("nodes"))
-    sizes = sizes.select("label", "size", F.ceil(F.col("nodes") * F.col("size") / SHARD_FLOATS).cast("int").alias("shards"),
-                         F.ceil(F.col("nodes") / QUERY_ROWS).cast("int").alias("blocks"))
+    block_rows = F.greatest(F.lit(LEAST_QUERIES), F.least(F.lit(MOST_QUERIES), F.ceil(F.col("nodes") / 64)))
+    sizes = stage(sizes.select("label", "size", F.ceil(F.col("nodes") * F.col("size") / SHARD_FLOATS).cast("int").alias("shards"),
+                               F.ceil(F.col("nodes") / block_rows).cast("int").alias("blocks")), "sizes")
+    work = sizes.agg(F.sum("shards"), F.sum(F.col("shards") * F.col("blocks"))).first()
+    graphs_n, pairs_n = (min(max(1, n or 0), MOST_TASKS) for n in work)
     dealt = nodes.join(sizes, ["label", "size"]).withColumns({
         "shard": F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"),
         "block": F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")})
-    graphs = stage(dealt.select("label", "size", "shard", "blocks", "rep", "copies", "vector").groupBy(
-        "label", "size", "shard").applyInPandas(
+    graphs = stage(dealt.select("label", "size", "shard", "blocks", "rep", "copies", "vector").repartition(
+        graphs_n * SPREAD, "label", "size", "shard").groupBy("label", "size", "shard").applyInPandas(
         _build(least), "label string, size int, shard int, blocks int, beam int, ids array<long>, copies array<long>, "
                        "vectors binary, graph binary"), "graphs")
     key = ["label", "size", "shard", "block"]
     asked = dealt.select("label", "size", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", "rep", "vector")
     offered = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = stage(asked.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(
+    found = stage(asked.repartition(pairs_n * SPREAD, *key).groupBy(*key).cogroup(offered.repartition(pairs_n * SPREAD, *key).groupBy(*key)).applyInPandas(
         _search(least), "rep long, n long, a long, b long"), "found")
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     joined = components(found.where("a is not null")).withColumnRenamed("node", "rep")
-    named = nodes.select("label", "h1", "h2", "rep", "copies").join(counts, "rep").join(joined, "rep", "left").select(
-        "label", "h1", "h2", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    smallest = nodes.select(F.col("rep").alias("component"), F.col("least").alias("c_least"))
+    joined = stage(joined, "components").join(smallest, "component").select("rep", "c_least")
+    named = nodes.select("label", "h1", "h2", "rep", "copies", "least").join(counts, "rep").join(joined, "rep", "left").select(
+        "label", "h1", "h2", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("c_least", "least").alias("component"))
     known = rows.where("ok").select("id", "label", "h1", "h2").join(named, ["label", "h1", "h2"])
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = known.select("id", "n_links", F.col("component").alias("component_id")).union(alone)

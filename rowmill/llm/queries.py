@@ -178,10 +178,13 @@ def op6(spark, sf_dir):
 
 
 @query("op4_embedding_near_dedup", """
-WITH RECURSIVE fine AS (
-    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+WITH RECURSIVE finite AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) AS most FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+fine AS (
+    SELECT vec_id, label, CASE WHEN most BETWEEN 1e-100 AND 1e100 THEN v
+        ELSE list_transform(v, lambda x: x / power(2::DOUBLE, greatest(floor(log2(most)), -1022))) END AS v FROM finite),
 links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
     WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
