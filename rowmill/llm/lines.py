@@ -46,8 +46,8 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that are frequent in a sample are counted by pre-aggregation instead, because all rows of a hash share a
     partition; their verdicts, a bounded number, are broadcast. The rows of both ways together are all lines.
 
-    Rows that repeat a document (id and text) count as one document; rows with one id and different texts are
-    different documents, which both keep their lines if theirs is the largest id. A null id is smaller than others.
+    Documents are counted by id: rows that repeat one, with the same text or others, count once, and all keep their
+    lines if theirs is the largest id. A null id is smaller than others.
     """
     lines = stage(line_hashes(df, id_col, text_col, min_chars), "lines")
     sampled = lines.where(F.pmod(F.xxhash64("id", "of"), F.lit(SAMPLE)) == 0).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
@@ -57,12 +57,11 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = few.repartitionByRange(shuffle_partitions(df.sparkSession), "h1", "h2").sortWithinPartitions(
         "h1", "h2", F.desc("id"), "of", "pos")
     key = Window.partitionBy("h1", "h2")
-    few = few.withColumns({"rank": F.dense_rank().over(key.orderBy(F.desc("id"), "of")),
-                           "keeper": F.first("id").over(key.orderBy(F.desc("id"), "of"))})
+    few = few.withColumns({"rank": F.dense_rank().over(key.orderBy(F.desc("id"))), "keeper": F.first("id").over(key.orderBy(F.desc("id")))})
     few = few.withColumn("docs", F.max("rank").over(key))
 
     many = lines.join(frequent, "h1", "left_semi")
-    verdicts = many.groupBy("h1", "h2", "id", "of").agg(F.count(F.lit(1))).groupBy("h1", "h2").agg(
+    verdicts = many.groupBy("h1", "h2", "id").agg(F.count(F.lit(1))).groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper"))
     many = many.join(F.broadcast(verdicts), ["h1", "h2"])
 
@@ -86,14 +85,14 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     A line's key is the line without blanks at both ends and with A-Z in lower case. Keys of at least ``min_chars``
     code points found in at least ``min_docs`` documents lose their lines except in the largest id holding them.
-    A null or empty text is one empty line, which stays; a document that loses all its lines gets the empty text.
+    Rows that repeat an id or a text are treated as ``keep_bitmaps`` tells. A null or empty text is one empty line, which stays; a document that loses all its lines gets the empty text.
     Added columns replace columns of the same name; all others pass unchanged.
     """
     bitmaps = keep_bitmaps(df, id_col, text_col, min_chars, min_docs)
-    of, gone = free_name(df, "_of"), free_name(df, "_dropped")
-    bitmaps = bitmaps.select(F.col("id").alias("_llm_id"), F.col("of").alias("_llm_of"), F.col("dropped").alias(gone))
+    of, gone, its_id, its_of = (free_name(df, n) for n in ("_of", "_dropped", "_line_id", "_line_of"))
+    bitmaps = bitmaps.select(F.col("id").alias(its_id), F.col("of").alias(its_of), F.col("dropped").alias(gone))
     joined = df.withColumn(of, F.xxhash64(text_col)).join(
-        bitmaps, F.col(id_col).eqNullSafe(F.col("_llm_id")) & (F.col(of) == F.col("_llm_of")), "left")
+        bitmaps, F.col(id_col).eqNullSafe(F.col(its_id)) & (F.col(of) == F.col(its_of)), "left")
     none = F.col(gone).isNull()
     lines = _lines(F.col(text_col))
     n_lines = F.size(lines)

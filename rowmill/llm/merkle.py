@@ -8,30 +8,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowmill.session import shuffle_partitions
 
-#: Marks below a paragraph: runs of 24 to 256 characters up to the end of a sentence, or 256 characters.
-MARK = r"(?s).{24,256}?[.!?]+|.{1,256}"
+#: Leaves below a paragraph, cut by content: up to the first sentence sign or end of a word with 8 to 64 characters before it; or
+#: what is left, or 64 characters without one.
+LEAF = r"(?s).{4,64}?(?:[.!?\u3002\uFF01\uFF1F\u0964\u061F\u3001\uFF0C\u2026]+|[ns][\x20\x09])[\x20\x09]*|.{1,64}".encode().decode("unicode_escape")
 #: Buckets per shuffle partition when documents are put next to their successors.
 BUCKETS = 4
 
 
 def tree(text: Column) -> Column:
-    """struct root, sections[digest, paragraphs[digest, marks]] of a text (null: the empty text).
+    """struct root, sections[digest, paragraphs[digest, leaves]] of a text (null: the empty text).
 
-    Sections are what empty lines divide, paragraphs are lines; a paragraph's digest is the SHA-256 of its text, a
-    section's that of its paragraphs' digests, the root's that of the sections' digests. Dividing can be undone, so
-    roots are equal exactly if the texts are (but for collisions of SHA-256). Marks are short hashes of a paragraph's
-    pieces, which tell how much of it another text shares.
+    Sections are what empty lines divide, paragraphs are lines, leaves are short runs of a paragraph that its content
+    cuts, so an insertion changes the leaves around it only. A leaf's digest is the MD5 of its text, a paragraph's the SHA-256 of its
+    leaves' digests, a section's that of its paragraphs', the root's that of the sections'. Dividing can be undone, so
+    roots are equal exactly if the texts are (but for collisions). ``leaves`` keeps half of each leaf's digest, with
+    its length behind.
     """
-    def paragraph(p):
-        return F.struct(F.sha2(p, 256).alias("digest"),
-                        F.transform(F.regexp_extract_all(p, F.lit(MARK), F.lit(0)), lambda x: F.substring(F.md5(x), 1, 16)).alias("marks"))
+    def paragraph(leaves):
+        return F.struct(F.sha2(F.array_join(F.transform(leaves, lambda x: F.substring(x, 1, 32)), ""), 256).alias("digest"),
+                        F.transform(leaves, lambda x: F.concat(F.substring(x, 1, 16), F.substring(x, 33, 9))).alias("leaves"))
 
     def section(paragraphs):
         return F.struct(_digest(paragraphs).alias("digest"), paragraphs.alias("paragraphs"))
 
+    def leaves(p):
+        return F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.concat(F.md5(x), F.length(x).cast("string")))
+
     cut = F.split(F.coalesce(text, F.lit("")), "\n\n", -1)
-    leaves = F.transform(cut, lambda s: F.transform(F.split(s, "\n", -1), paragraph))
-    return F.transform(leaves, section)
+    return F.transform(F.transform(cut, lambda s: F.transform(F.transform(F.split(s, "\n", -1), leaves), paragraph)), section)
 
 
 def _digest(nodes: Column) -> Column:
@@ -44,13 +48,18 @@ def root(sections: Column) -> Column:
 
 
 def marks(sections: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.flatten(F.transform(s["paragraphs"], lambda p: p["marks"])))))
+    """The distinct leaves of a tree."""
+    return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.flatten(F.transform(s["paragraphs"], lambda p: p["leaves"])))))
+
+
+def _weight(leaves: Column) -> Column:
+    return F.aggregate(leaves, F.lit(0).cast("long"), lambda n, x: n + F.substring(x, 17, 9).cast("long"))
 
 
 def likeness(root_a: Column, marks_a: Column, root_b: Column, marks_b: Column) -> Column:
-    """1 for equal roots, else the share of distinct marks in common (Dice); 0 if one text is empty."""
-    shared = 2.0 * F.size(F.array_intersect(marks_a, marks_b)) / (F.size(marks_a) + F.size(marks_b))
-    return F.when(root_a == root_b, F.lit(1.0)).otherwise(shared)
+    """1 for equal roots, else the share of the trees' distinct leaves that both have, weighted by length (Dice); 0 if neither has any."""
+    shared = F.try_divide(2.0 * _weight(F.array_intersect(marks_a, marks_b)), _weight(marks_a) + _weight(marks_b))
+    return F.when(root_a == root_b, F.lit(1.0)).otherwise(F.coalesce(shared, F.lit(0.0)))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -72,7 +81,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Documents go into buckets of consecutive ids, whose bounds are quantiles of the ids (so many per shuffle
     partition, like the bounds of a range partitioning); the first document of a bucket is also put at the end of
-    the bucket before it. So each text is shuffled once and no task holds more than its buckets. Rows with one id
+    the bucket before it. So each text is shuffled once and no task holds more than its buckets. Rows with one id, also equal ones,
     come in the order of a hash of their texts; a null id comes first; a null text is empty; an only document follows
     itself.
     """

@@ -84,7 +84,7 @@ def mix_sources(df: DataFrame, entropy: float | None = None, max_repeats: float
     is read in passes until its part of the budget is used: documents fall into blocks by a hash, about as many
     blocks as each has documents; in every pass a source's blocks come in another permutation and the documents of
     a block in the order of a hash. A document is taken while the tokens before it are fewer than the source's
-    part. ``position`` (0 to 1) is that number over the part, so ordering by it interleaves the sources, and each
+    part (a whole number), and in the first pass over a source whose part covers its tokens always, also without words. ``position`` (0 to 1) is that number over the part, so ordering by it interleaves the sources, and each
     beginning of the order has the target weights.
 
     Sums of tokens per source come to the driver (one row per source); per block they are summed by Spark. A null
@@ -94,34 +94,33 @@ def mix_sources(df: DataFrame, entropy: float | None = None, max_repeats: float
     """
     added = {"n_tokens", "weight", "pass", "position"}
     kept = [c for c in df.columns if c.lower() not in added]
-    names = {k: free_name(df, f"_{k}") for k in ("n", "src", "block", "order", "inner")}
-    docs = df.withColumn(names["n"], count_tokens(F.col(text_col)))
+    name = {k: free_name(df, f"_{k}") for k in ("n", "src", "block", "order", "inner", "of", "in", "held", "part", "share", "turn", "begin", "load")}
+    docs = df.withColumn(name["n"], count_tokens(F.col(text_col)))
     # a key without nulls: a null source gets a name that no other source has
-    docs = docs.withColumn(names["src"], F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")))
-    sums = docs.groupBy(names["src"]).agg(F.sum(names["n"]).alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
+    docs = docs.withColumn(name["src"], F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")))
+    sums = docs.groupBy(name["src"]).agg(F.sum(name["n"]).alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
     tokens = {r[0]: r["tokens"] for r in sums}
     total = sum(tokens.values())
     plan = mixture(tokens, None if budget_share is None else budget_share * total, entropy, max_repeats) if total else Mixture(1.0, 0.0, {}, {})
     blocks = max(1, math.isqrt(sum(r["docs"] for r in sums)))
-    parts = [(s, float(n), plan.weights.get(s, 0.0), plan.budget * plan.weights.get(s, 0.0)) for s, n in tokens.items()]
-    parts = df.sparkSession.createDataFrame(parts, "src string, held double, weight double, part double")
+    parts = [(s, n, plan.weights.get(s, 0.0), round(plan.budget * plan.weights.get(s, 0.0))) for s, n in tokens.items()]
+    parts = df.sparkSession.createDataFrame(parts, f"{name['of']} string, {name['held']} long, {name['share']} double, {name['part']} long")
+    col = {k: F.col(v) for k, v in name.items()}
+    whole = (col["turn"] == 0) & (col["part"] >= col["held"])  # the first pass over a source whose part covers it takes everything
 
     row = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    docs = docs.withColumns({names["block"]: F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int"), names["order"]: row})
-    loads = docs.groupBy(F.col(names["src"]).alias("src"), F.col(names["block"]).alias("block")).agg(F.sum(names["n"]).alias("load"))
-    passes = F.greatest(F.ceil(F.col("part") / F.col("held")) - 1, F.lit(0)).cast("int")
-    loads = loads.join(F.broadcast(parts), "src").withColumn(  # one row per source
-        "pass", F.explode(F.sequence(F.lit(0), F.when(F.col("held") > 0, passes).otherwise(0))))
-    turn = Window.partitionBy("src", "pass").orderBy(F.xxhash64(F.lit(seed), "src", "block", "pass"), "block")
-    before = F.sum("load").over(turn.rowsBetween(Window.unboundedPreceding, -1))
-    loads = loads.withColumn("begin", F.coalesce(before, F.lit(0)) + F.col("pass") * F.col("held")).drop("load")
-    loads = loads.where("begin < part or held = 0").withColumnRenamed("pass", "turn").withColumnRenamed("weight", "share")
-
-    inside = Window.partitionBy(names["src"], names["block"]).orderBy(names["order"], id_col)
-    docs = docs.withColumn(names["inner"], F.coalesce(F.sum(names["n"]).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.col("begin") + F.col(names["inner"])
-    out = docs.join(loads, (docs[names["src"]] == loads["src"]) & (docs[names["block"]] == loads["block"]))
-    out = out.where((place < F.col("part")) | (F.col("held") == 0))
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col(names["n"]).alias("n_tokens"), F.col("share").alias("weight"),
-                      F.col("turn").alias("pass"),
-                      F.when(F.col("held") == 0, F.lit(0.0)).otherwise(place / F.col("part")).alias("position")), plan
+    docs = docs.withColumns({name["block"]: F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int"), name["order"]: row})
+    loads = docs.groupBy(col["src"].alias(name["of"]), col["block"].alias(name["in"])).agg(F.sum(name["n"]).alias(name["load"]))
+    passes = F.greatest(F.ceil(col["part"] / F.greatest(col["held"], F.lit(1))) - 1, F.lit(0)).cast("int")
+    loads = loads.join(F.broadcast(parts), name["of"]).withColumn(name["turn"], F.explode(F.sequence(F.lit(0), passes)))  # one row per source
+    turn = Window.partitionBy(name["of"], name["turn"]).orderBy(F.xxhash64(F.lit(seed), name["of"], name["in"], name["turn"]), name["in"])
+    before = F.sum(name["load"]).over(turn.rowsBetween(Window.unboundedPreceding, -1))
+    loads = loads.withColumn(name["begin"], F.coalesce(before, F.lit(0)) + col["turn"] * col["held"]).drop(name["load"])
+    loads = loads.where((col["begin"] < col["part"]) | whole)
+
+    inside = Window.partitionBy(name["src"], name["block"]).orderBy(name["order"], id_col)
+    docs = docs.withColumn(name["inner"], F.coalesce(F.sum(name["n"]).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = col["begin"] + col["inner"]
+    out = docs.join(loads, (col["src"] == col["of"]) & (col["block"] == col["in"])).where((place < col["part"]) | whole)
+    return out.select(*[F.col(f"`{c}`") for c in kept], col["n"].alias("n_tokens"), col["share"].alias("weight"), col["turn"].alias("pass"),
+                      F.when(col["part"] == 0, F.lit(0.0)).otherwise(place / col["part"]).alias("position")), plan

@@ -97,15 +97,15 @@ cut AS (
            list_transform(string_split(n, chr(10) || chr(10)), lambda s: string_split(s, chr(10))) AS c FROM edited),
 hashed AS (
     SELECT doc_id, t, e, a, b,
-           sha256(array_to_string(list_transform(a, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(p)), ''))), '')) AS ra,
-           sha256(array_to_string(list_transform(b, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(p)), ''))), '')) AS rb,
-           sha256(array_to_string(list_transform(c, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(p)), ''))), '')) AS rc,
-           list_distinct(flatten(list_transform(flatten(a), lambda p: regexp_extract_all(p, '(?s).{24,256}?[.!?]+|.{1,256}')))) AS ma,
-           list_distinct(flatten(list_transform(flatten(b), lambda p: regexp_extract_all(p, '(?s).{24,256}?[.!?]+|.{1,256}')))) AS mb,
-           list_distinct(flatten(list_transform(flatten(c), lambda p: regexp_extract_all(p, '(?s).{24,256}?[.!?]+|.{1,256}')))) AS mc FROM cut)
+           sha256(array_to_string(list_transform(a, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(list_transform(regexp_extract_all(p, '(?s).{8,64}?(?:[.!?。！？।؟、，…]+|[\x20\x09])[\x20\x09]*|.{1,64}'), lambda x: md5(x)), ''))), ''))), '')) AS ra,
+           sha256(array_to_string(list_transform(b, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(list_transform(regexp_extract_all(p, '(?s).{8,64}?(?:[.!?。！？।؟、，…]+|[\x20\x09])[\x20\x09]*|.{1,64}'), lambda x: md5(x)), ''))), ''))), '')) AS rb,
+           sha256(array_to_string(list_transform(c, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(list_transform(regexp_extract_all(p, '(?s).{8,64}?(?:[.!?。！？।؟、，…]+|[\x20\x09])[\x20\x09]*|.{1,64}'), lambda x: md5(x)), ''))), ''))), '')) AS rc,
+           list_distinct(flatten(list_transform(flatten(a), lambda p: regexp_extract_all(p, '(?s).{8,64}?(?:[.!?。！？।؟、，…]+|[\x20\x09])[\x20\x09]*|.{1,64}')))) AS ma,
+           list_distinct(flatten(list_transform(flatten(b), lambda p: regexp_extract_all(p, '(?s).{8,64}?(?:[.!?。！？।؟、，…]+|[\x20\x09])[\x20\x09]*|.{1,64}')))) AS mb,
+           list_distinct(flatten(list_transform(flatten(c), lambda p: regexp_extract_all(p, '(?s).{8,64}?(?:[.!?。！？।؟、，…]+|[\x20\x09])[\x20\x09]*|.{1,64}')))) AS mc FROM cut)
 SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(e) AS edited_sha256, ra AS fingerprint, rb AS edited_fingerprint,
-       CASE WHEN ra = rb THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(ma, mb)) / (len(ma) + len(mb)) END AS near_edited,
-       CASE WHEN ra = rc THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(ma, mc)) / (len(ma) + len(mc)) END AS near_next,
+       CASE WHEN ra = rb THEN 1.0::DOUBLE ELSE coalesce(2.0::DOUBLE * coalesce(list_sum(list_transform(list_intersect(ma, mb), lambda x: length(x))), 0) / nullif(coalesce(list_sum(list_transform(ma, lambda x: length(x))), 0) + coalesce(list_sum(list_transform(mb, lambda x: length(x))), 0), 0), 0.0::DOUBLE) END AS near_edited,
+       CASE WHEN ra = rc THEN 1.0::DOUBLE ELSE coalesce(2.0::DOUBLE * coalesce(list_sum(list_transform(list_intersect(ma, mc), lambda x: length(x))), 0) / nullif(coalesce(list_sum(list_transform(ma, lambda x: length(x))), 0) + coalesce(list_sum(list_transform(mc, lambda x: length(x))), 0), 0), 0.0::DOUBLE) END AS near_next,
        CAST(list_sum(list_transform(range(greatest(len(a), len(b))), lambda i: len(list_filter(
            range(greatest(coalesce(len(a[i + 1]), 1), coalesce(len(b[i + 1]), 1))), lambda j: a[i + 1][j + 1] IS DISTINCT FROM b[i + 1][j + 1])))) AS BIGINT) AS n_differing
 FROM hashed""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from array import array
@@ -46,6 +47,15 @@ def _class_bytes(content: str) -> bytes:
     return zlib.compress(codepoint_classes(probe).tobytes())
 
 
+def _by_pieces(content: str) -> bool:
+    """Whether the library's ids of a text are those of its pre-tokens: byte-level pieces by the usual pattern, merged as they are."""
+    told = json.loads(content)
+    split, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    return (not told.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True)
+            and split.get("use_regex", True) and model.get("type") == "BPE" and not model.get("dropout")
+            and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")))
+
+
 def _byte_letters() -> np.ndarray:
     """The letter by which byte-level vocabularies write each byte: visible Latin-1 characters stand for themselves."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -87,10 +97,14 @@ def _worker_ids(content: str) -> LibraryIds:
 
 
 def encode_slice(values, offsets, classes, found: LibraryIds) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of many texts, one after the other, and the number of ids of each. Texts in which an added token of the
+    """Ids of many texts, one after the other, and the number of ids of each (without classes: the library's of
+    whole texts). Texts in which an added token of the
     tokenizer's file is written out (``<|endoftext|>``) go to the library whole, which gives that token's own id."""
-    cut, first = bounds(values, offsets, classes)
     data = values.tobytes()
+    if classes is None:
+        parts = [found.whole(data[a:b]) for a, b in pairwise(offsets.tolist())]
+        return np.concatenate([np.zeros(0, "<i4"), *parts]), np.array([len(p) for p in parts], np.int64)
+    cut, first = bounds(values, offsets, classes)
     once, number = distinct(values, cut)
     pieces = [data[a:b] for a, b in zip(cut[once].tolist(), cut[once + 1].tolist())]
     found.learn(pieces)
@@ -111,19 +125,21 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "d
     """Write the ids of every text, with ``end_id`` after each, as ORC files in ascending order of the ids of documents.
 
     Texts are range-partitioned and sorted by id (equal ids by a hash of the text, null ids first) and encoded while
-    their file is written. Columns: doc_id, before (ids of the file's earlier documents), n_tokens, ids. Integers are
+    their file is written. Columns: doc_id, before (ids of the task's earlier documents), n_tokens, ids. Integers are
     run-length coded by ORC; each file has an index entry per 1000 rows and Bloom filters on doc_id, so that readers
     skip files, stripes and row groups by their metadata, and stripes are read in parallel.
-    A null text is empty: its only id is ``end_id``. The tokenizer's file is read on the driver and broadcast.
+    A null text is empty: its only id is ``end_id``. Rows that repeat an id or a text are documents of their own. The tokenizer's file is
+    read on the driver and broadcast. Pre-tokens are looked up one by one only for plain byte-level merges; of a file
+    with a normalizer, another splitter, a space put in front, or dropout, the library gets the texts whole.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         content = file.read()
-    shared = broadcast_bytes(df.sparkSession, (content, _class_bytes(content)))
+    shared = broadcast_bytes(df.sparkSession, (content, _class_bytes(content) if _by_pieces(content) else None))
     schema = T._parse_datatype_string("doc_id long, before long, n_tokens long, ids array<int>")
 
     def run(batches):
         content, packed = shared.value
-        classes = np.frombuffer(zlib.decompress(packed), np.uint8)
+        classes = None if packed is None else np.frombuffer(zlib.decompress(packed), np.uint8)
         found, before = _worker_ids(content), 0
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -146,20 +162,21 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "d
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids; with ``doc_ids`` only these documents' stripes.
 
-    Files are in the order of their names. The ids before each file are the sums of the earlier files, one number
-    per file, which the driver adds up.
+    Tasks are in the order of their numbers, which their files' names hold; a task may have written several files. The ids before each
+    task are the sums of the earlier ones, one number per task, which the driver adds up.
     """
     schema = "doc_id long, before long, n_tokens long, ids array<int>"
-    files = spark.read.schema(schema).orc(path).withColumn("file", F.col("_metadata.file_name"))
-    sizes = files.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()
+    task = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    files = spark.read.schema(schema).orc(path).withColumn("task", task)
+    sizes = files.groupBy("task").agg(F.sum("n_tokens").alias("n")).collect()
     starts, seen = [], 0
-    for row in sorted(sizes, key=lambda r: r["file"]):
-        starts.append((row["file"], seen))
+    for row in sorted(sizes):
+        starts.append((row["task"], seen))
         seen += row["n"]
     if doc_ids is not None:
         files = files.where(F.col("doc_id").isin(doc_ids))
-    known = F.broadcast(spark.createDataFrame(starts, "file string, file_start long"))  # one row per file
-    return files.join(known, "file").select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    known = F.broadcast(spark.createDataFrame(starts, "task long, task_start long"))  # one row per task that wrote
+    return files.join(known, "task").select("doc_id", (F.col("task_start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def checksum(df: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> DataFrame:
