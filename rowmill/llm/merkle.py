@@ -10,7 +10,7 @@ from rowmill.session import shuffle_partitions
 
 #: Leaves below a paragraph, cut by content: up to the first sentence sign or end of a word with 8 to 64 characters before it; or
 #: what is left, or 64 characters without one.
-LEAF = r"(?s).{4,64}?(?:[.!?\u3002\uFF01\uFF1F\u0964\u061F\u3001\uFF0C\u2026]+|[ns][\x20\x09])[\x20\x09]*|.{1,64}".encode().decode("unicode_escape")
+LEAF = r"(?s).{8,64}?(?:[.!?。！？।؟、，…]+|[\x20\x09])[\x20\x09]*|.{1,64}"
 #: Buckets per shuffle partition when documents are put next to their successors.
 BUCKETS = 4
 
