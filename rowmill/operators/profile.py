@@ -184,21 +184,34 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 # ---- target types ---------------------------------------------------------------------------------
 
-# Type names of five targets, in the order of _LOGICAL.
-_LOGICAL = ("null", "boolean", "integer", "float", "string", "array", "object", "datetime", "date", "time",
-            "uuid", "email", "url", "phone", "ipv4", "json")
+# The type names of five targets by the profiler's types.
 TARGET_TYPES = {
-    "sqlite": ("TEXT", "INTEGER", "INTEGER", "REAL", "TEXT", "TEXT", "TEXT", "TEXT", "TEXT", "TEXT",
-               "TEXT", "TEXT", "TEXT", "TEXT", "TEXT", "TEXT"),
-    "postgresql": ("TEXT", "BOOLEAN", "INTEGER", "DOUBLE PRECISION", "VARCHAR", "JSONB", "JSONB", "TIMESTAMP",
-                   "DATE", "TIME", "UUID", "VARCHAR(255)", "VARCHAR(500)", "VARCHAR(20)", "INET", "JSONB"),
-    "mysql": ("TEXT", "TINYINT(1)", "INT", "DOUBLE", "VARCHAR", "JSON", "JSON", "DATETIME", "DATE", "TIME",
-              "CHAR(36)", "VARCHAR(255)", "VARCHAR(500)", "VARCHAR(20)", "VARCHAR(45)", "JSON"),
-    "sqlserver": ("NVARCHAR(MAX)", "BIT", "INT", "FLOAT", "NVARCHAR", "NVARCHAR(MAX)", "NVARCHAR(MAX)", "DATETIME2",
-                  "DATE", "TIME", "UNIQUEIDENTIFIER", "NVARCHAR(255)", "NVARCHAR(500)", "NVARCHAR(20)",
-                  "NVARCHAR(45)", "NVARCHAR(MAX)"),
-    "mongodb": ("null", "bool", "int", "double", "string", "array", "object", "date", "date", "string",
-                "string", "string", "string", "string", "string", "object"),
+    "sqlite": {
+        "null": "TEXT", "boolean": "INTEGER", "integer": "INTEGER", "float": "REAL", "string": "TEXT",
+        "array": "TEXT", "object": "TEXT", "datetime": "TEXT", "date": "TEXT", "time": "TEXT", "uuid": "TEXT",
+        "email": "TEXT", "url": "TEXT", "phone": "TEXT", "ipv4": "TEXT", "json": "TEXT",
+    },
+    "postgresql": {
+        "null": "TEXT", "boolean": "BOOLEAN", "integer": "INTEGER", "float": "DOUBLE PRECISION", "string": "VARCHAR",
+        "array": "JSONB", "object": "JSONB", "datetime": "TIMESTAMP", "date": "DATE", "time": "TIME", "uuid": "UUID",
+        "email": "VARCHAR(255)", "url": "VARCHAR(500)", "phone": "VARCHAR(20)", "ipv4": "INET", "json": "JSONB",
+    },
+    "mysql": {
+        "null": "TEXT", "boolean": "TINYINT(1)", "integer": "INT", "float": "DOUBLE", "string": "VARCHAR",
+        "array": "JSON", "object": "JSON", "datetime": "DATETIME", "date": "DATE", "time": "TIME", "uuid": "CHAR(36)",
+        "email": "VARCHAR(255)", "url": "VARCHAR(500)", "phone": "VARCHAR(20)", "ipv4": "VARCHAR(45)", "json": "JSON",
+    },
+    "sqlserver": {
+        "null": "NVARCHAR(MAX)", "boolean": "BIT", "integer": "INT", "float": "FLOAT", "string": "NVARCHAR",
+        "array": "NVARCHAR(MAX)", "object": "NVARCHAR(MAX)", "datetime": "DATETIME2", "date": "DATE", "time": "TIME",
+        "uuid": "UNIQUEIDENTIFIER", "email": "NVARCHAR(255)", "url": "NVARCHAR(500)", "phone": "NVARCHAR(20)",
+        "ipv4": "NVARCHAR(45)", "json": "NVARCHAR(MAX)",
+    },
+    "mongodb": {
+        "null": "null", "boolean": "bool", "integer": "int", "float": "double", "string": "string", "array": "array",
+        "object": "object", "datetime": "date", "date": "date", "time": "string", "uuid": "string", "email": "string",
+        "url": "string", "phone": "string", "ipv4": "string", "json": "object",
+    },
 }
 
 # Integer types by target, narrowest first, with the range each holds.
@@ -224,7 +237,7 @@ def target_types(profiles: DataFrame, target: str = "sqlite") -> DataFrame:
     """name, source_type, target_type, constraints and nullable of every profiled field."""
     if target not in TARGET_TYPES:
         raise ValueError(f"unknown target {target}; one of {', '.join(TARGET_TYPES)}")
-    names = F.create_map(*[F.lit(x) for pair in zip(_LOGICAL, TARGET_TYPES[target]) for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in TARGET_TYPES[target].items() for x in pair])
     mapped = F.coalesce(F.element_at(names, F.col("type")), F.lit("TEXT"))
     length = F.coalesce(F.col("max_length"), F.lit(255))
     sized = F.when(mapped.isin("VARCHAR", "NVARCHAR") & (length > 0),

@@ -96,38 +96,6 @@ def src_xml_roundtrip(spark, sf_dir):
     return read.select(F.col("`@id`").alias("id"), "name", F.col("place.nation").alias("nation"), F.col("tag").alias("last_tag"))
 
 
-@query("src_yaml_files", "SELECT c_custkey, c_name, c_acctbal FROM customer")
-def src_yaml_files(spark, sf_dir):
-    path = staged_path(spark, "customer")
-    writers.write_yaml(_customers(spark, sf_dir).repartition(8), path)
-    return readers.read_yaml(spark, path)
-
-
-@query("src_excel_files", "SELECT p_partkey, p_name, p_retailprice, nullif(p_brand, 'Brand#1') AS p_brand FROM part")
-def src_excel_files(spark, sf_dir):
-    path = staged_path(spark, "part")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice",
-                                                F.expr("nullif(p_brand, 'Brand#1')").alias("p_brand"))
-    writers.write_excel(parts.repartition(4), path)
-    return readers.read_excel(spark, path)
-
-
-@query("src_excel_sheets", "SELECT DISTINCT 'Sheet1' AS sheet, CAST(0 AS BIGINT) AS position FROM supplier")
-def src_excel_sheets(spark, sf_dir):
-    path = staged_path(spark, "supplier")
-    writers.write_excel(table(spark, sf_dir, "supplier").repartition(2), path)
-    return readers.excel_sheets(spark, path).select("sheet", "position").distinct()
-
-
-@query("src_text_lines", """SELECT line, CAST(count(*) AS BIGINT) AS n FROM (
-SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text NOT LIKE '%' || chr(13) || '%') GROUP BY line""")
-def src_text_lines(spark, sf_dir):
-    path = staged_path(spark, "text")
-    plain = table(spark, sf_dir, "documents").where(~F.col("text").contains("\r"))
-    plain.select(F.col("text").alias("value")).write.text(path)
-    return readers.read_text(spark, path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("src_text_all_lines", """SELECT line, CAST(count(*) AS BIGINT) AS n FROM (
 SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line""")
 def src_text_all_lines(spark, sf_dir):

@@ -118,18 +118,6 @@ def _order_profile(spark, sf_dir):
     return profile.field_profiles(table(spark, sf_dir, "orders").drop("o_orderpriority"))
 
 
-@query("profile_target_types", _TYPES + """SELECT name, source_type, target_type,
-CASE WHEN u THEN 'NOT NULL UNIQUE' ELSE 'NOT NULL' END AS constraints, false AS nullable FROM p""")
-def profile_target_types(spark, sf_dir):
-    return profile.target_types(_order_profile(spark, sf_dir), "postgresql")
-
-
-@query("profile_create_table", _TYPES + """SELECT 'CREATE TABLE orders (' || chr(10) || string_agg('  ' || name || ' ' || target_type ||
-CASE WHEN u THEN ' NOT NULL UNIQUE' ELSE ' NOT NULL' END, ',' || chr(10) ORDER BY name) || chr(10) || ');' AS create_sql FROM p""")
-def profile_create_table(spark, sf_dir):
-    return profile.create_table_text(profile.target_types(_order_profile(spark, sf_dir), "postgresql"), "orders")
-
-
 _ALL_TYPES = _TYPES[:-1] + """
   UNION ALL SELECT 'o_orderpriority', 'string', 'VARCHAR(' || max(length(o_orderpriority)) || ')', count(DISTINCT o_orderpriority) = count(*) FROM orders)"""
 

@@ -96,14 +96,6 @@ def _negative(c):
     return below(c)
 
 
-@query("scalar_text", """SELECT doc_id, lower(trim(substr(text, 1, 40))) AS start,
-regexp_replace(source, '[0-9]+', '#', 'g') AS family FROM documents""")
-def scalar_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.lower(F.trim(F.substring("text", 1, 40))).alias("start"),
-        F.regexp_replace("source", "[0-9]+", "#").alias("family"))
-
-
 @query("scalar_whole_text", """SELECT doc_id, md5(lower(trim(text))) AS whole,
 regexp_replace(source, '[0-9]+', '#', 'g') AS family FROM documents""")
 def scalar_whole_text(spark, sf_dir):

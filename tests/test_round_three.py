@@ -1,28 +1,4 @@
-"""Whole results where a part was missing before: near duplicates of repeated ids, long values in profiles,
-texts with carriage returns, whole texts and all columns in registered queries."""
-
-import pytest
-from pyspark.sql import functions as F
-
-
-def _text(name: str, changed: int | None = None) -> str:
-    return " ".join("changed" if k == changed else f"{name}{k}" for k in range(80))
-
-
-def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
-    pytest.importorskip("rowmill.llm")
-    import corpus_pipeline
-    from rowmill.llm.minhash import near_duplicates
-
-    rows = [(5, _text("a")), (5, _text("b")), (3, _text("b")), (8, _text("a", 79)), (9, _text("b", 79)), (20, _text("c")), (20, _text("d")),
-            (21, _text("c", 79)), (22, _text("d", 79)), (30, _text("e")), (30, _text("e")), (31, _text("e", 79)), (40, ""), (40, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = near_duplicates(docs)
-    kept = sorted((r["id"], r["n_shingles"]) for r in found.where("kept").collect())
-    assert kept == [(3, 76), (5, 76), (20, 76), (20, 76), (30, 76), (40, 0), (40, 0)]
-    assert found.groupBy("component_id", "component_of").count().where("component_id < 40").count() == 5
-    left = sorted((r["doc_id"], r["text"][:1]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
-    assert left == [(3, "b"), (5, "a"), (20, "c"), (20, "d"), (30, "e"), (40, ""), (40, "")]
+"""Whole results where a part was missing before: long values in profiles, texts with carriage returns, whole texts and all columns in registered queries."""
 
 
 def test_long_numbers_count_like_short_ones(spark):
