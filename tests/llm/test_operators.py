@@ -383,7 +383,7 @@ def test_queries_of_llm_equal_their_sql(spark):
     from tests.conftest import SF
 
     con = duckdb.connect()
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in SQL.items():
         found = con.execute(sql)
