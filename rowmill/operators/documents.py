@@ -44,12 +44,15 @@ def merged_schema(df: DataFrame, json: Column) -> DataFrame:
     return df.agg(F.schema_of_variant_agg(F.try_parse_json(json)).alias("schema"))
 
 
-def parse_documents(df: DataFrame, name: str, text: str) -> DataFrame:
-    """``receipt_number`` (the file name), the parsed document and its JSON text, null where there is none."""
+def parse_documents(df: DataFrame, name: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``receipt_number`` (the file name), the parsed document and its JSON text, null where there is none.
+
+    Columns of ``keep`` come along, e.g. the order in which documents arrived.
+    """
     # The generator row computes the JSON once; a plain projection would be copied into every later filter.
     found = F.explode(F.array(json_in_answer(F.col(text))))
     return df.select(F.col(name).cast("string").alias("receipt_number"), F.col(text).alias("raw_text"),
-                     found.alias("json")).withColumn("doc", F.from_json("json", DOCUMENT))
+                     found.alias("json"), *keep).withColumn("doc", F.from_json("json", DOCUMENT))
 
 
 def rejects(parsed: DataFrame) -> DataFrame:

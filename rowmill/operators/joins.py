@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 SALTS = 16
+#: A key is frequent beyond one in HOT_SHARE of the rows; the summary that finds them tracks HOT_TRACKED items.
+HOT_SHARE, HOT_TRACKED = 200, 4096
 #: Stretches of a bin of ranges, and bins at most (beyond that bins get longer).
 BIN_STRETCHES, MAX_BINS = 256, 1 << 15
 
@@ -37,17 +39,29 @@ def fits_in_memory(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     return size["n"] <= max_rows and size["b"] <= max_bytes
 
 
+def hot_hashes(df: DataFrame, names: list[str]) -> list[int]:
+    """Hashes of the keys that hold more than 1 / HOT_SHARE of the rows, by a frequent-items summary merged over all tasks.
+
+    At most HOT_SHARE keys are that frequent, and every one of them is among the summary's items. A stream has no such summary.
+    """
+    if df.isStreaming:
+        return []
+    found = df.select(F.xxhash64(*names).alias("h")).agg(
+        F.expr(f"approx_top_k(h, {HOT_SHARE}, {HOT_TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return [item["item"] for item in found["top"] or [] if item["count"] * HOT_SHARE > found["n"]]
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on, how: str = "left", null_safe: bool = False,
                 small: bool | None = None) -> DataFrame:
-    """Join ``right`` (one row per key) to ``left``: broadcast when it is small, else salted.
+    """Join ``right`` (one row per key) to ``left``: broadcast when it is small, else shuffled, frequent keys over many tasks.
 
-    Salting sends the rows of a frequent key to several tasks. The salt is the task's partition number,
-    which a repeated task keeps; ``right`` is copied once per salt. ``null_safe`` lets null match null.
-    The key columns of ``right`` are dropped.
+    Only the rows of keys that a summary of ``left`` finds frequent get a salt, and only those rows of ``right`` are copied,
+    once per salt: HOT_SHARE keys at most. The salt is the task's partition number, which a repeated task keeps.
+    ``null_safe`` lets null match null. The key columns of ``right`` are dropped. With a stream nothing is measured.
     """
     names = [on] if isinstance(on, str) else list(on)
     if small is None:
-        small = fits_in_memory(right)
+        small = not right.isStreaming and fits_in_memory(right)
     renamed = right
     for name in names:
         renamed = renamed.withColumnRenamed(name, f"_r_{name}")
@@ -58,8 +72,13 @@ def lookup_join(left: DataFrame, right: DataFrame, on, how: str = "left", null_s
     keys = [f"_r_{name}" for name in names]
     if small:
         return left.join(F.broadcast(renamed), condition, how).drop(*keys)
-    salted = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    copies = renamed.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = all(left.schema[n].dataType == right.schema[n].dataType for n in names)  # equal values of other types hash apart
+    hot = hot_hashes(left, names) if same else []
+    if not hot:
+        return left.join(renamed, condition, how).drop(*keys)
+    is_hot = lambda columns: F.xxhash64(*columns).isin(hot)
+    salted = left.withColumn("_salt", F.when(is_hot(names), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0))
+    copies = renamed.withColumn("_r_salt", F.explode(F.when(is_hot(keys), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     condition = condition & (F.col("_salt") == F.col("_r_salt"))
     return salted.join(copies, condition, how).drop("_salt", "_r_salt", *keys)
 
@@ -76,6 +95,15 @@ def first_per_key(df: DataFrame, keys, order_by) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_nth")
 
 
+def orderable(df: DataFrame, but: list[str]) -> list[Column]:
+    """All columns that can be compared, except ``but``, values before nulls: an order for rows that came in none."""
+    nested = lambda kind: (
+        isinstance(kind, (T.MapType, T.VariantType)) or (isinstance(kind, T.ArrayType) and nested(kind.elementType))
+        or (isinstance(kind, T.StructType) and any(nested(f.dataType) for f in kind.fields)))
+    names = [f.name for f in df.schema.fields if f.name not in but and not nested(f.dataType)] or list(but)
+    return [F.col(f"`{name}`").asc_nulls_last() for name in names]
+
+
 def not_in(df: DataFrame, known: DataFrame, on) -> DataFrame:
     """Rows whose key does not occur in ``known``."""
     names = [on] if isinstance(on, str) else list(on)
@@ -92,8 +120,11 @@ def is_in(df: DataFrame, known: DataFrame, on) -> DataFrame:
 
 def merge_lookup(df: DataFrame, source: DataFrame, lookup_key: str, key_field: str,
                  order_by=None) -> DataFrame:
-    """Left lookup where every field of the match overwrites the record's, a null one too."""
-    unique = first_per_key(source, key_field, order_by) if order_by else source.dropDuplicates([key_field])
+    """Left lookup where every field of the match overwrites the record's, a null one too.
+
+    Where ``source`` repeats a key its first row by ``order_by`` counts (by its other columns, where none is given).
+    """
+    unique = first_per_key(source, key_field, order_by or orderable(source, [key_field]))
     packed = unique.select(F.col(key_field).alias(lookup_key), F.struct("*").alias("_match"))
     joined = lookup_join(df, packed, lookup_key, "left")
     hit = F.col("_match").isNotNull()
@@ -108,11 +139,16 @@ def merge_lookup(df: DataFrame, source: DataFrame, lookup_key: str, key_field: s
 
 
 def lookup_field(df: DataFrame, target: str, source: DataFrame, key_field: str,
-                 source_key: str | None = None, source_field: str | None = None) -> DataFrame:
-    """Add one field of the matching source row; an unknown key gives null."""
+                 source_key: str | None = None, source_field: str | None = None, order_by=None) -> DataFrame:
+    """Add one field of the matching source row; an unknown key gives null.
+
+    Where ``source`` repeats a key its first row by ``order_by`` counts (the smallest value, where none is given).
+    """
     source_key = source_key or key_field
-    side = source.select(F.col(source_key).alias(key_field),
-                         F.col(source_field or target).alias("_found")).dropDuplicates([key_field])
+    ordered = first_per_key(source, source_key, order_by) if order_by else source
+    side = ordered.select(F.col(source_key).alias(key_field), F.col(source_field or target).alias("_found"))
+    if not order_by:
+        side = first_per_key(side, key_field, orderable(side, [key_field]))
     joined = lookup_join(df.drop(target), side, key_field, "left")
     return joined.withColumnRenamed("_found", target)
 

@@ -12,7 +12,7 @@ IMAGE_EXTENSIONS = ("jpeg", "jpg", "png", "bmp", "webp", "tiff", "gif")
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """path, modificationTime, length and content of the files of a folder."""
+    """path, modificationTime, length and content of the files of a folder; Spark's readers do not see empty files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
 
 

@@ -1,73 +1,107 @@
 """Named tables: store, load, update, delete, exists on Spark's catalog.
 
-A table is a Parquet table whose rows live in their own folder below ``location``. Update, delete and
-overwrite write a new folder and then point the table at it, so a reader never sees half a change.
+A table is a view over its current version, a Parquet table in its own folder below ``location``. Update, delete and
+overwrite write a new version and then replace the view in one call of the catalog, so the table exists throughout, with
+the old rows and columns or with the new ones. The view's properties list the versions that are kept, newest first.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from rowmill.operators.filters import equals_all
-from rowmill.operators.joins import not_in
+from rowmill.operators.joins import first_per_key, not_in, orderable
 from rowmill.session import staged_path
+from rowmill.sources.folders import remove_folder
 
 EXPIRES = "_expires_at"
+MANIFEST = "rowmill.versions"
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, location: str | None = None):
+    """``keep`` versions of a table stay readable after a change (2: readers of the one before may end their work)."""
+
+    def __init__(self, spark: SparkSession, location: str | None = None, keep: int = 2):
+        if keep < 1:
+            raise ValueError("at least the current version is kept")
         self.spark = spark
         self.location = location or staged_path(spark, "tables")
-
-    def _folder(self, table: str) -> str:
-        return f"{self.location}/{table}/{uuid.uuid4().hex}"
+        self.keep = keep
 
     def exists(self, table: str) -> bool:
         return self.spark.catalog.tableExists(table)
 
-    def _create(self, table: str, df: DataFrame) -> None:
-        df.write.format("parquet").option("path", self._folder(table)).saveAsTable(table)
-
-    def _replace(self, table: str, df: DataFrame) -> None:
-        folder = self._folder(table)
-        df.write.parquet(folder)
-        self.spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
-        self.spark.catalog.refreshTable(table)
+    def history(self, table: str) -> list[dict]:
+        """number, table, folder and written_at of the kept versions, newest first."""
+        if not self.exists(table):
+            return []
+        properties = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+        return json.loads(properties.get(MANIFEST, "[]"))
+
+    def _publish(self, table: str, df: DataFrame) -> None:
+        """Write a new version, point the table at it, then drop the versions beyond ``keep``."""
+        known = self.history(table)
+        if self.exists(table) and not known:
+            raise ValueError(f"{table} was not made by a table store")
+        name = uuid.uuid4().hex
+        version = {"number": known[0]["number"] + 1 if known else 1, "table": f"{table}__{name}",
+                   "folder": f"{self.location}/{table}/{name}", "written_at": int(time.time())}
+        df.write.format("parquet").option("path", version["folder"]).saveAsTable(version["table"])
+        versions = [version, *known]
+        manifest = json.dumps(versions[:self.keep]).replace("\\", "\\\\").replace("'", "\\'")
+        replace = "OR REPLACE " if known else ""
+        self.spark.sql(f"CREATE {replace}VIEW {table} TBLPROPERTIES ('{MANIFEST}' = '{manifest}') AS SELECT * FROM {version['table']}")
+        for old in versions[self.keep:]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {old['table']}")
+            remove_folder(self.spark, old["folder"])
+
+    def drop(self, table: str) -> None:
+        """Remove a table with all its versions; a missing one is no error."""
+        known = self.history(table)
+        if known:
+            self.spark.sql(f"DROP VIEW {table}")
+        for old in known:
+            self.spark.sql(f"DROP TABLE IF EXISTS {old['table']}")
+            remove_folder(self.spark, old["folder"])
 
     def store(self, table: str, df: DataFrame) -> None:
         """Create the table or append to it; extra fields are dropped, missing ones null, no rows do nothing."""
         if df.isEmpty():
             return
         if not self.exists(table):
-            self._create(table, df)
+            self._publish(table, df)
             return
-        schema = self.spark.table(table).schema
+        known = self.history(table)
+        current = known[0]["table"] if known else table
+        schema = self.spark.table(current).schema
         aligned = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                               for f in schema.fields])
-        aligned.write.insertInto(table)
+        aligned.write.insertInto(current)
 
-    def store_new(self, table: str, df: DataFrame, key: list[str]) -> None:
-        """Append only rows whose key is not in the table yet; of equal new keys one is kept."""
-        unique = df.dropDuplicates(key)
+    def store_new(self, table: str, df: DataFrame, key: list[str], order_by=None) -> None:
+        """Append only rows whose key is not in the table yet; of equal new keys the first by ``order_by`` (all columns) is kept."""
+        unique = first_per_key(df, key, order_by or orderable(df, key))
         self.store(table, not_in(unique, self.load(table), key) if self.exists(table) else unique)
 
     def overwrite(self, table: str, df: DataFrame, ttl_seconds: int | None = None) -> None:
-        """Replace the whole table; with a time to live its rows are not loaded after that."""
+        """Replace the whole table, whatever its columns; with a time to live its rows are not loaded after that."""
         if ttl_seconds is not None:
             df = df.withColumn(EXPIRES, F.current_timestamp() + F.make_dt_interval(secs=F.lit(ttl_seconds)))
-        if self.exists(table):
-            if self.spark.table(table).dtypes == df.dtypes:
-                self._replace(table, df)
-                return
-            self.spark.sql(f"DROP TABLE {table}")
-        self._create(table, df)
-
-    def load(self, table: str, query: dict | None = None) -> DataFrame:
-        """Rows whose fields equal all of ``query``; the scan gets the filter."""
-        df = self.spark.table(table)
+        self._publish(table, df)
+
+    def load(self, table: str, query: dict | None = None, number: int | None = None) -> DataFrame:
+        """Rows whose fields equal all of ``query``; the scan gets the filter. ``number`` asks for a kept earlier version."""
+        source = table
+        if number is not None:
+            kept = {v["number"]: v["table"] for v in self.history(table)}
+            if number not in kept:
+                raise ValueError(f"version {number} of {table} is not kept: {sorted(kept)}")
+            source = kept[number]
+        df = self.spark.table(source)
         if EXPIRES in df.columns:
             df = df.where(F.col(EXPIRES).isNull() | (F.col(EXPIRES) > F.current_timestamp())).drop(EXPIRES)
         return df.where(equals_all(query)) if query else df
@@ -76,7 +110,7 @@ class TableStore:
         match = F.coalesce(equals_all(query), F.lit(False))
         seen = Observation()
         marked = self.spark.table(table).observe(seen, F.count_if(match).alias("hits"))
-        self._replace(table, changed(marked, match))
+        self._publish(table, changed(marked, match))
         return seen.get["hits"] or 0
 
     def update(self, table: str, query: dict, data: dict) -> int:

@@ -226,6 +226,14 @@ def norm_denormalize(spark, sf_dir):
     return envelope.denormalize(_wrapped(spark, sf_dir).records)
 
 
+@query("norm_unwrap", "SELECT c_custkey AS cust_key, c_name AS full_name, c_acctbal FROM customer")
+def norm_unwrap(spark, sf_dir):
+    """An exported envelope is read again and its records taken out."""
+    path = staged_path(spark, "envelope")
+    envelope.export(_wrapped(spark, sf_dir), path)
+    return envelope.unwrap_records(readers.read_json_lines(spark, f"{path}/records")).select("cust_key", "full_name", "c_acctbal")
+
+
 @query("norm_merge", """SELECT 'merged' AS source_type, CAST((SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS BIGINT)
 AS record_count, 'c_acctbal,custKey,full_name,s_acctbal,s_name' AS columns, 'flatten' AS data_category""")
 def norm_merge(spark, sf_dir):
@@ -267,11 +275,12 @@ def store_load_filtered(spark, sf_dir):
     return store.load(name, {"segment": "MACHINERY"})
 
 
-@query("store_exists", "SELECT count(*) > 0 AS stored, false AS never FROM customer")
+@query("store_exists", f"SELECT count(*) AS n, count(*) > 0 AS stored, false AS never FROM ({_S})")
 def store_exists(spark, sf_dir):
     store, name = _store(spark)
     store.store(name, _suppliers(spark, sf_dir))
-    return store.load(name).limit(1).select(F.lit(store.exists(name)).alias("stored"), F.lit(store.exists(f"{name}x")).alias("never"))
+    return store.load(name).select(F.count(F.lit(1)).alias("n")).withColumns(
+        {"stored": F.lit(store.exists(name)), "never": F.lit(store.exists(f"{name}x"))})
 
 
 @query("store_insert_ignore", f"""SELECT * FROM ({_S}) WHERE c_acctbal < 5000
@@ -293,6 +302,17 @@ def store_overwrite(spark, sf_dir):
     return store.load(name)
 
 
+@query("store_versions", f"""SELECT 1 AS number, c_custkey, c_name, segment, NULL AS orders FROM ({_S})
+UNION ALL SELECT 2, o_custkey, NULL, NULL, count(*) FROM orders GROUP BY o_custkey""")
+def store_versions(spark, sf_dir):
+    """A table replaced by one of other columns; the version before stays readable."""
+    store, name = _store(spark)
+    store.overwrite(name, _suppliers(spark, sf_dir))
+    store.overwrite(name, table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders")))
+    before = store.load(name, number=1).select(F.lit(1).alias("number"), "c_custkey", "c_name", "segment")
+    return before.unionByName(store.load(name).withColumn("number", F.lit(2)), allowMissingColumns=True)
+
+
 @query("store_update", f"""SELECT c_custkey, c_name, CASE WHEN segment = 'MACHINERY' THEN 1.0 ELSE c_acctbal END AS c_acctbal, segment,
 (SELECT count(*) FROM customer WHERE c_mktsegment = 'MACHINERY') AS hits FROM ({_S})""")
 def store_update(spark, sf_dir):

@@ -12,6 +12,7 @@ from rowmill.session import staged_path
 from rowmill.sources import files
 from rowmill.sources.tables import TableStore
 from rowmill.streaming import messages as m
+from rowmill.streaming.watch import DirectoryWatch
 from suite.registry import query, table
 
 
@@ -116,6 +117,24 @@ def stream_watch(spark, sf_dir):
     return seen.groupBy("type").agg(F.count_distinct("path").alias("n"))
 
 
+@query("watch_changes", """WITH a AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus <> 'O'),
+b AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 = 0 AS INTEGER) AS day FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT 1 AS poll, 'created' AS type, k AS size, strftime(day, '%Y-%m-%d') AS day FROM a
+UNION ALL SELECT 2, CASE WHEN a.k IS NULL THEN 'created' WHEN b.k IS NULL THEN 'deleted' ELSE 'modified' END,
+coalesce(a.k, b.k), strftime(coalesce(b.day, a.day), '%Y-%m-%d') FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.day <> b.day""")
+def watch_changes(spark, sf_dir):
+    """Orders as inventories of a folder at two times; the second poll is made by a watch that starts anew."""
+    orders = table(spark, sf_dir, "orders")
+    inventory = lambda rows, late: rows.select(
+        F.concat(F.lit("in/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderkey").cast("long").alias("length"),
+        F.date_add(F.col("o_orderdate").cast("date"), late).cast("timestamp").alias("modificationTime"))
+    state = staged_path(spark, "watch")
+    DirectoryWatch(spark, "in", state).poll(inventory(orders.where("o_orderstatus <> 'O'"), F.lit(0)))
+    again = DirectoryWatch(spark, "in", state)
+    again.poll(inventory(orders.where("o_orderkey % 5 <> 0"), (F.col("o_orderkey") % 3 == 0).cast("int")))
+    return again.events().select(F.col("poll").cast("int").alias("poll"), "type", "size", F.date_format("timestamp", "yyyy-MM-dd").alias("day"))
+
+
 def _halve(key):
     if key % 5 == 0:
         raise ValueError(f"odd lot {key}")

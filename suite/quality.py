@@ -363,6 +363,31 @@ def noise_clean(spark, sf_dir):
     return noise.clean(events, noise.noise_labels(events, "event_id"), "event_id")
 
 
+@query("noise_rules_text", """
+WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority, o_custkey,
+  CASE o_orderkey % 3 WHEN 0 THEN '555-123-4567' WHEN 1 THEN 'ext ' || o_custkey ELSE NULL END AS phone,
+  o_orderpriority || CASE o_orderkey % 4 WHEN 0 THEN chr(7) WHEN 1 THEN chr(9) ELSE '' END AS note,
+  CASE o_orderkey % 5 WHEN 0 THEN 'caf' || chr(195) || chr(169) WHEN 1 THEN o_custkey || chr(65533) WHEN 2 THEN 'caf' || chr(233) END AS place FROM orders)
+SELECT o_orderkey, 'day' AS field, 'future_date' AS noise_type, 'high' AS severity, day AS original_value, 'review manually' AS suggested_action
+FROM o WHERE day > '1996-06-30'
+UNION ALL SELECT o_orderkey, 'phone', 'phone_format_inconsistent', 'low', phone, 'review manually' FROM o WHERE o_orderkey % 3 = 1
+UNION ALL SELECT o_orderkey, 'note', 'invalid_char', 'low', note, 'sanitize or remove' FROM o WHERE o_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'place', 'encoding_issue', 'low', place, 're-encode' FROM o WHERE o_orderkey % 5 < 2""")
+def noise_rules_text(spark, sf_dir):
+    at = lambda n: F.col("o_orderkey") % n
+    customer = F.col("o_custkey").cast("string")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.when(at(3) == 0, "555-123-4567").when(at(3) == 1, F.concat(F.lit("ext "), customer)).alias("phone"),
+        F.concat("o_orderpriority", F.when(at(4) == 0, "\x07").when(at(4) == 1, "\t").otherwise("")).alias("note"),
+        F.when(at(5) == 0, "caf\u00c3\u00a9").when(at(5) == 1, F.concat(customer, F.lit("\ufffd"))).when(at(5) == 2, "caf\u00e9").alias("place"))
+    return noise.rule_labels(orders, "o_orderkey", [
+        ("day", "future_date", noise.future_date("day", F.lit("1996-06-30").cast("timestamp"))),
+        ("phone", "phone_format_inconsistent", noise.phone_mismatch("phone")),
+        ("note", "invalid_char", noise.invalid_characters("note")),
+        ("place", "encoding_issue", noise.encoding_issue("place"))])
+
+
 @query("noise_rules_extra", """
 WITH c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name ELSE replace(c_name, '#', '.') || '@x.example' END AS mail,
   CASE WHEN c_nationkey < 5 THEN 'n' || c_nationkey ELSE CAST(c_nationkey AS VARCHAR) END AS nation FROM customer)

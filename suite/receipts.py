@@ -241,3 +241,15 @@ def receipts_insert(spark, sf_dir):
               for n in ("receipts", "receipt_items", "receipt_tax_breakdown")]
     second = spark.createDataFrame([("second_run", added)], "name string, n long")
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(second)
+
+
+@query("receipts_first_wins", f"""SELECT 'Shop ' || min(o_custkey) AS merchant_name, 'c' || (o_orderkey // 8) AS receipt_number
+FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey // 8 ORDER BY o_orderkey) AS nth FROM orders WHERE {_GOOD}) WHERE nth = 1 GROUP BY o_orderkey // 8""")
+def receipts_first_wins(spark, sf_dir):
+    """Several receipts of one number: the one that arrived first is stored; a batch sent twice is loaded once."""
+    store, prefix = TableStore(spark), f"t_{uuid.uuid4().hex}_"
+    texts = _texts(spark, sf_dir).withColumn("number", F.concat(F.lit("c"), F.floor(F.col("o_orderkey") / 8).cast("string")))
+    parsed = d.parse_documents(texts, "number", "raw_text", keep=("o_orderkey",))
+    for _ in range(2):
+        insert_receipts(store, parsed, prefix, batch_id="first", order_by="o_orderkey")
+    return store.load(prefix + "receipts").select("merchant_name", "receipt_number")
