@@ -124,7 +124,7 @@ def merge_lookup(df: DataFrame, source: DataFrame, lookup_key: str, key_field: s
 
     Where ``source`` repeats a key its first row by ``order_by`` counts (by its other columns, where none is given).
     """
-    unique = first_per_key(source, key_field, order_by or orderable(source, [key_field]))
+    unique = first_per_key(source, key_field, orderable(source, [key_field]) if order_by is None else order_by)
     packed = unique.select(F.col(key_field).alias(lookup_key), F.struct("*").alias("_match"))
     joined = lookup_join(df, packed, lookup_key, "left")
     hit = F.col("_match").isNotNull()
@@ -145,9 +145,9 @@ def lookup_field(df: DataFrame, target: str, source: DataFrame, key_field: str,
     Where ``source`` repeats a key its first row by ``order_by`` counts (the smallest value, where none is given).
     """
     source_key = source_key or key_field
-    ordered = first_per_key(source, source_key, order_by) if order_by else source
+    ordered = source if order_by is None else first_per_key(source, source_key, order_by)
     side = ordered.select(F.col(source_key).alias(key_field), F.col(source_field or target).alias("_found"))
-    if not order_by:
+    if order_by is None:
         side = first_per_key(side, key_field, orderable(side, [key_field]))
     joined = lookup_join(df.drop(target), side, key_field, "left")
     return joined.withColumnRenamed("_found", target)

@@ -84,7 +84,7 @@ class TableStore:
 
     def store_new(self, table: str, df: DataFrame, key: list[str], order_by=None) -> None:
         """Append only rows whose key is not in the table yet; of equal new keys the first by ``order_by`` (all columns) is kept."""
-        unique = first_per_key(df, key, order_by or orderable(df, key))
+        unique = first_per_key(df, key, orderable(df, key) if order_by is None else order_by)
         self.store(table, not_in(unique, self.load(table), key) if self.exists(table) else unique)
 
     def overwrite(self, table: str, df: DataFrame, ttl_seconds: int | None = None) -> None:
