@@ -13,7 +13,7 @@ HOT_SHARE, HOT_TRACKED = 200, 4096
 BIN_STRETCHES, MAX_BINS = 256, 1 << 15
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """Rough size of a row: text by its length, nested values by their JSON text, the rest 16 bytes."""
     total = F.lit(16)
     for field in df.schema.fields:
@@ -33,7 +33,7 @@ def fits_in_memory(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     """Whether ``df`` is small enough to broadcast; reads at most ``max_rows + 1`` rows."""
     size = (
         df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b"))
+        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b"))
         .first()
     )
     return size["n"] <= max_rows and size["b"] <= max_bytes

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from rowmill.operators.index import as_columns, global_index
-from rowmill.operators.joins import lookup_join
+from rowmill.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, lookup_join, row_bytes
+from rowmill.session import staged_path
 
 SMALL_SAMPLE = 100_000  # rows of a sample that may be ordered in one task
+MARGINS = 64  # wider margins than this are not tried: all rows are read
 _UNIT = 16 ** 15
 
 
@@ -41,38 +43,49 @@ def _number(sample: DataFrame, order: list, size: int, strategy: str) -> DataFra
     return numbered.withColumn("_sample_strategy", F.lit(strategy))
 
 
-def lowest_digests(df: DataFrame, groups: list[str], quotas: DataFrame, order_by, digest: str) -> DataFrame:
-    """Per group the ``_quota`` rows with the lowest digests; ``quotas`` holds groups, ``_n`` and ``_quota``.
+def _widened(n: Column, quota: Column, times: int) -> Column:
+    return (quota.cast("double") + _spread(quota) * times) / n
 
-    Digests are uniform, so the cut lies near quota / n. Rows clearly below it are taken as they are and
-    only the few around it are ranked. Both limits are checked by counting; where a group misses one, all
-    its rows are ranked.
+
+def lowest_digests(df: DataFrame, groups: list[str], quota, order_by, digest: str) -> tuple[DataFrame, int]:
+    """Per group the rows with the lowest digests, and a bound on their number; ``quota(n, total)`` is the Column of a group's share.
+
+    One scan counts the groups. Digests are uniform, so a group's cut lies near quota / n: a second scan writes the rows below the
+    cut and a margin, a little more than the sample, and all else works on these. Rows clearly below the cut are
+    taken as they are and only the few around it are ranked. Both limits are checked by counting: where a group has too many sure
+    rows, all its written ones are ranked; where too few were written, a wider margin is read.
     """
-    quota, n = F.col("_quota").cast("double"), F.col("_n")
-    cuts = quotas.withColumn("_low", (quota - _spread(quota)) / n).withColumn("_high", (quota + _spread(quota)) / n)
-    placed = df.withColumn("_u", _fraction(F.col(digest)))
-    counted = (
-        lookup_join(placed.select(*groups, "_u"), cuts, groups, "inner", null_safe=True)
-        .groupBy(*groups)
-        .agg(F.first("_quota").alias("_quota"), F.first("_low").alias("_low"), F.first("_high").alias("_high"),
-             F.count_if(F.col("_u") <= F.col("_low")).alias("_sure"),
-             F.count_if(F.col("_u") <= F.col("_high")).alias("_all"))
-    )
-    safe = counted.select(
-        *groups, "_quota",
-        F.when(F.col("_sure") <= F.col("_quota"), F.col("_low")).otherwise(-1.0).alias("_low"),
-        F.when(F.col("_sure") <= F.col("_quota"), F.col("_sure")).otherwise(0).alias("_sure"),
-        F.when(F.col("_all") >= F.col("_quota"), F.col("_high")).otherwise(2.0).alias("_high"),
-    )
-    tagged = lookup_join(placed, safe, groups, "inner", null_safe=True)
-    certain = tagged.where(F.col("_u") <= F.col("_low"))
+    spark = df.sparkSession
+    counted, seen = staged_path(spark, "strata"), Observation()
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    sizes.observe(seen, F.coalesce(F.sum("_n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("groups"),
+                  F.coalesce(F.sum(row_bytes(sizes)), F.lit(0)).alias("bytes")).write.parquet(counted)
+    total, strata = seen.get["total"], seen.get["groups"]
+    small = strata <= MAX_BROADCAST_ROWS and seen.get["bytes"] <= MAX_BROADCAST_BYTES
+    sizes = spark.read.schema(sizes.schema).parquet(counted)
+    quotas = sizes.withColumn("_quota", F.least(quota(F.col("_n"), total), F.col("_n")).cast("long"))
+    u, n, wanted = F.col("_u"), F.col("_n"), F.col("_quota")
+    low, times, missed = (wanted - _spread(wanted)) / n, 1, 1
+    while missed:
+        near, checked, found = staged_path(spark, "near"), staged_path(spark, "cuts"), Observation()
+        high = F.lit(2.0) if times > MARGINS else _widened(n, wanted, times)  # no digest reaches 2: the last try reads all rows
+        placed = df.withColumn("_u", _fraction(F.col(digest)))
+        tagged = lookup_join(placed, quotas, groups, "inner", null_safe=True, small=small or None).where(u <= high)
+        tagged.write.parquet(near)
+        tagged = spark.read.schema(tagged.schema).parquet(near)
+        cuts = tagged.groupBy(*groups).agg(F.first("_quota").alias("_quota"), F.count_if(u <= low).alias("_sure"), F.count(F.lit(1)).alias("_all"))
+        cuts.observe(found, F.count_if(F.col("_all") >= wanted).alias("full")).write.parquet(checked)
+        missed, times = strata - found.get["full"], times * 4
+    fine = F.col("_sure") <= wanted
+    cuts = spark.read.schema(cuts.schema).parquet(checked).select(
+        *groups, F.when(fine, F.col("_sure")).otherwise(0).alias("_sure"), fine.alias("_fine"))
+    tagged = lookup_join(tagged, cuts, groups, "inner", null_safe=True, small=small or None)
+    sure = F.col("_fine") & (u <= low)
     window = Window.partitionBy(*groups).orderBy(digest, *as_columns(order_by))
-    ranked = (
-        tagged.where((F.col("_u") > F.col("_low")) & (F.col("_u") <= F.col("_high")))
-        .withColumn("_rank", F.row_number().over(window))
-        .where(F.col("_rank") <= F.col("_quota") - F.col("_sure")).drop("_rank")
-    )
-    return certain.unionByName(ranked).drop("_u", "_quota", "_low", "_sure", "_high")
+    ranked = (tagged.where(~sure).withColumn("_rank", F.row_number().over(window))
+              .where(F.col("_rank") <= wanted - F.col("_sure")).drop("_rank"))
+    chosen = tagged.where(sure).unionByName(ranked).drop("_u", "_n", "_quota", "_sure", "_fine")
+    return chosen, strata
 
 
 def random_sample(df: DataFrame, size: int, order_by, seed: int = 42, strategy: str = "random") -> DataFrame:
@@ -85,9 +98,8 @@ def random_sample(df: DataFrame, size: int, order_by, seed: int = 42, strategy:
     if size <= SMALL_SAMPLE:
         chosen = marked.orderBy(*order).limit(size)  # per-task top rows, no full sort
     else:
-        whole = marked.withColumn("_whole", F.lit(1))
-        quotas = df.sparkSession.createDataFrame([(1, total, size)], "_whole int, _n long, _quota long")
-        chosen = lowest_digests(whole, ["_whole"], quotas, order_by, "_digest").drop("_whole")
+        whole, _ = lowest_digests(marked.withColumn("_whole", F.lit(1)), ["_whole"], lambda n, total: F.lit(size), order_by, "_digest")
+        chosen = whole.drop("_whole")
     return _number(chosen, order, size, strategy).drop("_digest")
 
 
@@ -121,15 +133,11 @@ def stratified_sample(df: DataFrame, size: int, order_by, stratify_by: str | Non
     """Per value of ``stratify_by`` max(1, round-half-even(size * share)) rows; null is a stratum too."""
     if not stratify_by:
         return random_sample(df, size, order_by, seed, "stratified")
-    total = df.count()
-    share = F.bround(F.lit(size) * (F.col("_n") / F.lit(max(total, 1))), 0).cast("long")
-    quotas = df.groupBy(stratify_by).agg(F.count(F.lit(1)).alias("_n")).select(
-        stratify_by, "_n", F.least(F.greatest(F.lit(1), share), F.col("_n")).alias("_quota"))
+    share = lambda n, total: F.greatest(F.lit(1), F.bround(F.lit(size) * (n / F.lit(max(total, 1))), 0).cast("long"))
     marked = df.withColumn("_digest", random_digest(order_by, seed))
-    chosen = lowest_digests(marked, [stratify_by], quotas, order_by, "_digest")
-    expected = quotas.agg(F.coalesce(F.sum("_quota"), F.lit(0))).first()[0]
+    chosen, strata = lowest_digests(marked, [stratify_by], share, order_by, "_digest")
     return _number(chosen, [F.col(stratify_by).asc_nulls_first(), "_digest", *as_columns(order_by)],
-                   expected, "stratified").drop("_digest")
+                   size + strata, "stratified").drop("_digest")
 
 
 def cluster_sample(df: DataFrame, size: int, order_by, n_clusters: int = 5, seed: int = 42) -> DataFrame:
@@ -140,10 +148,8 @@ def cluster_sample(df: DataFrame, size: int, order_by, n_clusters: int = 5, seed
     key = F.concat_ws(":", *[c.cast("string") for c in as_columns(order_by)])
     bucket = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(n_clusters))
     marked = df.withColumn("_bucket", bucket).withColumn("_digest", random_digest(order_by, seed))
-    quotas = marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_bucket", "_n",
-        F.least(F.greatest(F.lit(1), F.floor(F.lit(size) * (F.col("_n") / F.lit(total)))), F.col("_n")).alias("_quota"))
-    chosen = lowest_digests(marked, ["_bucket"], quotas, order_by, "_digest")
+    share = lambda n, total: F.greatest(F.lit(1), F.floor(F.lit(size) * (n / F.lit(total))))
+    chosen, _ = lowest_digests(marked, ["_bucket"], share, order_by, "_digest")
     order = ["_bucket", "_digest", *as_columns(order_by)]
     numbered = _number(chosen, order, size + n_clusters, "cluster")
     return numbered.where(F.col("_sample_index") < size).drop("_bucket", "_digest")
