@@ -87,11 +87,10 @@ def _reads_within(before: str, t: Column, after: str) -> Column:
 def is_json(t: Column) -> Column:
     """Whether a text is one JSON value; objects may repeat a key (then the last one counts, as ``from_json`` reads it).
 
-    VARIANT takes no repeated keys, so what it refuses is tried as a member of an object and as an element of a list: only one
-    whole value is both.
+    VARIANT takes no repeated keys and does not look behind the first value, so a text is tried as a member of an object and as an
+    element of a list: only one whole value is both.
     """
-    reads = F.try_parse_json(t).isNotNull() | (_reads_within('{"v":', t, "}") & _reads_within('{"v":[', t, "]}"))
-    return F.when(t.isNotNull(), reads)
+    return F.when(t.isNotNull(), _reads_within('{"v":', t, "}") & _reads_within('{"v":[', t, "]}"))
 
 
 def _valid(c: Column) -> Column:
