@@ -19,6 +19,9 @@ PHONE_SHAPES = [
     (r"^\+\d{1,3}\s*\d{3}\s*\d{3}\s*\d{4}$", "+X XXX XXX XXXX"),
 ]
 
+# Fixed value: three letters of each month, in order.
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
 _PARTS = {
     "year": F.year,
     "month": F.month,
@@ -46,15 +49,37 @@ _PARTS = {
 }
 
 
-def as_timestamp(c: Column, kind: str) -> Column:
-    return F.try_to_timestamp(c) if kind == "string" else c.cast("timestamp")
+def moment(c: Column) -> Column:
+    """The time a text writes: ISO, or year, month and day by other signs, digits only, or with the month's name; else null.
+
+    Of two numbers before the year the first is the month, unless it is over 12.
+    """
+    clock = r"(?:[ T]+(\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?))?\s*$"
+    numbers = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + clock
+    by_year = r"^\s*(\d{4})[/.-]?(\d{2})[/.-]?(\d{2})" + clock
+    named = r"(?i)^\s*(?:[a-z]{3,9}day,?\s+)?(?:(\d{1,2})(?:st|nd|rd|th)?[ -]+)?([a-z]{3})[a-z]*\.?[ -]+(?:(\d{1,2})(?:st|nd|rd|th)?,?\s+)?(\d{4})" + clock
+    part = lambda pattern, k: F.regexp_extract(c, pattern, k)
+
+    def made(pattern: str, year: Column, month: Column, day: Column, time: int) -> Column:
+        text = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), part(pattern, time))
+        return F.when(c.rlike(pattern), F.try_to_timestamp(F.btrim(text)))
+
+    first, second = part(numbers, 1), part(numbers, 2)
+    swap = first.try_cast("int") > 12
+    place = F.instr(F.lit(MONTHS), F.lower(part(named, 2)))
+    month = F.floor((place + 2) / 3).cast("string")
+    day = F.concat(part(named, 1), part(named, 3))  # one of them is empty, else the text is no date
+    return F.coalesce(
+        F.try_to_timestamp(c), made(numbers, part(numbers, 3), F.when(swap, second).otherwise(first), F.when(swap, first).otherwise(second), 4),
+        made(by_year, part(by_year, 1), part(by_year, 2), part(by_year, 3), 4),
+        F.when(place % 3 == 1, made(named, part(named, 4), month, F.when(day == "", "1").otherwise(day), 5)))
 
 
 def date_part(c: Column, kind: str, part: str) -> Column:
-    """One part of a date or of ISO text (Monday is day 0 of the week); an unknown part is null."""
+    """One part of a date or of a text that writes one (Monday is day 0 of the week); an unknown part is null."""
     if part not in _PARTS:
         return F.lit(None).cast("int")
-    return _PARTS[part](as_timestamp(c, kind))
+    return _PARTS[part](moment(c) if kind == "string" else c.cast("timestamp"))
 
 
 def shape_of(c: Column, kind: str = "date") -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from rowmill.functions import names, text
 from rowmill.operators import enrich, filters, reshape
 from rowmill.operators.groups import collect_parts
+from rowmill.operators.joins import lookup_join
 from suite.registry import LINE_KEY, query, table
 
 
@@ -48,6 +51,41 @@ def enrich_date_extract(spark, sf_dir):
     return out.select("o_orderkey", *parts)
 
 
+@query("enrich_date_shapes", """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m,
+CAST(day(o_orderdate) AS INTEGER) AS d FROM orders WHERE o_orderkey % 7 <> 6
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 7 = 6""")
+def enrich_date_shapes(spark, sf_dir):
+    """Order dates written in six ways, and as no date."""
+    layouts = ["MM/dd/yyyy", "MM.dd.yyyy HH:mm", "yyyyMMdd", "MMMM d, yyyy", "d MMM yyyy H:mm:ss", "yyyy/MM/dd", "'week' d"]
+    day, place = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % len(layouts)
+    text = F.lit(None).cast("string")
+    for i, layout in enumerate(layouts):
+        text = F.when(place == i, F.date_format(day, layout)).otherwise(text)
+    text = F.when((place == 0) & (F.dayofmonth(day) > 12), F.date_format(day, "dd/MM/yyyy")).otherwise(text)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("written"))
+    return enrich.enrich(orders, [enrich.DatePart(k, "written", p) for k, p in {"y": "year", "m": "month", "d": "day"}.items()]).select(
+        "o_orderkey", "y", "m", "d")
+
+
+@dataclass(frozen=True)
+class ShareOf(enrich.Rule):
+    """A rule of the user's own: a field's share of the sum of its group's."""
+
+    value: str
+    group: str
+
+    def apply(self, df):
+        sums = df.groupBy(self.group).agg(F.sum(self.value).alias("_sum"))
+        return lookup_join(df, sums, self.group).withColumn(self.target, F.round(F.col(self.value) / F.col("_sum"), 9)).drop("_sum")
+
+
+@query("enrich_own_rule", """SELECT s_suppkey, round(p_share, 9) AS p_share, p_share > 0.001 AS large FROM (
+SELECT s_suppkey, round(s_acctbal / (sum(s_acctbal) OVER (PARTITION BY s_nationkey)), 9) AS p_share FROM supplier)""")
+def enrich_own_rule(spark, sf_dir):
+    rules = [ShareOf("p_share", "s_acctbal", "s_nationkey"), enrich.Calculate("large", "p_share > 0.001")]
+    return enrich.enrich(table(spark, sf_dir, "supplier"), rules).select("s_suppkey", "p_share", "large")
+
+
 @query("enrich_category_map", """SELECT p_partkey, CASE WHEN p_size BETWEEN 0 AND 10 THEN 'small'
 WHEN p_size BETWEEN 10 AND 20 THEN 'medium' WHEN p_size BETWEEN 25 AND 40 THEN 'large'
 WHEN p_size >= 40 THEN 'large' END AS size_class FROM part""")
