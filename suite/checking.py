@@ -78,6 +78,16 @@ def validate_unique(spark, sf_dir):
     return _errors(table(spark, sf_dir, "documents"), [v.Unique("text")], "doc_id")
 
 
+@query("validate_removed_rule", """
+SELECT o_orderkey, 'o_totalprice' AS field, 'range_o_totalprice' AS rule, 'o_totalprice above maximum: 300000' AS message FROM orders
+WHERE o_totalprice > 300000""")
+def validate_removed_rule(spark, sf_dir):
+    rules = [v.Range("o_totalprice", None, 300000), v.Enum("o_orderstatus", ("O",)), v.Required("o_clerk")]
+    for name in ("enum_o_orderstatus", "required_o_clerk", "no_such_rule"):
+        rules = v.without_rule(rules, name)
+    return _errors(table(spark, sf_dir, "orders"), rules, "o_orderkey")
+
+
 @query("validate_summary", """
 SELECT count(*) = 0 AS valid, CAST(count(*) AS BIGINT) AS error_count, CAST(0 AS BIGINT) AS warning_count FROM (
 SELECT 1 FROM lineitem WHERE l_discount > 0.05 UNION ALL SELECT 1 FROM lineitem WHERE l_quantity < 3)""")

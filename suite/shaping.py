@@ -112,3 +112,16 @@ def reshape_nest(spark, sf_dir):
     out = reshape.nest(table(spark, sf_dir, "conversations"), "conv_id", ["role", "text"], "turn")
     joined = F.array_join(F.transform("items", lambda x: F.concat(x["role"], F.lit(":"), F.md5(x["text"]))), ",")
     return out.select("key", "part", F.size("items").cast("long").alias("n"), joined.alias("items"))
+
+
+@query("transform_steps", """SELECT o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS o_orderpriority_encoded,
+count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderpriority""")
+def transform_steps(spark, sf_dir):
+    """Steps by name, one after the other; a name that nothing knows changes nothing."""
+    steps = [("filter", {"condition": "o_orderstatus <> 'P'"}), ("no_such_step", {"field": "o_orderstatus"}),
+             ("aggregate", {"group_by": ["o_orderpriority"], "aggregations": {"n": "count", "total": "sum,o_totalprice"}}),
+             ("encode", {"field": "o_orderpriority", "method": "label"})]
+    rows = table(spark, sf_dir, "orders")
+    for name, config in steps:
+        rows = transform(rows, name, config, "o_orderkey")
+    return rows.select("o_orderpriority", "o_orderpriority_encoded", "n", F.round("total", 2).alias("total"))
