@@ -15,6 +15,12 @@ def folder_exists(spark: SparkSession, folder: str) -> bool:
     return system.exists(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or any path that matches it as a glob, exists."""
+    system, at = _at(spark, path)
+    return bool(system.exists(at)) or bool(system.globStatus(at))
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder and all it holds; a missing one is no error."""
     system, path = _at(spark, folder)

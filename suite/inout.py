@@ -74,6 +74,21 @@ def src_json_envelope(spark, sf_dir):
     return readers.unwrap(readers.read_json_lines(spark, path)).select("event_id", "value")
 
 
+@query("src_json_raw", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus AS state, NULL AS n FROM orders WHERE o_custkey % 4 < 3
+UNION ALL SELECT NULL, NULL, count(*) FROM orders WHERE o_custkey % 4 = 3 GROUP BY o_custkey""")
+def src_json_raw(spark, sf_dir):
+    """Documents that name no format: ``rows`` is no list of records there, and keys of one list are text, of the others numbers."""
+    path = staged_path(spark, "raw")
+    orders, place = table(spark, sf_dir, "orders"), F.col("o_custkey") % 4
+    item = lambda key: F.struct(key.alias("o_orderkey"), F.col("o_orderstatus").alias("state"))
+    listed = orders.groupBy("o_custkey").agg(F.collect_list(item(F.col("o_orderkey"))).alias("plain"), F.count(F.lit(1)).alias("n"),
+                                             F.collect_list(item(F.col("o_orderkey").cast("string"))).alias("text"))
+    listed.select(F.to_json(F.struct(
+        *[F.when(place == i, F.col(c)).alias(k) for i, (k, c) in enumerate([("results", "plain"), ("data", "text"), ("items", "plain")])],
+        F.when(place == 3, F.col("plain")).alias("rows"), F.when(place == 3, F.col("n")).alias("n"))).alias("value")).write.text(path)
+    return readers.unwrap(readers.read_json_lines(spark, path), readers.RAW_KEYS).select("o_orderkey", "state", "n")
+
+
 @query("src_jsonl_roundtrip", "SELECT o_orderkey, o_custkey, o_totalprice, nullif(o_orderstatus, 'P') AS state FROM orders")
 def src_jsonl_roundtrip(spark, sf_dir):
     path = staged_path(spark, "orders")
@@ -181,6 +196,33 @@ def src_ingest_mixed_headers(spark, sf_dir):
     return found.frames["csv"].select("key", "name", "segment", "size")
 
 
+@query("src_ingest_bad_file", """
+SELECT 'json' AS kind, CAST(c_custkey AS BIGINT) AS key, c_name AS name FROM customer WHERE c_custkey // 500 % 5 <> 2
+UNION ALL SELECT 'jsonl', s_suppkey, s_name FROM supplier WHERE s_suppkey % 7 <> 0
+UNION ALL SELECT 'parquet', p_partkey, p_name FROM part
+UNION ALL SELECT 'error', count(DISTINCT c_custkey // 500), 'Malformed JSON' FROM customer WHERE c_custkey // 500 % 5 = 2 HAVING count(*) > 0
+UNION ALL SELECT 'error', count(*), 'Malformed lines' FROM supplier WHERE s_suppkey % 7 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'error', count(*), 'Not a Parquet file' FROM region""")
+def src_ingest_bad_file(spark, sf_dir):
+    """Documents cut in the middle, lines that are no JSON, and texts among Parquet files."""
+    root = staged_path(spark, "bad")
+    pick = lambda name, p: table(spark, sf_dir, name).select(F.col(f"{p}key").alias("key"), F.col(f"{p[0]}_name").alias("name"))
+    block = F.floor(F.col("key") / 500)
+    documents = pick("customer", "c_cust").groupBy(block.alias("block")).agg(F.to_json(F.struct(
+        F.collect_list(F.struct("key", "name")).alias("records"))).alias("value"))
+    cut = F.when(F.col("block") % 5 == 2, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    documents.select(cut.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{root}/a")
+    lines = pick("supplier", "s_supp").select("key", F.to_json(F.struct("key", "name")).alias("value"))
+    lines.select(F.when(F.col("key") % 7 == 0, F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("value")).write.text(f"{root}/b")
+    pick("part", "p_part").write.parquet(f"{root}/c")
+    table(spark, sf_dir, "region").select("r_name").write.mode("append").option("maxRecordsPerFile", 1).text(f"{root}/c")
+    found = ingest.ingest_files(spark, [(f"{root}/a", "json"), (f"{root}/b", "jsonl"), (f"{root}/c", "parquet")])
+    parts = [frame.select(F.lit(kind).alias("kind"), F.col("key").cast("long").alias("key"), "name") for kind, frame in found.frames.items()]
+    counted = F.regexp_extract("error", r": (\d+)$", 1).try_cast("long")
+    errors = found.errors.groupBy(F.regexp_replace("error", ":.*", "").alias("name")).agg(F.sum(F.coalesce(counted, F.lit(1))).alias("key"))
+    return union_by_name([*parts, errors.withColumn("kind", F.lit("error"))]).select("kind", "key", "name")
+
+
 @query("src_pages_concat", """
 WITH p AS (SELECT event_id // 50 AS page, count(*) AS n, max(value) > 470 AS done FROM events GROUP BY 1)
 SELECT event_id // 50 AS page, event_id, value FROM events
