@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rowmill.operators.index import global_index
-from rowmill.operators.joins import lookup_join
+from rowmill.operators.joins import fits_in_memory, lookup_join
 
 MAX_CATEGORIES = 10_000  # categories that may become columns or one sorted list
 
@@ -19,11 +19,11 @@ def categories(df: DataFrame, field: str, bound: int = MAX_CATEGORIES) -> list |
 def label_encode(df: DataFrame, field: str) -> DataFrame:
     """``{field}_encoded``: the rank of the value among the sorted distinct values, null first if present.
 
-    Few categories are ranked by one window over that list and broadcast; beyond that the distinct
+    Few categories, of few bytes, are ranked by one window over that list and broadcast; beyond that the distinct
     values are indexed by range partitions and joined with salting.
     """
     values = df.select(field).distinct()
-    few = values.limit(MAX_CATEGORIES + 1).count() <= MAX_CATEGORIES
+    few = fits_in_memory(values, MAX_CATEGORIES)
     if few:
         order = Window.orderBy(F.col(field).asc_nulls_first())  # at most MAX_CATEGORIES rows
         codes = values.select(field, (F.row_number().over(order) - 1).cast("long").alias("_code"))
