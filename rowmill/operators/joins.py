@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
@@ -88,7 +88,6 @@ def first_per_key(df: DataFrame, keys, order_by) -> DataFrame:
 
     Spark keeps one row per key in every task before the shuffle, so a frequent key stays cheap.
     """
-    from pyspark.sql import Window
     from rowmill.operators.index import as_columns
 
     window = Window.partitionBy(*as_columns(keys)).orderBy(*as_columns(order_by))
@@ -159,29 +158,55 @@ def assign_ranges(df: DataFrame, value: str, ranges: DataFrame, low: str, high:
 
     Ranges are made disjoint first: in their order one wins only beyond the highest end before it. Each value then lies in
     one stretch at most. Stretches go into bins of equal number; a value's bin is found by halving the bins' starts (at
-    most MAX_BINS values), an equi-join on the bin brings its stretches, and halving them finds the one. A null value or one that no
-    range holds gets null; ranges with a null end or low > high hold nothing.
+    most MAX_BINS values). The values and stretches of a bin are then sorted together, and the stretch begun last before a value
+    is its own; so a bin of any length costs a sort. Bins that many values fall into are copied, once per salt. A null
+    value or one that no range holds gets null; ranges with a null end or low > high hold nothing.
     """
     stretches = disjoint_stretches(ranges.select(F.col(low).alias("low"), F.col(high).alias("high"), F.col(label).alias("label")))
     total = stretches.agg(F.max("at")).first()[0]
     if total is None:
         return df.withColumn(target, F.lit(None).cast(ranges.schema[label].dataType))
     width = max(BIN_STRETCHES, -(-(total + 1) // MAX_BINS))
-    start = F.struct(F.col("start").alias("start"), F.col("open").alias("open"))
-    binned = stretches.groupBy(F.floor(F.col("at") / width).cast("int").alias("_bin")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "open", F.col("high").alias("end"), F.col("label").alias("label")))).alias("_stretches"),
-        F.min(start).alias("_start"))
-    firsts = binned.agg(F.transform(F.array_sort(F.collect_list(F.struct("_bin", "_start"))), lambda x: x["_start"])).scalar()
-    placed = df.withColumn("_firsts", firsts)
-    placed = placed.withColumn("_bin", _last_begun(F.col("_firsts"), F.col(value), total // width + 1)).drop("_firsts")
-    joined = lookup_join(placed, binned.select("_bin", "_stretches"), "_bin", "left")
-    hit = F.get("_stretches", _last_begun(F.col("_stretches"), F.col(value), width))
-    return joined.withColumn(target, F.when(F.col(value) <= hit["end"], hit["label"])).drop("_bin", "_stretches")
-
-
-def _last_begun(starts: Column, value: Column, most: int) -> Column:
+    begin = [F.col("start").alias("start"), F.col("open").alias("open")]
+    hold = [F.col("high").alias("end"), F.col("label").alias("label")]
+    listed = lambda rows, *fields: rows.agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", F.struct(*fields).alias("_x")))), lambda x: x["_x"])).scalar()
+    inside = F.get("_stretches", _last_begun(F.col("_stretches"), F.col(value), width))
+    inside = F.when(F.col(value) <= inside["end"], inside["label"])
+    if total < width:  # one bin
+        return df.withColumn("_stretches", listed(stretches, *begin, *hold)).withColumn(target, inside).drop("_stretches")
+    key = df.sparkSession.range(0).select(F.coalesce(F.lit(None).cast(df.schema[value].dataType), F.lit(None).cast(
+        stretches.schema["start"].dataType)).alias("k")).schema["k"].dataType  # the type in which both are compared
+    firsts = stretches.where(F.col("at") % width == 0).withColumn("start", F.col("start").cast(key))
+    placed = df.withColumn("_firsts", listed(firsts, *begin)).withColumn("_sought", F.struct(
+        F.col(value).cast(key).alias("start"), F.lit(False).alias("open")))
+    placed = placed.withColumn("_bin", _last_begun(  # one comparison a step; a null sorts before all starts
+        F.col("_firsts"), F.col(value), total // width + 1, lambda s: s <= F.col("_sought"))).drop("_firsts", "_sought")
+    if df.isStreaming:  # a stream is not sorted: its rows get their bin's stretches by a join
+        lists = stretches.groupBy(F.floor(F.col("at") / width).cast("int").alias("_bin")).agg(
+            F.array_sort(F.collect_list(F.struct(*begin, *hold))).alias("_stretches"))
+        return lookup_join(placed, lists, "_bin", "left").withColumn(target, inside).drop("_bin", "_stretches")
+    # A value before the first bin finds nothing anywhere, so its rows are dealt over many bins that do not exist.
+    own = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 12)).cast("int")
+    placed = placed.withColumn("_bin", F.when(F.col("_bin") < 0, -1 - own).otherwise(F.col("_bin")))
+    hot = hot_hashes(placed.select("_bin"), ["_bin"])
+    is_hot = F.xxhash64("_bin").isin(hot) if hot else F.lit(False)
+    binned = stretches.withColumn("_bin", F.floor(F.col("at") / width).cast("int")).select(
+        "_bin", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"),
+        F.col("start").cast(key).alias("_at"), F.when(F.col("open"), 2).otherwise(0).alias("_kind"), F.struct(*hold).alias("_hit"))
+    sought = placed.select("_bin", F.when(is_hot, F.pmod(own, F.lit(SALTS))).otherwise(0).alias("_salt"), F.col(value).cast(key).alias("_at"),
+                           F.lit(1).alias("_kind"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    begun = Window.partitionBy("_bin", "_salt").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (binned.unionByName(sought, allowMissingColumns=True)
+             .withColumn("_hit", F.last("_hit", ignorenulls=True).over(begun)).where("_kind = 1"))
+    label_of = F.when(F.col("_at") <= F.col("_hit.end"), F.col("_hit.label"))
+    kept = {c: F.col(f"_row.`{c}`") for c in df.columns}
+    return found.select(*[c.alias(name) for name, c in {**kept, target: label_of}.items()])
+
+
+def _last_begun(starts: Column, value: Column, most: int, begun=None) -> Column:
     """Position of the last of ascending starts that the value is not before (-1: none), by halving."""
-    begun = lambda s: (s["start"] < value) | ((s["start"] == value) & ~s["open"])
+    begun = begun or (lambda s: (s["start"] < value) | ((s["start"] == value) & ~s["open"]))
     steps = [1 << k for k in range(max(most, 1).bit_length(), -1, -1)]
     return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(-1),
                        lambda at, step: F.when(begun(F.get(starts, at + step)), at + step).otherwise(at))
@@ -193,14 +218,15 @@ def disjoint_stretches(ranges: DataFrame) -> DataFrame:
     ``open`` tells that the start itself belongs to an earlier range. The highest end before a range is a running
     maximum: within range partitions by a window, over partitions from one value of each.
     """
-    from pyspark.sql import Window
     from rowmill.operators.index import global_index
     from rowmill.session import shared_dir, shuffle_partitions
 
     spark = ranges.sparkSession
     shared_dir(spark)
-    order = ["low", "high", "label"]
-    laid = (ranges.where("low <= high").distinct().repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    order = ["low", "high"]
+    # Of ranges with the same ends only the first label (a null before others) can win.
+    first = F.when(F.count_if(F.col("label").isNull()) == 0, F.min("label")).alias("label")
+    laid = (ranges.where("low <= high").groupBy(*order).agg(first).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
             .withColumn("_part", F.spark_partition_id()).checkpoint())
     tops = laid.groupBy("_part").agg(F.max("high").alias("_top"))  # one row per partition
     earlier = tops.withColumn("_before", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
