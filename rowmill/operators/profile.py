@@ -10,6 +10,7 @@ from rowmill.functions.numbers import is_integer_text, is_number_text, to_number
 from rowmill.functions.text import (
     PATTERNS, is_boolean_text, is_date_text, is_datetime_text, is_time_text, matches)
 from rowmill.operators.filters import drop_sample_fields
+from rowmill.session import shuffle_partitions
 
 _PREDICATES = {
     "boolean": is_boolean_text,
@@ -71,8 +72,10 @@ def _test_bits(value: Column) -> Column:
 def value_counts(df: DataFrame) -> DataFrame:
     """(name, native type, value or digest, size, test bits and number of long text, count) of every distinct value.
 
-    Values are pre-aggregated per task. Forms of times are shorter than long text, which so has no moment.
+    Values are pre-aggregated per task, whose table holds all distinct values of its rows: rows are dealt over tasks first, as
+    a task of a scan may get any number of them. Forms of times are shorter than long text, which so has no moment.
     """
+    df = df.repartition(shuffle_partitions(df.sparkSession), F.monotonically_increasing_id())
     # Texts are a projection of their own: used several times below, they are computed once.
     texts = df.select(*[_as_text(df, name).alias(name) for name in df.columns])
 

@@ -26,3 +26,10 @@ def test_long_bins_of_ranges_are_sorted_not_copied_to_each_value(spark, monkeypa
     assert found.columns == ["v", "a.b", "band"] and sorted([(str(r[0]), r[1], r[2]) for r in found.collect()], key=repr) == sorted(expected, key=repr)
 
 
+def test_a_profile_of_one_large_partition_is_dealt_over_tasks(spark):
+    df = spark.range(1000, numPartitions=1).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("a"), F.lit("same").alias("b"))
+    counted = profile.value_counts(df)
+    assert plan_of(counted).count("Exchange") >= 2  # the scan's rows, then the values counted by each task
+    assert {r["name"]: r["cardinality"] for r in profile.field_profiles(df).collect()} == {"a": 1000, "b": 1}
+
+
