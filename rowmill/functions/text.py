@@ -70,12 +70,21 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _trimmed(c: Column) -> Column:
+    """Text without blanks at its ends; only texts that have some are cut, as that looks up every character."""
+    def cut(t: Column) -> Column:
+        blank = lambda end: F.contains(F.lit(_BLANKS), end)
+        return F.when(blank(F.substring(t, 1, 1)) | blank(F.substring(t, -1, 1)), F.btrim(t, F.lit(_BLANKS))).otherwise(t)
+
+    return bound(c, cut)
+
+
 def strip_fence(c: Column) -> Column:
     """Text without a markdown code fence around it."""
     opened = lambda t: F.when(t.startswith("```json"), F.substr(t, F.lit(8))).when(
         t.startswith("```"), F.substr(t, F.lit(4))).otherwise(t)
     closed = lambda t: F.when(t.endswith("```"), F.substr(t, F.lit(1), F.length(t) - 3)).otherwise(t)
-    return F.btrim(bound(bound(F.btrim(c, F.lit(_BLANKS)), opened), closed), F.lit(_BLANKS))
+    return _trimmed(bound(bound(_trimmed(c), opened), closed))
 
 
 def _reads_within(before: str, t: Column, after: str) -> Column:
@@ -107,9 +116,8 @@ def _fenced(c: Column) -> Column:
 def _span(c: Column) -> Column:
     """From the first { to the last }, or from the first [ to the last ], whichever starts first."""
     def ends(t: Column, left: str, right: str) -> Column:
-        start, tail = F.instr(t, left), F.instr(F.reverse(t), right)
-        end = F.when(tail > 0, F.length(t) - tail + 1).otherwise(0)
-        return F.struct(start.alias("start"), end.alias("end"))
+        end = F.length(t) - F.length(F.substring_index(t, right, -1))  # 0 where there is none
+        return F.struct(F.instr(t, left).alias("start"), end.alias("end"))
 
     def cut(t: Column) -> Column:
         pairs = F.filter(F.array(ends(t, "{", "}"), ends(t, "[", "]")), lambda p: (p["start"] > 0) & (p["end"] > p["start"]))

@@ -11,14 +11,18 @@ from rowmill.operators.sampling import head
 from rowmill.operators.validate import Required, Unique, with_errors
 
 # The document's layout. Leaves are read as text and cast per table, so a number in quotes works.
+_MERCHANT = "merchant STRUCT<name: STRING, address: STRING, phone: STRING, tax_id: STRING>"
+_PAYMENT = "payment STRUCT<method: STRING, amount_tendered: STRING, change_due: STRING>"
+ITEMS = "items ARRAY<STRUCT<description: STRING, quantity: STRING, unit_price: STRING, line_total: STRING>>"
+_TAXES = "tax_breakdown: ARRAY<STRUCT<type: STRING, rate: STRING, amount: STRING>>"
 DOCUMENT = (
-    "merchant STRUCT<name: STRING, address: STRING, phone: STRING, tax_id: STRING>, "
-    "transaction STRUCT<date: STRING, time: STRING, receipt_number: STRING, clerk: STRING>, "
-    "items ARRAY<STRUCT<description: STRING, quantity: STRING, unit_price: STRING, line_total: STRING>>, "
-    "summary STRUCT<subtotal: STRING, tax_amount: STRING, total_amount: STRING, "
-    "tax_breakdown: ARRAY<STRUCT<type: STRING, rate: STRING, amount: STRING>>>, "
-    "payment STRUCT<method: STRING, amount_tendered: STRING, change_due: STRING>"
+    f"{_MERCHANT}, transaction STRUCT<date: STRING, time: STRING, receipt_number: STRING, clerk: STRING>, {ITEMS}, "
+    f"summary STRUCT<subtotal: STRING, tax_amount: STRING, total_amount: STRING, {_TAXES}>, {_PAYMENT}"
 )
+# The part of the layout that a table needs: the parser skips all else.
+HEADER = (f"{_MERCHANT}, transaction STRUCT<date: STRING, time: STRING, clerk: STRING>, "
+          f"summary STRUCT<subtotal: STRING, tax_amount: STRING, total_amount: STRING>, {_PAYMENT}")
+TAXES = f"summary STRUCT<{_TAXES}>"
 MONEY, QUANTITY, RATE = "decimal(12,2)", "decimal(10,2)", "decimal(6,4)"
 
 INSTRUCTION = "Extract structured data from this receipt and return as JSON."  # fixed value
@@ -62,7 +66,7 @@ def rejects(parsed: DataFrame) -> DataFrame:
 def shred_headers(parsed: DataFrame) -> DataFrame:
     """The receipts table."""
     money = lambda path: F.col(path).try_cast(MONEY)
-    return parsed.where(F.col("json").isNotNull()).select(
+    return parsed.where(F.col("json").isNotNull()).withColumn("doc", F.from_json("json", HEADER)).select(
         "receipt_number",
         F.col("doc.merchant.name").alias("merchant_name"), F.col("doc.merchant.address").alias("merchant_address"),
         F.col("doc.merchant.phone").alias("merchant_phone"), F.col("doc.merchant.tax_id").alias("merchant_tax_id"),
@@ -76,7 +80,7 @@ def shred_headers(parsed: DataFrame) -> DataFrame:
 
 def shred_items(parsed: DataFrame) -> DataFrame:
     """The receipt_items table; ``line`` is the position in the document."""
-    rows = parsed.select("receipt_number", F.posexplode("doc.items").alias("line", "i"))
+    rows = parsed.select("receipt_number", F.posexplode(F.from_json("json", ITEMS)["items"]).alias("line", "i"))
     return rows.select(
         "receipt_number", "line", F.col("i.description").alias("description"),
         F.col("i.quantity").try_cast(QUANTITY).alias("quantity"),
@@ -85,7 +89,7 @@ def shred_items(parsed: DataFrame) -> DataFrame:
 
 def shred_taxes(parsed: DataFrame) -> DataFrame:
     """The receipt_tax_breakdown table."""
-    rows = parsed.select("receipt_number", F.posexplode("doc.summary.tax_breakdown").alias("line", "t"))
+    rows = parsed.select("receipt_number", F.posexplode(F.from_json("json", TAXES)["summary"]["tax_breakdown"]).alias("line", "t"))
     return rows.select(
         "receipt_number", "line", F.col("t.type").alias("tax_type"),
         F.col("t.rate").try_cast(RATE).alias("tax_rate"), F.col("t.amount").try_cast(MONEY).alias("tax_amount"))

@@ -33,3 +33,52 @@ def test_a_profile_of_one_large_partition_is_dealt_over_tasks(spark):
     assert {r["name"]: r["cardinality"] for r in profile.field_profiles(df).collect()} == {"a": 1000, "b": 1}
 
 
+def test_each_table_parses_its_own_part_of_a_document(spark):
+    odd = ['{"items": 5, "merchant": {"name": "m", "phone": 7}}', '{"merchant": "text", "items": [{"quantity": "2", "line_total": 3.5}]}',
+           '{"summary": {"total_amount": "x", "tax_breakdown": [{"type": "VAT", "rate": 0.1}]}}', '{"items": [1, {"description": "d"}], "summary": []}',
+           '[{"merchant": {"name": "listed"}, "items": [{"description": "l"}]}]', '{"merchant": {"name": "a"}, "merchant": {"name": "b"}}', "{}", "[]", "7", "cut {"]
+    parsed = documents.parse_documents(spark.createDataFrame(list(enumerate(odd)), "n int, t string"), "n", "t")
+    heads, items, taxes = documents.shred_headers(parsed), documents.shred_items(parsed), documents.shred_taxes(parsed)
+    assert "tax_breakdown" not in plan_of(heads) and "merchant" not in plan_of(items) and "merchant" not in plan_of(taxes)
+    whole = parsed.where("json is not null")
+    assert rows(heads, "receipt_number", "merchant_name", "merchant_phone") == rows(whole.select("receipt_number", "doc.merchant.name", "doc.merchant.phone"))
+    assert rows(items.select("receipt_number", "line", "description")) == rows(
+        parsed.select("receipt_number", F.posexplode("doc.items").alias("line", "i")).select("receipt_number", "line", "i.description"))
+    assert rows(taxes.select("receipt_number", "line", "tax_type")) == rows(
+        parsed.select("receipt_number", F.posexplode("doc.summary.tax_breakdown").alias("line", "i")).select("receipt_number", "line", "i.type"))
+
+
+def test_spans_and_fences_equal_a_plain_search(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["{", "}", "[", "]", '"a":', "1", ",", " ", "é", "　", "```", "json", "\n"]) for _ in range(rng.randrange(12))) for _ in range(600)]
+
+    def valid(t):
+        try:
+            json.loads(t, parse_constant=lambda _: 1 / 0)
+            return True
+        except (ValueError, ZeroDivisionError):
+            return False
+
+    def span(t):
+        pairs = [(t.find(a), t.rfind(b)) for a, b in ("{}", "[]")]
+        pairs = [p for p in pairs if p[0] >= 0 and p[1] > p[0]]
+        return t[min(pairs)[0]:min(pairs)[1] + 1] if pairs else None
+
+    def found(t):
+        parts = t.split("```", 2)
+        tries = [parts[1].removeprefix("json") if len(parts) == 3 else None, t, span(t)]
+        return next((x for x in tries if x is not None and valid(x)), None)
+
+    blanks = " \t\n　"
+
+    def stripped(t):
+        t = t.strip(blanks)
+        t = t[7:] if t.startswith("```json") else t[3:] if t.startswith("```") else t
+        return (t[:-3] if t.endswith("```") else t).strip(blanks)
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", json_in_text(F.col("t")).alias("j"), strip_fence(F.col("t")).alias("s"))
+    assert "reverse(" not in plan_of(df)  # a copy of the text for each side
+    for r in df.collect():
+        assert (r["j"], r["s"]) == (found(r["t"]), stripped(r["t"])), r["t"]
+
+
