@@ -64,7 +64,8 @@ def insert_receipts(store: TableStore, parsed: DataFrame, prefix: str = "", batc
         for left in unfinished:
             _log(store, log, *left, "removed")
     order = [order_by] if order_by == "json" else [order_by, "json"]
-    fresh = first_per_key(parsed.where("json is not null"), "receipt_number", order).checkpoint()
+    needed = parsed.where("json is not null").drop(*[c for c in ("raw_text", "doc") if c != order_by.split(".")[0]])  # the JSON holds all
+    fresh = first_per_key(needed, "receipt_number", order).checkpoint()
     if store.exists(names[0]) and not fresh.isEmpty():
         fresh = not_in(fresh, stored_numbers(store, names[0], fresh), "receipt_number").checkpoint()
     attempt = uuid.uuid4().hex

@@ -82,3 +82,12 @@ def test_spans_and_fences_equal_a_plain_search(spark):
         assert (r["j"], r["s"]) == (found(r["t"]), stripped(r["t"])), r["t"]
 
 
+def test_a_load_shuffles_json_but_not_the_raw_text(spark, monkeypatch):
+    seen = []
+    first = receipts.first_per_key
+    monkeypatch.setattr(receipts, "first_per_key", lambda df, keys, order: seen.append(df.columns) or first(df, keys, order))
+    texts = spark.createDataFrame([("a", '{"merchant": {"name": "m"}}', 1), ("a", '{"merchant": {"name": "n"}}', 0)], "n string, t string, at int")
+    store = TableStore(spark)
+    receipts.insert_receipts(store, documents.parse_documents(texts, "n", "t", keep=("at",)), "lean_", order_by="at")
+    assert set(seen[0]) == {"receipt_number", "json", "at"}
+    assert rows(store.load("lean_receipts"), "receipt_number", "merchant_name") == [("a", "n")]
