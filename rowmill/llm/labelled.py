@@ -15,6 +15,12 @@ def remainder(id_col: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(divisor))
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and its label, the largest where an id has several; null labels and ids are left out."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, features: str, function: Callable,
            max_chars: int, use: Column | None = None, extra: tuple[str, ...] = (), values: list | None = None) -> pa.Table:
     """Features of at most ``rows`` labelled documents, as many of each label where there are so many.
@@ -24,8 +30,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, features:
     more than ``max_chars`` characters are not drawn into it, so its size on the driver is bounded by ``rows`` and
     ``max_chars``. Labels that only missing documents have add nothing.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known_labels(labels, label)
     if use is not None:
         known = known.where(use)
     fit = docs.where(F.length(F.coalesce("text", F.lit(""))) <= max_chars).select("doc_id")

@@ -152,13 +152,15 @@ def op8(spark, sf_dir):
 @query("op1_toxicity")
 def op1(spark, sf_dir):
     from rowmill.llm.labelled import remainder
-    from rowmill.llm.toxicity import toxicity, train
-
-    docs = table(spark, sf_dir, "documents")
-    model = train(docs, table(spark, sf_dir, "labels"), use=remainder("doc_id", 5) != 0)
-    scored = toxicity(docs.select("doc_id", "lang", "text"), model)
-    limit = F.lit(model.thresholds[None])
-    for lang, value in sorted((k, v) for k, v in model.thresholds.items() if k is not None):
+    from rowmill.llm.staging import stage
+    from rowmill.llm.toxicity import calibrate, toxicity, train
+
+    docs, labels, use = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0
+    model = train(docs, labels, use=use)
+    scored = stage(toxicity(docs.select("doc_id", "lang", "text"), model).drop("text"), "toxicity")
+    thresholds = calibrate(scored, labels, use=use)
+    limit = F.lit(thresholds[None])
+    for lang, value in sorted((k, v) for k, v in thresholds.items() if k is not None):
         limit = F.when(F.col("lang") == lang, F.lit(value)).otherwise(limit)
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), limit.alias("lang_threshold"),
