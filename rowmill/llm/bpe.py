@@ -1,4 +1,4 @@
-"""Byte-level BPE by a file of ranks: scanned pre-tokens, cached pair merging, token offsets, and decoding."""
+"""Byte-level BPE by a file of ranks: scanned pre-tokens, cached pair merging side by side, token offsets, and decoding."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ from rowmill.llm.staging import broadcast_bytes, free_name, lists, map_text
 CACHE_BYTES, ENTRY_BYTES = 24 << 20, 180
 #: Bytes of text that are scanned at a time.
 SLICE = 1 << 19
+#: Tokens whose bytes are put together at a time.
+TOKENS = 1 << 15
 #: Longer pre-tokens are merged with a heap.
 SHORT = 96
 
@@ -108,6 +110,90 @@ def _merge_long(piece, ranks):
     return tuple(out)
 
 
+class Pairs:
+    """The token that two adjacent tokens merge to, for many pairs at once: a table of hashed places, half of them empty at least."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [(ranks[token[:k]] << 32 | ranks[token[k:]], rank) for token, rank in ranks.items() for k in range(1, len(token))
+                 if token[:k] in ranks and token[k:] in ranks]
+        keys, merged = np.array(found, np.int64).reshape(-1, 2).T
+        self.bits = max(len(keys), 8).bit_length() + 1
+        self.keys, self.merged = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE, np.int32)
+        place, left = self._place(keys), np.arange(len(keys))
+        while len(left):  # the first of those at an empty place takes it, the others go on to the next one
+            self.keys[place[left]] = np.where(self.keys[place[left]] < 0, keys[left], self.keys[place[left]])
+            taken = self.keys[place[left]] == keys[left]
+            self.merged[place[left[taken]]] = merged[left[taken]]
+            left = left[~taken]
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+        self.letters = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.bytes = np.empty(0, np.int32)
+        self.bytes = self(np.repeat(self.letters, 256), np.tile(self.letters, 256))
+
+    def _place(self, keys):
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        keys = one.astype(np.int64) << 32 | two
+        place = self._place(keys)
+        out = self.merged.take(place)
+        there = self.keys.take(place)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        out[there != keys] = self.NONE
+        while len(left):
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[place[left]]
+            same = there == keys[left]
+            out[left[same]] = self.merged[place[left[same]]]
+            left = left[~same & (there >= 0)]
+        return out
+
+
+def merge_many(pieces: list[bytes], pairs: Pairs) -> list[bytes]:
+    """Token ids, as 32-bit integers in bytes, of pre-tokens that are no tokens themselves: like ``merge``, one merge of each in a step.
+
+    A step has all pre-tokens that consist of the same number of tokens by then, as rows: those of so many bytes, and
+    longer ones that were merged down to them.
+    """
+    out: list = [None] * len(pieces)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    values, starts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes
+    of = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+    width = max(of, default=0)
+    rows, ids, ranks = np.zeros(0, np.int64), np.zeros((0, width), np.int32), np.zeros((0, max(width - 1, 0)), np.int32)
+    while width:
+        if width in of:
+            text = values[starts[of[width]][:, None] + np.arange(width)].astype(np.int32)
+            rows, ids = np.concatenate([rows, of[width]]), np.concatenate([ids, pairs.letters.take(text)])
+            ranks = np.concatenate([ranks, pairs.bytes.take(text[:, :-1] << 8 | text[:, 1:])])
+        n = len(rows)
+        at = ranks.argmin(axis=1) if n and width > 1 else np.zeros(n, np.int64)
+        least = ranks[np.arange(n), at] if width > 1 else np.full(n, pairs.NONE)
+        done = least == pairs.NONE
+        if done.any():
+            data = ids[done].tobytes()
+            for k, row in enumerate(rows[done].tolist()):
+                out[row] = data[4 * width * k:4 * width * (k + 1)]
+            rows, ids, ranks, at, least = rows[~done], ids[~done], ranks[~done], at[~done], least[~done]
+        n, width = len(rows), width - 1
+        if not width:
+            break
+        each = np.arange(n)
+        keep = np.ones((n, width + 1), bool)
+        keep[each, at + 1] = False
+        ids = ids[keep].reshape(n, width)
+        ids[each, at] = least
+        keep = np.ones((n, width), bool)
+        keep[each, at] = False
+        ranks = ranks[keep].reshape(n, width - 1)
+        after, before = np.flatnonzero(at < width - 1), np.flatnonzero(at)
+        ranks[after, at[after]] = pairs(least[after], ids[after, at[after] + 1])
+        ranks[before, at[before] - 1] = pairs(ids[before, at[before] - 1], least[before])
+    return out
+
+
 class Merged(dict):
     """Token ids of pre-tokens, as 32-bit integers in bytes, merged when first met; and the tokens' bytes."""
 
@@ -115,25 +201,59 @@ class Merged(dict):
         super().__init__()
         self.ranks, self.limit, self.held = ranks, limit, 0
         self.sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
-        self.tokens: list = [None] * len(self.sizes)
+        self.known = np.zeros(len(self.sizes), bool)
+        tokens: list = [b""] * len(self.sizes)
         for token, number in ranks.items():
-            self.sizes[number], self.tokens[number] = len(token), token
-
-    def __missing__(self, piece: bytes):
-        ids = array("i", merge(piece, self.ranks)).tobytes()
-        self.held += ENTRY_BYTES + len(piece) + len(ids)
+            self.sizes[number], self.known[number], tokens[number] = len(token), True, token
+        self.tokens = np.frombuffer(b"".join(tokens), np.uint8)
+
+    @functools.cached_property
+    def pairs(self) -> Pairs | None:
+        """None if an id does not tell its token or a byte has none: pre-tokens are merged one at a time then."""
+        plain = self.known.sum() == len(self.ranks) and all(bytes([b]) in self.ranks for b in range(256))
+        return Pairs(self.ranks) if plain else None
+
+    def _keep(self, piece: bytes, ids: bytes) -> None:
+        size = ENTRY_BYTES + len(piece) + len(ids)
+        self.held += size
         if self.held > self.limit:
             self.clear()
-            self.held = ENTRY_BYTES + len(piece) + len(ids)
+            self.held = size
         self[piece] = ids
+
+    def __missing__(self, piece: bytes):
+        ids = array("i", merge(piece, self.ranks)).tobytes()
+        self._keep(piece, ids)
         return ids
 
-    def decoded(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for; an unknown id is an error."""
-        tokens = [self.tokens[i] if 0 <= i < len(self.tokens) else None for i in ids.tolist()]
-        if None in tokens:
+    def of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of these different pre-tokens; short ones that were not met yet are merged side by side."""
+        if self.pairs is None:
+            return [self[p] for p in pieces]
+        out = [self.get(p) for p in pieces]
+        new = [k for k, ids in enumerate(out) if ids is None]
+        many = []
+        for k in new:
+            piece = pieces[k]
+            if len(piece) > SHORT or piece in self.ranks:
+                out[k] = array("i", merge(piece, self.ranks)).tobytes()
+            else:
+                many.append(k)
+        for k, ids in zip(many, merge_many([pieces[k] for k in many], self.pairs)):
+            out[k] = ids
+        for k in new:
+            self._keep(pieces[k], out[k])
+        return out
+
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The bytes (binary) that the ids of each text stand for; an unknown id is an error."""
+        if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.known) and self.known[ids].all()):
             raise KeyError("an id without a token")
-        return b"".join(tokens)
+        parts = [spread(self.tokens, self.sizes, ids[k:k + TOKENS])[0] for k in range(0, len(ids), TOKENS)]
+        data = np.concatenate([np.zeros(0, np.uint8), *parts])
+        first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(self.sizes[ids])])[first], pa.int32())
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, ends.buffers()[1], pa.py_buffer(data)])
 
 
 _KEPT: dict[str, Merged] = {}
@@ -152,7 +272,7 @@ def encode_slice(values, offsets, classes, found: Merged) -> tuple[np.ndarray, n
     cut, first = bounds(values, offsets, classes)
     data = values.tobytes()
     once, number = distinct(values, cut)
-    groups = [found[data[a:b]] for a, b in zip(cut[once].tolist(), cut[once + 1].tolist())]
+    groups = found.of([data[a:b] for a, b in zip(cut[once].tolist(), cut[once + 1].tolist())])
     own = np.fromiter(map(len, groups), np.int64, len(groups)) // 4
     ids, sizes = spread(np.frombuffer(b"".join(groups), np.int32), own, number)
     return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])
@@ -175,7 +295,7 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids: str = "i
     path is, and broadcast (a vocabulary has a fixed size). A null or empty text has no tokens. Special tokens are
     ordinary text. Rows that repeat an id or a text are encoded like others. Columns named like the added ones are
     replaced; all other columns pass unchanged. Memory of a task: one slice of texts (512 KB, or one longer text); of a
-    worker: one vocabulary and CACHE_BYTES of merged pre-tokens.
+    worker: one vocabulary with the pairs of its tokens and CACHE_BYTES of merged pre-tokens.
     """
     shared = _vocabulary(df, ranks_path)
     added = {ids: "array<int>", starts: "array<int>", decoded: "binary", checked: "boolean"}
@@ -193,12 +313,12 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids: str = "i
             ends = np.cumsum(size)
             out.append(lists((ends - size - np.repeat(offsets[:-1], counts)).astype(np.int32), counts, pa.int32()))
         if decoded or checked:
-            texts = [found.decoded(part) for part in np.split(tokens, np.cumsum(counts)[:-1])] if len(counts) else []
+            texts = found.decoded(tokens, counts)
             if decoded:
-                out.append(pa.array(texts, pa.binary()))
+                out.append(texts)
             if checked:
                 data = values.tobytes()
-                out.append(pa.array([text == data[a:b] for text, (a, b) in zip(texts, pairwise(offsets.tolist()))], pa.bool_()))
+                out.append(pa.array([t.as_buffer().to_pybytes() == data[a:b] for t, (a, b) in zip(texts, pairwise(offsets.tolist()))], pa.bool_()))
         return out
 
     return map_text(df, text_col, ", ".join(f"`{c}` {kind}" for c, kind in added.items() if c), run, setup, keep_text, SLICE)
@@ -217,7 +337,8 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
             for start in range(0, batch.num_rows, 256):
                 piece = batch.slice(start, 256)
                 column = piece.column(piece.num_columns - 1)
-                texts = [found.decoded(column[k].values.to_numpy()) if column[k].is_valid else b"" for k in range(len(column))]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(texts, pa.binary())], names=schema.names)
+                counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                texts = found.decoded(column.flatten().to_numpy(zero_copy_only=False), counts)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], texts], names=schema.names)
 
     return df.select(*[df[f"`{f.name}`"] for f in kept], F.col(ids).alias(work)).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from rowmill.llm.words import slice_hashes
+from rowmill.llm.words import mix, slice_hashes
 
 LETTER, NUMBER, OTHER, QUOTE, BLANK, SPACE = range(6)
 # fixed values: white space of the Unicode standard, and what may follow an apostrophe
@@ -25,6 +25,8 @@ _FRESH, _LETTERS, _NUMBERS, _OTHERS, _SPACES, _PREFIX, _ONE, _TWO = range(8)
 _L, _N, _O, _Q1, _Q2, _WS, _LAST_BLANK, _LAST_SPACE = range(8)
 #: Characters of one row of the scan.
 ROW = 256
+# the first 0 to 8 bytes of a little-endian word
+_MASKS = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def codepoint_classes(probe: Callable[[list[str]], np.ndarray] | None = None) -> np.ndarray:
@@ -173,16 +175,44 @@ def bounds(values: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tupl
     return np.append(cut, len(values)), np.searchsorted(cut, offsets)
 
 
+def _words(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every slice: its bytes themselves, if these are 16 at most; hashes of longer ones."""
+    padded = np.concatenate([values, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the eight bytes at every position
+    size = ends - starts
+    low = eight[starts] & _MASKS.take(np.minimum(size, 8))
+    high = eight[starts + 8 * (size > 8)] & _MASKS.take(np.clip(size - 8, 0, 8))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        own = size[long]
+        ends = np.cumsum(own)
+        some = values[np.arange(ends[-1]) + np.repeat(starts[long] - (ends - own), own)]
+        low[long], high[long] = slice_hashes(some, ends - own, ends), slice_hashes(some ^ 0x55, ends - own, ends)
+    return low, high
+
+
 def distinct(values: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A first occurrence of every distinct pre-token, and for each pre-token the number of its own.
 
-    Pre-tokens are told apart by 128 bits of hashes: they are grouped by one half, and the other half must agree.
+    Pre-tokens are told apart by their size and 128 bits, their bytes or hashes of long ones: they are grouped by the upper bits of
+    a hash of these, sorted with their numbers in the lower bits, and must agree with the first of their group.
     """
     starts, ends = cut[:-1], cut[1:]
-    key, check = slice_hashes(values, starts, ends), slice_hashes(values ^ 0x55, starts, ends)
-    _, first, number = np.unique(key, return_index=True, return_inverse=True)
-    if (check[first][number] != check).any():
-        _, first, number = np.unique(np.stack([key, check]), axis=1, return_index=True, return_inverse=True)
+    n, size = len(starts), ends - starts
+    low, high = _words(values, starts, ends)
+    bits = np.uint64(n.bit_length())
+    order = np.sort(mix(low ^ mix(high + size.astype(np.uint64))) >> bits << bits | np.arange(n, dtype=np.uint64))
+    key = order >> bits
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    order = (order & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    first, number = order[new], np.empty(n, np.int64)
+    number[order] = np.cumsum(new) - 1
+    same = first[number]
+    if (low[same] != low).any() or (high[same] != high).any() or (size[same] != size).any():
+        told = np.stack([low, high, size.astype(np.uint64)])
+        _, first, number = np.unique(told, axis=1, return_index=True, return_inverse=True)
+        number = number.ravel()
     return first, number
 
 

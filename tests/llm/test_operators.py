@@ -74,6 +74,57 @@ def test_long_pieces_merge_like_short_ones():
         assert bpe._merge_long(piece, ranks) == bpe._merge_short(piece, ranks)
 
 
+def _odd_pieces():
+    words = [f" {a}{b}" for a in ("unhappi", "zq", "é日本", "aaaa", "ĀĀ", "0x") for b in ("ness", "", "xyzzy", "aaaaaaa", "日" * 9)]
+    raw = [bytes([b]) for b in range(256)] + [w.encode() for w in words]
+    raw += [bytes((7 * k * k + n * k + n) % 256 for k in range(n)) for n in range(2, 130)] + [b"ab" * n for n in range(1, 70)]
+    return list(dict.fromkeys(raw))
+
+
+def test_pieces_merge_side_by_side(monkeypatch):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = _odd_pieces()
+    want = [list(bpe.merge(p, ranks)) for p in pieces]
+    odd = {k: v for k, v in ranks.items() if k != b"\x07"}  # a byte without an id
+    some = [k for k, p in enumerate(pieces) if 7 not in p]
+    assert [np.frombuffer(x, np.int32).tolist() for x in bpe.Merged(odd).of([pieces[k] for k in some])] == [want[k] for k in some]
+    monkeypatch.setattr(bpe, "_merge_short", None)  # short ones are not merged one at a time
+    for limit in (3000, bpe.CACHE_BYTES):
+        found = bpe.Merged(ranks, limit)
+        for _ in range(2):
+            assert [np.frombuffer(x, np.int32).tolist() for x in found.of(pieces)] == want
+            assert found.held <= limit
+    assert found.of([]) == []
+
+
+def test_bytes_of_tokens_are_joined_by_arrays(monkeypatch):
+    found = bpe.Merged(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    monkeypatch.setattr(bpe, "TOKENS", 3)
+    pieces = _odd_pieces()
+    groups = [np.frombuffer(x, np.int32) for x in found.of(pieces)]
+    flat, counts = np.concatenate(groups), [len(g) for g in groups]
+    assert found.decoded(flat, counts).to_pylist() == pieces
+    assert found.decoded(flat[:0], [0, 0]).to_pylist() == [b"", b""] and found.decoded(flat[:0], []).to_pylist() == []
+    for wrong in (-1, len(found.known)):
+        with pytest.raises(KeyError):
+            found.decoded(np.array([1, wrong], np.int32), [2])
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_distinct_tells_pieces_apart(monkeypatch, collide):
+    raw = [b"a", b"a\0", b"a", b"12345678", b"123456789", b"1234567890123456", b"12345678901234567", b"12345678901234568",
+           b"x" * 40, b"x" * 41, b"x" * 40, b"12345678901234567", b"\0", b"\0\0", b"123456789"]
+    values, cut = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    if collide:
+        monkeypatch.setattr(pretokens, "mix", lambda x: np.zeros_like(x))
+    first, number = pretokens.distinct(values, cut)
+    assert [raw[first[n]] for n in number] == raw and len(first) == len(set(raw))
+    assert all(raw.index(raw[k]) == k for k in first)
+    assert [len(x) for x in pretokens.distinct(values[:0], np.zeros(1, np.int64))] == [0, 0]
+    monkeypatch.setattr(pretokens, "slice_hashes", None)  # not asked of short ones
+    assert len(pretokens.distinct(values[:4], cut[:4])[0]) == 2
+
+
 def test_scan_crosses_rows_and_texts():
     classes = pretokens.codepoint_classes()
     text = "ab" * pretokens.ROW + "  " * pretokens.ROW
