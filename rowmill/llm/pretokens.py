@@ -1,8 +1,8 @@
 """Boundaries of byte-level pre-tokens without a regular expression.
 
-Every code point gets a class from an array; a class with its neighbours is a symbol, a symbol is a transition
-function of a small automaton, and functions compose associatively. The closed set of these functions (a few hundred)
-is numbered and multiplied by a table, so that a prefix scan over the symbols of many texts runs in NumPy.
+Every code point gets a class from an array. Whether a token starts at a character then follows from its class and its
+neighbours': a run of a class starts one, the last white space of a run is apart, a blank there goes with what follows, and an
+apostrophe that starts a token takes a suffix with it. So the boundaries of many texts are found at once in NumPy.
 """
 
 from __future__ import annotations
@@ -19,12 +19,10 @@ LETTER, NUMBER, OTHER, QUOTE, BLANK, SPACE = range(6)
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SUFFIX_1, SUFFIX_2 = "stmd", ["re", "ve", "ll"]
 
-# states: what the token so far is
-_FRESH, _LETTERS, _NUMBERS, _OTHERS, _SPACES, _PREFIX, _ONE, _TWO = range(8)
-# symbols
-_L, _N, _O, _Q1, _Q2, _WS, _LAST_BLANK, _LAST_SPACE = range(8)
-#: Characters of one row of the scan.
+#: A length of runs that tests cross.
 ROW = 256
+# what runs together: apostrophes are like other signs, blanks like white space
+_RUN = np.array([LETTER, NUMBER, OTHER, OTHER, SPACE, SPACE], np.uint8)
 # the first 0 to 8 bytes of a little-endian word
 _MASKS = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -54,75 +52,6 @@ def codepoint_classes(probe: Callable[[list[str]], np.ndarray] | None = None) ->
     return table
 
 
-def _step(state: int, symbol: int) -> tuple[int, bool]:
-    """State after a character, and whether a token starts at it."""
-    if state == _TWO:
-        return _ONE, False
-    if state == _ONE:
-        return _FRESH, False
-    if symbol in (_L, _N):
-        run = _LETTERS if symbol == _L else _NUMBERS
-        return run, state not in (run, _PREFIX)
-    if symbol in (_O, _Q1, _Q2):
-        if state in (_OTHERS, _PREFIX):
-            return _OTHERS, False
-        return {_O: _OTHERS, _Q1: _ONE, _Q2: _TWO}[symbol], True
-    if symbol == _WS:
-        return _SPACES, state != _SPACES
-    return (_PREFIX if symbol == _LAST_BLANK else _FRESH), True  # the last blank before a word goes with it
-
-
-def _monoid():
-    """All products of the symbols' functions, their multiplication table, and each symbol's number.
-
-    A symbol plus 8 is the same character at the start of a text: a constant function.
-    """
-    makers = [tuple(_step(s, x)[0] for s in range(8)) for x in range(8)]
-    makers += [(f[_FRESH],) * 8 for f in makers]
-    known = {tuple(range(8)): 0}
-    queue = list(known)
-    for f in queue:
-        for g in makers:
-            h = tuple(g[s] for s in f)
-            if h not in known:
-                known[h] = len(known)
-                queue.append(h)
-    m = len(queue)
-    functions = np.array(queue, np.uint8)
-    products = np.empty((m, m), np.int32)
-    for i, f in enumerate(queue):
-        for j, g in enumerate(queue):
-            products[i, j] = known[tuple(g[s] for s in f)]
-    return functions, products.ravel(), np.array([known[g] for g in makers], np.int32)
-
-
-_FUNCTIONS, _PRODUCTS, _NUMBER_OF = _monoid()
-_SIZE, _FLAT = len(_FUNCTIONS), _FUNCTIONS.ravel()
-_STARTS = np.array([[_step(s, x)[1] for x in range(8)] + [True] * 8 for s in range(8)])
-
-
-def _scan(items: np.ndarray) -> np.ndarray:
-    """State after each item, from a fresh start: rows are scanned side by side, then their totals."""
-    n = len(items)
-    if n <= ROW:
-        out, state = np.empty(n, np.uint8), _FRESH
-        for i, f in enumerate(items.tolist()):
-            out[i] = state = int(_FUNCTIONS[f, state])
-        return out
-    rows = -(-n // ROW)
-    padded = np.zeros(rows * ROW, np.int32)
-    padded[:n] = items
-    grid = np.ascontiguousarray(padded.reshape(rows, ROW).T)
-    for k in range(1, ROW):
-        np.take(_PRODUCTS, grid[k - 1] * np.int32(_SIZE) + grid[k], out=grid[k])
-    before = np.empty(rows, np.uint8)
-    before[0] = _FRESH
-    before[1:] = _scan(grid[-1])[:-1]
-    grid *= 8
-    grid += before[None, :]
-    return _FLAT.take(grid.T.ravel()[:n])
-
-
 def codepoints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes and the position of each one's first byte."""
     high = values >= 0x80
@@ -153,25 +82,26 @@ def bounds(values: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tupl
     more_white = np.ones(n, bool)  # the next character is white space, or there is none in this text
     more_white[:-1] = white[1:]
     more_white |= first[1:]
-    symbol = kind.copy()  # letters, numbers and others are their own symbols
-    symbol[white] = _WS
-    symbol[(kind == BLANK) & ~more_white] = _LAST_BLANK
-    symbol[(kind == SPACE) & ~more_white] = _LAST_SPACE
-    quotes = np.flatnonzero(kind == QUOTE)
+    last = white & ~more_white  # the last one goes apart from those before it, a blank with what follows
+    run = _RUN.take(kind)
+    new = np.ones(n, bool)
+    new[1:] = run[1:] != run[:-1]
+    new |= last
+    new[np.flatnonzero(last & (kind == BLANK)) + 1] = False
+    new |= first[:-1]
+    quotes = np.flatnonzero((kind == QUOTE) & new)
     if len(quotes):
-        symbol[quotes] = _O
         padded = np.concatenate([points, [0, 0]])
         one, two = padded[quotes + 1], padded[quotes + 2]
         inside_1 = ~first[quotes + 1]
         inside_2 = inside_1 & ~first[np.minimum(quotes + 2, n)]
-        symbol[quotes[inside_1 & np.isin(one, [ord(c) for c in SUFFIX_1])]] = _Q1
-        for a, b in SUFFIX_2:
-            symbol[quotes[inside_2 & (one == ord(a)) & (two == ord(b))]] = _Q2
-    symbol += np.where(first[:-1], 8, 0).astype(np.uint8)
-    after = _scan(_NUMBER_OF.take(symbol))
-    before = np.full(n, _FRESH, np.uint8)
-    before[1:] = after[:-1]
-    cut = starts[_STARTS.ravel().take(before * np.uint8(16) + symbol)]
+        after = np.append(new, [True] * 3)
+        for size, found in ((2, inside_1 & np.isin(one, [ord(c) for c in SUFFIX_1])),
+                            *((3, inside_2 & (one == ord(a)) & (two == ord(b))) for a, b in SUFFIX_2)):
+            after[quotes[found] + 1] = False
+            after[quotes[found] + size] = True
+        new = after[:n]
+    cut = starts[new]
     return np.append(cut, len(values)), np.searchsorted(cut, offsets)
 
 

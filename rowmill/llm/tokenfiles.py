@@ -8,6 +8,7 @@ import os
 import zlib
 from array import array
 from itertools import pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from rowmill.session import shuffle_partitions
 #: Pre-tokens whose ids a worker remembers; the memory is emptied when it is full.
 CACHE = 300_000
 STRIPE_BYTES, INDEX_ROWS = 64 << 20, 1000
+_ID = attrgetter("id")
 
 
 def _tokenizer(content: str):
@@ -74,17 +76,20 @@ class LibraryIds(dict):
         self.tokenizer, self.model, self.letters, self.limit = tokenizer, tokenizer.model, _byte_letters(), limit
         self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def learn(self, pieces: list[bytes]) -> None:
-        new = [p for p in pieces if p not in self]
+    def of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of these different pre-tokens; the model is asked for those that were not met yet."""
+        out = list(map(self.get, pieces))
+        new = [k for k, ids in enumerate(out) if ids is None]
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = pieces
-        written = self.letters.take(np.frombuffer(b"".join(new), np.uint8)).tobytes().decode("utf-32-le")
+        asked = [pieces[k] for k in new]
+        written = self.letters.take(np.frombuffer(b"".join(asked), np.uint8)).tobytes().decode("utf-32-le")
         ask, start = self.model.tokenize, 0
-        for piece in new:
+        for k, piece in zip(new, asked):
             end = start + len(piece)
-            self[piece] = array("i", [t.id for t in ask(written[start:end])]).tobytes()
+            out[k] = self[piece] = array("i", map(_ID, ask(written[start:end]))).tobytes()
             start = end
+        return out
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<i4")
@@ -107,8 +112,7 @@ def encode_slice(values, offsets, classes, found: LibraryIds) -> tuple[np.ndarra
     cut, first = bounds(values, offsets, classes)
     once, number = distinct(values, cut)
     pieces = [data[a:b] for a, b in zip(cut[once].tolist(), cut[once + 1].tolist())]
-    found.learn(pieces)
-    groups = [found[p] for p in pieces]
+    groups = found.of(pieces)
     own = np.fromiter(map(len, groups), np.int64, len(groups)) // 4
     ids, sizes = spread(np.frombuffer(b"".join(groups), "<i4"), own, number)
     counts = np.diff(np.concatenate([[0], np.cumsum(sizes)])[first])

@@ -125,6 +125,46 @@ def test_distinct_tells_pieces_apart(monkeypatch, collide):
     assert len(pretokens.distinct(values[:4], cut[:4])[0]) == 2
 
 
+def test_bounds_equal_the_library():
+    import itertools
+
+    from tokenizers import pre_tokenizers
+
+    content = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    classes = np.frombuffer(zlib.decompress(tokenfiles._class_bytes(content)), np.uint8)
+    texts = ["".join(t) for n in range(5) for t in itertools.product("asrev1!' \n", repeat=n)] + ["é日 \u3000's 'll've!'re''d", "\u0085 x"]
+    raw = [t.encode() for t in texts]
+    cut, first = pretokens.bounds(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), classes)
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    at = 0
+    for k, t in enumerate(texts):
+        sizes = [len(t[a:b].encode()) for _, (a, b) in split(t)]
+        assert np.diff(cut[first[k]:first[k + 1] + 1]).tolist() == sizes and cut[first[k]] == at, t
+        at += len(raw[k])
+
+
+def test_model_is_asked_once_for_each_piece():
+    class Model:
+        asked = []
+
+        def tokenize(self, word):
+            self.asked.append(word)
+            return real.tokenize(word)
+
+    content = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    tokenizer = tokenfiles._tokenizer(content)
+    real, found = tokenizer.model, tokenfiles.LibraryIds(tokenizer, limit=4)
+    found.model = Model()
+    pieces = [b" unhappiness", b"zq", "日本".encode(), b"\n"]
+    want = [tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in pieces]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<i4").tolist() for x in found.of(pieces)] == want and len(Model.asked) == 4
+    known = [b"zq", b" new", b" more"]  # over the limit: the memory is emptied, what it held is not asked again
+    assert [np.frombuffer(x, "<i4").tolist() for x in found.of(known)] == [want[1], *(
+        tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in known[1:])]
+    assert len(Model.asked) == 6 and set(found) == set(known[1:]) and found.of([]) == []
+
+
 def test_scan_crosses_rows_and_texts():
     classes = pretokens.codepoint_classes()
     text = "ab" * pretokens.ROW + "  " * pretokens.ROW
